@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from riskloom.llm import quality_rules
+from riskloom.llm import decontam, packing, quality_rules, secrets
 from riskloom.llm.common import table
 
 QUERIES = {
+    "op1_secret_scan": lambda spark, d: secrets.op1(table(spark, d, "documents")),
+    "op4_decontamination": lambda spark, d: decontam.op4(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_quality_rules": lambda spark, d: quality_rules.op9(table(spark, d, "documents")),
+    "op10_best_fit_packing": lambda spark, d: packing.op10(table(spark, d, "documents")),
 }
 
 
