@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from riskloom.llm import decontam, packing, quality_rules, secrets
+from riskloom.llm import debruijn, decontam, html_extract, jaccard_join, license_scan, packing, quality_model, quality_rules, secrets, suffix_dedup
 from riskloom.llm.common import table
 
 QUERIES = {
     "op1_secret_scan": lambda spark, d: secrets.op1(table(spark, d, "documents")),
+    "op2_quality_classifier": lambda spark, d: quality_model.op2(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op3_license_scan": lambda spark, d: license_scan.op3(table(spark, d, "documents")),
     "op4_decontamination": lambda spark, d: decontam.op4(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op5_suffix_dedup": lambda spark, d: suffix_dedup.op5(table(spark, d, "documents")),
+    "op6_html_extraction": lambda spark, d: html_extract.op6(table(spark, d, "pages")),
+    "op7_passage_dedup": lambda spark, d: debruijn.op7(table(spark, d, "documents")),
+    "op8_jaccard_join": lambda spark, d: jaccard_join.op8(table(spark, d, "documents")),
     "op9_quality_rules": lambda spark, d: quality_rules.op9(table(spark, d, "documents")),
     "op10_best_fit_packing": lambda spark, d: packing.op10(table(spark, d, "documents")),
 }
