@@ -48,7 +48,7 @@ def unseen(df: DataFrame, seen: DataFrame, url: str = "url") -> DataFrame:
 
 def newest_keys(seen: DataFrame, key: str = "url", cap: int = 10_000, last_seen: str | None = None) -> DataFrame:
     """The `cap` keys seen last; without a time, those of the greatest text."""
-    one = seen.groupBy(key).agg(*([F.max(last_seen).alias(last_seen)] if last_seen else []))
+    one = seen.groupBy(key).agg(F.max(last_seen).alias(last_seen)) if last_seen else seen.select(key).distinct()
     return one.orderBy(*([F.desc(last_seen)] if last_seen else []), F.desc(key)).limit(cap)
 
 

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from riskloom.plans import q_events, q_text
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in (q_text, q_events):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
