@@ -57,3 +57,14 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     query = df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def complete(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run an aggregate over what is there in complete mode and stop; each batch's whole result is at path/batch=N."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
