@@ -34,6 +34,8 @@ LEAST = 0.8
 RECALL = 0.9999
 MOST_BANDS = 20
 BLOCK = 512
+#: What a group of bucket members is told by.
+GROUP = ("key", "one", "two")
 
 
 def banding(least: float = LEAST, recall: float = RECALL, most_bands: int = MOST_BANDS) -> tuple[int, int]:
@@ -95,35 +97,6 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, d1 long, d2 long, bands array<long>")
 
 
-def by_group(work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], most: int = 1 << 24) -> Callable:
-    """A mapInArrow function over rows sorted by group: work(rows, bounds of groups) on whole groups, of about `most` bytes at once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size < most:
-                continue
-            table = pa.Table.from_batches(held)
-            cuts = bounds(table)
-            if len(cuts) > 2:
-                yield from work(table.slice(0, cuts[-2]).combine_chunks(), cuts[:-1])
-                table = table.slice(cuts[-2]).combine_chunks()
-                table = table.take(pa.array(np.arange(table.num_rows)))
-            held, size = table.to_batches(), table.nbytes
-        if held and sum(b.num_rows for b in held):
-            table = pa.Table.from_batches(held).combine_chunks()
-            yield from work(table, bounds(table))
-
-    def bounds(table: pa.Table) -> np.ndarray:
-        keys = [table.column(c).to_numpy() for c in ("key", "one", "two")]
-        return np.r_[0, np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1, table.num_rows]
-
-    return run
-
-
 def _bands(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().reshape(n, -1)
 
@@ -247,9 +220,8 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, least: float = LEAST, rec
     placed = keyed.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     paired = placed.select("key", "band", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     paired = paired.select("key", "band", "rep", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    group = ["key", "one", "two"]
-    tested = paired.join(reps.select("rep", "bands"), "rep").repartition(*group).sortWithinPartitions(*group)
-    needed = tested.select("key", "band", "one", "two", "block", "rep", "bands").mapInArrow(by_group(_members), "key long, band int, one int, two int, block int, rep long")
+    tested = paired.join(reps.select("rep", "bands"), "rep").repartition(*GROUP).sortWithinPartitions(*GROUP)
+    needed = tested.select("key", "band", "one", "two", "block", "rep", "bands").mapInArrow(tk.by_group(_members, GROUP), "key long, band int, one int, two int, block int, rep long")
     lists = needed.groupBy("rep").agg(F.collect_list(F.struct("key", "band", "one", "two", "block")).alias("groups"))
     wanted = lists.join(reps.select("rep", "copies", "bands"), "rep").withColumnRenamed("rep", "doc_id")
 
@@ -262,8 +234,8 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, least: float = LEAST, rec
 
     kind = "array<struct<key:long,band:int,one:int,two:int,block:int>>"
     sets = docs.join(wanted, "doc_id").select("doc_id", "text", "copies", "bands", "groups").mapInArrow(grams_of, f"rep long, copies long, bands array<long>, groups {kind}, grams array<long>")
-    sent = sets.select("rep", "copies", "bands", "grams", F.inline("groups")).repartition(*group).sortWithinPartitions(*group)
-    verified = checkpointed(sent.mapInArrow(by_group(_verifier(least)), "rep long, root long, links long"))
+    sent = sets.select("rep", "copies", "bands", "grams", F.inline("groups")).repartition(*GROUP).sortWithinPartitions(*GROUP)
+    verified = checkpointed(sent.mapInArrow(tk.by_group(_verifier(least), GROUP), "rep long, root long, links long"))
     roots = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = reps.select("rep", "copies", "d1", "d2").join(links, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")

@@ -18,8 +18,9 @@ anchor's windows start at lo..hi; each holds the SPREAD-independent `core` bytes
    interval at depth width - d and its interval of preceding bytes at depth d.
 4. Repeated windows go back to their texts as runs.
 
-A core that many distinct entries share (more than MOST_IN_CORE) isn't gathered: its windows are counted
-one by one by Spark, with partial sums, which is exact too.
+A core that is met more than MOST_IN_CORE times isn't gathered: its windows are counted one by one by
+Spark, with partial sums, which is exact too. A core is told by two independent 64-bit hashes; what is
+around it is compared byte by byte.
 
 Null texts are empty; texts under `width` bytes keep everything; repeated rows count as occurrences of
 one another; other columns are not read. doc_id must be unique.
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import textkit as tk
+from riskloom.llm.common import checkpointed
 
 WIDTH = 200
 SPREAD = 128
@@ -73,7 +75,7 @@ def _runs(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cores(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(core, n, places): by shard, the core hashes of its anchors, and (doc_id, place) of each as int64 pairs."""
+    """(core, check, places): by shard, two hashes of the anchors' cores, and (doc_id, place) of each as int64 pairs."""
     wide = core_bytes(width)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,40 +84,40 @@ def cores(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             row, at, _, _ = anchors(raw, bounds, width)
             if not len(at):
                 continue
-            sums, inverses = tk.rolling(raw)
-            core = tk.span_hash(sums, inverses, at, at + wide)
+            core, check = _core(raw, at, wide)
             ids = block.column("doc_id").to_numpy(zero_copy_only=False)
-            order, first = _runs([core])
-            place = np.empty((len(at), 2), np.int64)
-            place[:, 0], place[:, 1] = ids[row][order], (at - bounds[row])[order]
-            ends = np.r_[first[1:], len(at)]
-            data = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.r_[first, len(at)].astype(np.int32) * np.int32(16)), pa.py_buffer(place)])
-            yield pa.RecordBatch.from_arrays([pa.array(core[order][first].view(np.int64)), pa.array(ends - first), data], ["core", "n", "places"])
+            order, first = _runs([core, check])
+            place = np.stack([ids[row][order], (at - bounds[row])[order]], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(core[order][first]), pa.array(check[order][first]), tk.binary_pairs(first, place)], ["core", "check", "places"])
 
-    return docs.select("doc_id", "text").mapInArrow(shard, "core long, n long, places binary")
+    return docs.select("doc_id", "text").mapInArrow(shard, "core long, check long, places binary")
 
 
-def repeated_anchors(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, ats): the anchors whose core is met at least twice, by document, as int64 places."""
-    dealt = cores(docs, width).repartition("core")
-    twice = dealt.groupBy("core").agg(F.sum("n").alias("__n")).filter("__n > 1").select("core")
-    kept = dealt.join(twice, "core", "left_semi")
+def _core(raw: np.ndarray, at: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(tk.span_hash(*tk.rolling(raw, base), at, at + wide).view(np.int64) for base in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = np.frombuffer(b"".join(b.column("places").to_pylist()), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1].astype(np.int32))], ["doc_id", "at"])
 
-    found = kept.select("places").mapInArrow(places, "doc_id long, at int")
-    return found.groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
+def repeated_anchors(docs: DataFrame, width: int = WIDTH, most_in_core: int = MOST_IN_CORE) -> DataFrame:
+    """(doc_id, ats): by document, array<struct<at,hot>> of the anchors whose core is met at least twice; hot: more than most_in_core times."""
+
+    def repeated(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        counts, pairs = tk.pairs_of(table.column("places"))
+        total = np.add.reduceat(counts, cuts[:-1])
+        total = np.repeat(np.repeat(total, np.diff(cuts)), counts)
+        keep = total > 1
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[keep, 0]), pa.array(pairs[keep, 1].astype(np.int32)), pa.array(total[keep] > most_in_core)], ["doc_id", "at", "hot"])
+
+    dealt = cores(docs, width).repartition("core", "check").sortWithinPartitions("core", "check")
+    found = dealt.mapInArrow(tk.by_group(repeated, ("core", "check")), "doc_id long, at int, hot boolean")
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "hot")).alias("ats"))
 
 
 def transforms(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(core, after, before, lo, hi, n, places): each shard's sparse transform, for docs with a column `ats`.
+    """(core, check, after, before, lo, hi, hot, places): each shard's sparse transform, for docs with a column `ats`.
 
-    `after` are the bytes from the anchor to the end of its last window, `before` those back to its first
-    window in reverse; lo and hi are how far before the anchor its first and last windows start.
+    `after` are the bytes behind the core to the end of the anchor's last window, `before` those back to its
+    first window in reverse; lo and hi are how far before the anchor its first and last windows start.
     """
     wide = core_bytes(width)
 
@@ -123,46 +125,45 @@ def transforms(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         for block in tk.blocks(batches):
             raw, bounds = tk.text_bytes(block.column("text"))
             row, at, lo, hi = anchors(raw, bounds, width)
-            wanted = np.zeros(len(raw) + 1, bool)
+            wanted = np.zeros(len(raw) + 1, np.int8)
             ats = block.column("ats")
-            lists = ats.flatten().to_numpy(zero_copy_only=False)
-            wanted[lists + np.repeat(bounds[:-1], np.diff(ats.offsets.to_numpy()))] = True
-            keep = wanted[at]
+            lists = ats.flatten()
+            where = lists.field("at").to_numpy(zero_copy_only=False) + np.repeat(bounds[:-1], np.diff(ats.offsets.to_numpy()))
+            wanted[where] = 1 + lists.field("hot").to_numpy(zero_copy_only=False)
+            keep = wanted[at] > 0
             row, at, lo, hi = row[keep], at[keep], lo[keep], hi[keep]
             if not len(at):
                 continue
-            sums, inverses = tk.rolling(raw)
-            core = tk.span_hash(sums, inverses, at, at + wide)
-            whole = tk.span_hash(sums, inverses, lo, hi + width)
+            core, check = _core(raw, at, wide)
+            whole = tk.span_hash(*tk.rolling(raw), lo, hi + width)
             ids = block.column("doc_id").to_numpy(zero_copy_only=False)
-            order, first = _runs([core, whole, at - lo])
-            place = np.empty((len(at), 2), np.int64)
-            place[:, 0], place[:, 1] = ids[row][order], (at - bounds[row])[order]
+            order, first = _runs([core, check, whole, at - lo])
+            place = np.stack([ids[row][order], (at - bounds[row])[order]], 1)
             text = raw.tobytes()
-            a, l, h = (x[order][first] for x in (at, lo, hi))
-            after = [text[x : y + width] for x, y in zip(a.tolist(), h.tolist())]
+            head = order[first]
+            a, l, h = at[head], lo[head], hi[head]
+            after = [text[x + wide : y + width] for x, y in zip(a.tolist(), h.tolist())]
             before = [text[x:y][::-1] for x, y in zip(l.tolist(), a.tolist())]
-            data = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.r_[first, len(at)].astype(np.int32) * np.int32(16)), pa.py_buffer(place)])
             run = np.array(sorted(range(len(after)), key=after.__getitem__), np.int64)  # the shard's suffixes in order
             out = pa.RecordBatch.from_arrays(
-                [pa.array(core[order][first].view(np.int64)), pa.array(after, pa.binary()), pa.array(before, pa.binary()), pa.array((a - l).astype(np.int32)), pa.array((a - h).astype(np.int32)), pa.array(np.diff(np.r_[first, len(at)])), data],
-                ["core", "after", "before", "lo", "hi", "n", "places"],
+                [pa.array(core[head]), pa.array(check[head]), pa.array(after, pa.binary()), pa.array(before, pa.binary()), pa.array((a - l).astype(np.int32)), pa.array((a - h).astype(np.int32)), pa.array(wanted[a] > 1), tk.binary_pairs(first, place)],
+                ["core", "check", "after", "before", "lo", "hi", "hot", "places"],
             )
             yield out.take(pa.array(run))
 
-    return docs.select("doc_id", "text", "ats").mapInArrow(shard, "core long, after binary, before binary, lo int, hi int, n long, places binary")
+    return docs.select("doc_id", "text", "ats").mapInArrow(shard, "core long, check long, after binary, before binary, lo int, hi int, hot boolean, places binary")
 
 
-def _padded(strings: pa.Array, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    """(words, sizes): the strings as rows of big-endian 64-bit words, zeros beyond their ends."""
+def _padded(strings: pa.Array, wide: int) -> np.ndarray:
+    """The strings as rows of big-endian 64-bit words, zeros beyond their ends."""
     bounds = np.frombuffer(strings.buffers()[1], np.int32, len(strings) + 1 + strings.offset)[strings.offset :].astype(np.int64)
     raw = np.frombuffer(strings.buffers()[2] or b"", np.uint8)
-    sizes = np.diff(bounds)
-    out = np.zeros((len(strings), -(-wide // 8) * 8), np.uint8)
-    at = np.arange(out.shape[1])
-    inside = at < np.minimum(sizes, wide)[:, None]
-    out[inside] = raw[(bounds[:-1, None] + at)[inside]]
-    return out.view(">u8").astype(np.uint64), sizes
+    sizes = np.minimum(np.diff(bounds), wide)
+    out = np.zeros((len(strings), max(1, -(-wide // 8)) * 8), np.uint8)
+    row = np.repeat(np.arange(len(strings)), sizes)
+    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[row, at] = raw[bounds[row] + at]
+    return out.view(">u8").astype(np.uint64)
 
 
 def interleave(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,17 +206,18 @@ def _zero_bytes(x: np.ndarray) -> np.ndarray:
     return n
 
 
-def repeated_windows(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(table: pa.Table, cuts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(entry, d): the windows of a merge's entries, by how far before their anchor they start, that are repeated."""
-    core = batch.column("core").to_numpy(zero_copy_only=False)
-    _, group = np.unique(core, return_inverse=True)
-    lo, hi, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "hi", "n"))
+    size = table.num_rows
+    group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    lo, hi = (table.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi"))
+    n, _ = tk.pairs_of(table.column("places"))
+    wide = core_bytes(width)
     ranks, parts = [], []
-    for c, wide in (("after", width), ("before", SPREAD)):
-        words, _ = _padded(batch.column(c), wide)
-        order, common = interleave(group, words)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+    for c, most in (("after", width - wide), ("before", SPREAD)):
+        order, common = interleave(group, _padded(table.column(c).combine_chunks(), most))
+        rank = np.empty(size, np.int64)
+        rank[order] = np.arange(size)
         ranks.append(rank)
         parts.append(common)
     entries, depths = [], []
@@ -223,10 +225,9 @@ def repeated_windows(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.
         who = np.flatnonzero((hi <= d) & (d <= lo))
         if not len(who):
             continue
-        after = np.cumsum(parts[0] < width - d)[ranks[0][who]]
+        after = np.cumsum(parts[0] < width - wide - d)[ranks[0][who]]
         before = np.cumsum(parts[1] < d)[ranks[1][who]]
-        key = after * (len(core) + 1) + before
-        _, inverse = np.unique(key, return_inverse=True)
+        _, inverse = np.unique(after * (size + 1) + before, return_inverse=True)
         again = np.bincount(inverse, n[who])[inverse] > 1
         entries.append(who[again])
         depths.append(np.full(int(again.sum()), d))
@@ -235,79 +236,62 @@ def repeated_windows(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.
     return np.concatenate(entries), np.concatenate(depths)
 
 
-def _spread(batch: pa.RecordBatch, entry: np.ndarray, d: np.ndarray) -> pa.RecordBatch | None:
+def _spread(places: pa.Array | pa.ChunkedArray, entry: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(doc_id, lo, hi): the windows of all places of the entries, as runs of starts."""
     if not len(entry):
-        return None
+        return
     order = np.lexsort([-d, entry])
     entry, d = entry[order], d[order]
-    new = np.r_[True, (entry[1:] != entry[:-1]) | (d[1:] != d[:-1] - 1)]
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.r_[True, (entry[1:] != entry[:-1]) | (d[1:] != d[:-1] - 1)])
     last = np.r_[first[1:], len(entry)] - 1
     e, far, near = entry[first], d[first], d[last]
-    offsets = np.frombuffer(batch.column("places").buffers()[1], np.int32, batch.num_rows + 1 + batch.column("places").offset)[batch.column("places").offset :].astype(np.int64) // 16
-    place = np.frombuffer(batch.column("places").buffers()[2], np.int64).reshape(-1, 2)
-    count = offsets[e + 1] - offsets[e]
+    counts, place = tk.pairs_of(places)
+    begin = np.cumsum(counts) - counts
+    count = counts[e]
     which = np.repeat(np.arange(len(e)), count)
-    idx = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(offsets[e], count)
-    return pa.RecordBatch.from_arrays([pa.array(place[idx, 0]), pa.array((place[idx, 1] - far[which]).astype(np.int32)), pa.array((place[idx, 1] - near[which]).astype(np.int32))], ["doc_id", "lo", "hi"])
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[e], count)
+    yield pa.RecordBatch.from_arrays([pa.array(place[at, 0]), pa.array((place[at, 1] - far[which]).astype(np.int32)), pa.array((place[at, 1] - near[which]).astype(np.int32))], ["doc_id", "lo", "hi"])
 
 
-def merged(entries: DataFrame, width: int = WIDTH, rows: int = 20_000) -> DataFrame:
-    """(doc_id, lo, hi): runs of the starts of repeated windows, from transforms dealt and sorted by core."""
+RUNS = "doc_id long, lo int, hi int"
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-        held = 0
-        for b in batches:
-            rest.append(b)
-            held += b.num_rows
-            if held < rows:
-                continue
-            table = pa.Table.from_batches(rest).combine_chunks()
-            core = table.column("core").to_numpy()
-            cut = int(np.flatnonzero(core != core[-1])[-1]) + 1 if core[0] != core[-1] else 0  # the last core may go on
-            if cut:
-                yield from done(table.slice(0, cut))
-            rest, held = table.slice(cut).to_batches(), len(core) - cut
-        if held:
-            yield from done(pa.Table.from_batches(rest))
 
-    def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        batch = table.combine_chunks().to_batches()[0]
-        batch = batch.take(pa.array(np.arange(batch.num_rows)))  # own buffers, from offset 0
-        out = _spread(batch, *repeated_windows(batch, width))
-        if out is not None:
-            yield out
+def merged(entries: DataFrame, width: int = WIDTH) -> DataFrame:
+    """RUNS of the starts of repeated windows, from shards' transforms."""
 
-    return entries.repartition("core").sortWithinPartitions("core").mapInArrow(merge, "doc_id long, lo int, hi int")
+    def merge(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from _spread(table.column("places"), *repeated_windows(table, cuts, width))
+
+    dealt = entries.repartition("core", "check").sortWithinPartitions("core", "check")
+    return dealt.mapInArrow(tk.by_group(merge, ("core", "check"), 1 << 23), RUNS)
 
 
 def counted(entries: DataFrame, width: int = WIDTH) -> DataFrame:
-    """As merged(), by counting windows one by one: for cores that too many distinct entries share."""
-    one = entries.select("core", "before", "after", "n", "places", F.explode(F.sequence("hi", "lo")).alias("d"))
-    window = F.concat(F.substring("before", F.lit(1), F.col("d")), F.lit(b"|"), F.substring("after", F.lit(1), width - F.col("d")))
-    keyed = one.select("n", "places", "d", F.xxhash64("core", "d", window).alias("h1"), F.xxhash64(F.lit(1), window, "core").alias("h2"))
-    twice = keyed.groupBy("h1", "h2").agg(F.sum("n").alias("__n")).filter("__n > 1").select("h1", "h2")
+    """As merged(), by counting windows one by one: for cores that too many entries share."""
+    rest = width - core_bytes(width)
+    one = entries.select("core", "check", "before", "after", "places", F.explode(F.sequence("hi", "lo")).alias("d"))
+    parts = [F.col("core"), F.col("check"), F.col("d"), F.substring("before", F.lit(1), F.col("d")), F.substring("after", F.lit(1), rest - F.col("d"))]
+    keyed = one.select("places", "d", F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2"))
+    twice = keyed.groupBy("h1", "h2").agg(F.sum(F.length("places")).alias("n")).filter("n > 16").select("h1", "h2")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.take(pa.array(np.arange(b.num_rows)))
-            out = _spread(b, np.arange(b.num_rows), b.column("d").to_numpy(zero_copy_only=False).astype(np.int64))
-            if out is not None:
-                yield out
-
-    return keyed.join(twice, ["h1", "h2"], "left_semi").select("places", "d").mapInArrow(spread, "doc_id long, lo int, hi int")
-
-
-def repeated_runs(docs: DataFrame, width: int = WIDTH, most_in_core: int = MOST_IN_CORE) -> DataFrame:
-    """(doc_id, runs): by document, array<struct<lo,hi>> of the starts of windows that are met at least twice."""
-    docs = docs.select("doc_id", "text").repartition("doc_id")
-    entries = transforms(docs.join(repeated_anchors(docs, width), "doc_id"), width).repartition("core")
-    sizes = entries.groupBy("core").agg(F.count(F.lit(1)).alias("__rows"))
-    large = sizes.filter(F.col("__rows") > most_in_core).select("core")
-    small = sizes.filter(F.col("__rows") <= most_in_core).select("core")
-    found = merged(entries.join(small, "core", "left_semi"), width).unionAll(counted(entries.join(large, "core", "left_semi"), width))
+            yield from _spread(b.column("places"), np.arange(b.num_rows), b.column("d").to_numpy(zero_copy_only=False).astype(np.int64))
+
+    return keyed.join(twice, ["h1", "h2"], "left_semi").select("places", "d").mapInArrow(spread, RUNS)
+
+
+def repeated_runs(docs: DataFrame, dealt: DataFrame, width: int = WIDTH, most_in_core: int = MOST_IN_CORE) -> DataFrame:
+    """(doc_id, runs): by document, array<struct<lo,hi>> of the starts of windows that are met at least twice.
+
+    `dealt` are the same docs by doc_id, for the join that comes after the first pass.
+    """
+    ats = checkpointed(repeated_anchors(docs, width, most_in_core))
+    entries = transforms(dealt.join(ats, "doc_id"), width)
+    if ats.filter(F.exists("ats", lambda x: x["hot"])).limit(1).count():
+        found = merged(entries.filter("NOT hot"), width).unionAll(counted(entries.filter("hot"), width))
+    else:
+        found = merged(entries, width)
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
 
@@ -333,7 +317,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, most_in_core: int = MOST_IN_CORE)
             kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return base.join(repeated_runs(docs, width, most_in_core), "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<s:long,e:long>>, kept binary")
+    return base.join(repeated_runs(docs, base, width, most_in_core), "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<s:long,e:long>>, kept binary")
 
 
 def op5(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ Everything is a few array passes over a block of about `most` bytes, so memory i
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -122,3 +122,50 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
         m[:-step] = np.minimum(m[:-step], m[step:]) if step < len(m) else m[:-step]
         done += step
     return (m & low).astype(np.int64)
+
+
+def by_group(work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], keys: tuple[str, ...], most: int = 1 << 24) -> Callable:
+    """A mapInArrow function over rows sorted by `keys`: work(rows, bounds of groups) on whole groups, of about `most` bytes at once.
+
+    Tables given to work have their own buffers, from offset 0.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size < most:
+                continue
+            table = pa.Table.from_batches(held)
+            cuts = bounds(table)
+            if len(cuts) > 2:
+                yield from work(_own(table.slice(0, cuts[-2])), cuts[:-1])
+                table = _own(table.slice(cuts[-2]))
+            held, size = table.to_batches(), table.nbytes
+        if held and sum(b.num_rows for b in held):
+            table = _own(pa.Table.from_batches(held))
+            yield from work(table, bounds(table))
+
+    def bounds(table: pa.Table) -> np.ndarray:
+        columns = [table.column(c).to_numpy() for c in keys]
+        return np.r_[0, np.flatnonzero(np.any([k[1:] != k[:-1] for k in columns], axis=0)) + 1, table.num_rows]
+
+    return run
+
+
+def _own(table: pa.Table) -> pa.Table:
+    return table.combine_chunks().take(pa.array(np.arange(table.num_rows)))
+
+
+def binary_pairs(first: np.ndarray, pairs: np.ndarray) -> pa.Array:
+    """A binary column of int64 pairs: row i holds those from first[i] to the next row's."""
+    ends = np.r_[first, len(pairs)].astype(np.int32) * np.int32(16)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(pairs, np.int64))])
+
+
+def pairs_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, pairs) of such a column."""
+    raw = column.to_pylist()
+    return np.array([len(x) // 16 for x in raw], np.int64), np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
