@@ -86,11 +86,9 @@ def segments(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             first = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
             ends = np.r_[first[1:], len(order)]
             head = order[first]
-            place = np.empty((len(order), 2), np.int64)
-            place[:, 0], place[:, 1] = ids[order], (s.lo - s.first[s.row])[order]
-            data = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.r_[first, len(order)].astype(np.int32) * np.int32(16)), pa.py_buffer(place)])
+            place = np.stack([ids[order], (s.lo - s.first[s.row])[order]], 1)
             columns = [core[head], whole[head], check[head], s.hashed(s.lo[head], s.lo[head] + width - 1), s.hashed(s.hi[head] + 1, s.hi[head] + width), (s.hi - s.lo + 1)[head].astype(np.int32), place[first, 0], place[ends - 1, 0]]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), data], ["core", "whole", "check", "src", "dst", "windows", "least", "most", "places"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), tk.binary_pairs(first, place)], ["core", "whole", "check", "src", "dst", "windows", "least", "most", "places"])
 
     return docs.select("doc_id", "text").mapInArrow(shard, "core long, whole long, check long, src long, dst long, windows int, least long, most long, places binary")
 
@@ -124,11 +122,9 @@ def _places(rows: DataFrame, *keep: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                raw = b.column("places").to_pylist()
-                count = np.array([len(x) // 16 for x in raw])
-                x = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
-                at = pa.array(np.repeat(np.arange(b.num_rows), count))
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), *(b.column(c).take(at) for c in keep)], ["doc_id", "lo", *keep])
+                counts, pairs = tk.pairs_of(b.column("places"))
+                at = pa.array(np.repeat(np.arange(b.num_rows), counts))
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *(b.column(c).take(at) for c in keep)], ["doc_id", "lo", *keep])
 
     return rows.select("places", *keep).mapInArrow(each, ", ".join(["doc_id long", "lo long", *(f"{c} {kinds[c]}" for c in keep)]))
 
@@ -151,27 +147,61 @@ def edges_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text", "los").mapInArrow(split, "edge long, check long, doc_id long, lo long")
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, runs): by document, array<struct<lo,hi>> of the starts of windows that a smaller document also holds."""
-    docs = docs.select("doc_id", "text").repartition("doc_id")
-    dealt = segments(docs, width).repartition("core")
-    classes = dealt.groupBy("core", "whole", "check").agg(F.min("least").alias("owner"), F.max("most").alias("most"), F.first("src").alias("src"), F.first("dst").alias("dst"), F.first("windows").alias("windows"))
-    key = F.xxhash64("core", "whole", "check").alias("id")
-    graph = checkpointed(classes.filter("most > owner").select(key, "owner", "src", "dst", "windows"))
-    paths = graph.select("id", "owner").join(compact(graph.select("id", "src", "dst", "windows")), "id")
-    placed = _places(dealt.select(key, "windows", "places").join(paths, "id"), "windows", "owner", "path", "offset").filter("doc_id > owner")
+def shared_segments(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The segments whose core at least two documents hold, from one exchange by core.
+
+    With them come `many`, whether the core has several classes, and the class's `owner` and `most` (largest) doc_id.
+    """
+
+    def shared(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        least, most = table.column("least").to_numpy(), table.column("most").to_numpy()
+        both = np.minimum.reduceat(least, cuts[:-1]) < np.maximum.reduceat(most, cuts[:-1])
+        keep = np.flatnonzero(np.repeat(both, np.diff(cuts)))
+        if not len(keep):
+            return
+        core, whole, check = (table.column(c).to_numpy()[keep] for c in ("core", "whole", "check"))
+        order = np.lexsort([check, whole, core])
+        keys = [k[order] for k in (core, whole, check)]
+        first = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+        sizes = np.diff(np.r_[first, len(order)])
+        owner = np.repeat(np.minimum.reduceat(least[keep][order], first), sizes)
+        last = np.repeat(np.maximum.reduceat(most[keep][order], first), sizes)
+        _, group, classes = np.unique(keys[0][first], return_inverse=True, return_counts=True)
+        many = np.repeat(classes[group] > 1, sizes)
+        out = table.take(pa.array(keep[order])).drop_columns(["most"])
+        for name, column in (("owner", owner), ("most", last), ("many", many)):
+            out = out.append_column(name, pa.array(column))
+        yield from out.to_batches()
+
+    kind = "core long, whole long, check long, src long, dst long, windows int, least long, places binary, owner long, most long, many boolean"
+    dealt = segments(docs, width).repartition("core").sortWithinPartitions("core")
+    return dealt.mapInArrow(tk.by_group(shared, ("core",)), kind)
+
+
+def repeated_spans(docs: DataFrame, dealt: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, runs): by document, array<struct<lo,hi>> of the starts of windows that a smaller document also holds.
+
+    `dealt` are the same docs by doc_id, for the joins that come after the first pass.
+    """
+    shared = checkpointed(shared_segments(docs, width)).withColumn("id", F.xxhash64("core", "whole", "check"))
+    graph = shared.filter("most > owner").groupBy("id").agg(F.first("src").alias("src"), F.first("dst").alias("dst"), F.first("windows").alias("windows"))
+    paths = compact(checkpointed(graph))
+    placed = _places(shared.filter("most > owner").select("id", "windows", "owner", "places").join(paths, "id"), "windows", "owner", "path", "offset").filter("doc_id > owner")
     spans = placed.groupBy("doc_id", "path", (F.col("lo") - F.col("offset")).alias("diagonal")).agg(
         F.min("lo").alias("lo"), F.max(F.col("lo") + F.col("windows") - 1).alias("hi"), F.sum("windows").alias("n"), F.collect_list(F.struct("lo", (F.col("lo") + F.col("windows") - 1).alias("hi"))).alias("each")
-    )
+    )
     long_spans = spans.select("doc_id", F.explode(F.when(F.col("n") == F.col("hi") - F.col("lo") + 1, F.array(F.struct("lo", "hi"))).otherwise(F.col("each"))).alias("run"))
 
-    mixed = classes.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
-    owners = classes.join(mixed, "core", "left_semi").select(key, "owner")
-    split = _places(dealt.select(key, "windows", "least", "places").join(owners, "id").filter("least = owner"), "windows", "owner").filter("doc_id = owner")
+    split = _places(shared.filter("many AND least = owner").select("windows", "owner", "places"), "windows", "owner").filter("doc_id = owner")
     wanted = split.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "windows")).alias("los"))
-    edges = edges_of(docs.join(wanted, "doc_id"), width).repartition("edge")
-    first = edges.groupBy("edge", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("last > first").select("edge", "check", "first")
-    singles = edges.join(first, ["edge", "check"]).filter("doc_id > first").select("doc_id", F.struct("lo", F.col("lo").alias("hi")).alias("run"))
+    edges = edges_of(dealt.join(wanted, "doc_id"), width).repartition("edge", "check").sortWithinPartitions("edge", "check")
+
+    def later(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids = table.column("doc_id").to_numpy()
+        keep = np.flatnonzero(ids > np.repeat(np.minimum.reduceat(ids, cuts[:-1]), np.diff(cuts)))
+        yield from table.select(["doc_id", "lo"]).take(pa.array(keep)).to_batches()
+
+    singles = edges.mapInArrow(tk.by_group(later, ("edge", "check")), "doc_id long, lo long").select("doc_id", F.struct("lo", F.col("lo").alias("hi")).alias("run"))
     return long_spans.unionAll(singles).groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
 
 
@@ -196,7 +226,7 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 kept.append(b" ".join([text[x:y] for x, y in zip(starts[keep].tolist(), ends[keep].tolist())]))
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return base.join(repeated_spans(docs, width), "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
+    return base.join(repeated_spans(docs, base, width), "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def op7(docs: DataFrame) -> DataFrame:
