@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 
-ARTICLE = StructType.fromDDL("title string, pub_time string, content string, url string, source string, language string, crawled_at string")
-RISK_RECORD = StructType.fromDDL("date string, risk_score double, risk_level string, details map<string,double>, recorded_at string")
+ARTICLE = StructType([StructField(c, StringType()) for c in ("title", "pub_time", "content", "url", "source", "language", "crawled_at")])
+RISK_RECORD = StructType([StructField("date", StringType()), StructField("risk_score", DoubleType()), StructField("risk_level", StringType()), StructField("details", MapType(StringType(), DoubleType())), StructField("recorded_at", StringType())])
 
 
 def _present(reader, load, schema: StructType, spark: SparkSession) -> DataFrame:
@@ -39,7 +39,7 @@ def scan_json(spark: SparkSession, path: str, schema: StructType = ARTICLE) -> D
 def scan_jsonl(spark: SparkSession, path: str, schema: StructType = RISK_RECORD) -> tuple[DataFrame, DataFrame]:
     """(rows, bad): JSON lines that parse, and the text of those that don't. Blank lines are neither."""
     wide = StructType([*schema.fields, StructField("_bad", StringType())])
-    lines = _present(spark.read, lambda r: r.text(path), StructType.fromDDL("value string"), spark).filter(F.trim("value") != "")
+    lines = _present(spark.read, lambda r: r.text(path), StructType([StructField("value", StringType())]), spark).filter(F.trim("value") != "")
     parsed = lines.select("value", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
     return parsed.filter(~bad).select(*[f"r.{f.name}" for f in schema]), parsed.filter(bad).select("value")
