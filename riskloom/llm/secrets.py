@@ -32,6 +32,7 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{0,40}[0-9])(?=[A-Za-z0-9+
 ORDINARY = r"[A-Za-z][A-Za-z0-9_-]{4,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 EDGE = "\x02"
+PRIOR = 8.0
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,7 @@ def _code(c: Column) -> Column:
 
 
 def train(samples: DataFrame, token: str = "token", label: str = "label", threshold: float = 1.0) -> MarkovRatio:
-    """Count both models from labelled tokens (1: random, 0: ordinary), with one added to each count.
+    """Count both models from labelled tokens (1: random, 0: ordinary); bigrams lean on single characters with the weight of PRIOR counts.
 
     The counts of equal tokens are summed first, then those of bigrams, so hot tokens cost one row a task.
     """
@@ -62,8 +63,10 @@ def train(samples: DataFrame, token: str = "token", label: str = "label", thresh
     pairs = framed.select("y", "count", "t", F.explode(F.sequence(F.lit(1), F.length("t") - 1)).alias("i"))
     pairs = pairs.select("y", "count", _code(F.substring("t", F.col("i"), F.lit(1))).alias("a"), _code(F.substring("t", F.col("i") + 1, F.lit(1))).alias("b"))
     counts = {(r.y, r.a, r.b): r.n for r in pairs.groupBy("y", "a", "b").agg(F.sum("count").alias("n")).collect()}  # at most 2 * size ** 2 rows
-    rows = {(y, a): size + sum(counts.get((y, a, b), 0) for b in range(size)) for y in (0, 1) for a in range(size)}
-    logp = lambda y, a, b: math.log((counts.get((y, a, b), 0) + 1) / rows[y, a])
+    after = {(y, a): sum(counts.get((y, a, b), 0) for b in range(size)) for y in (0, 1) for a in range(size)}
+    total = {y: sum(after[y, a] for a in range(size)) for y in (0, 1)}
+    alone = {(y, b): (sum(counts.get((y, a, b), 0) for a in range(size)) + 0.5) / (total[y] + 0.5 * size) for y in (0, 1) for b in range(size)}
+    logp = lambda y, a, b: math.log((counts.get((y, a, b), 0) + PRIOR * alone[y, b]) / (after[y, a] + PRIOR))
     return MarkovRatio([round(logp(1, a, b) - logp(0, a, b), 6) for a in range(size) for b in range(size)], threshold)
 
 
