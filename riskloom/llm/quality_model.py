@@ -73,31 +73,45 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, key: str, label: str, rows: int, bits: int) -> DataFrame:
-    """(block, y, n, f): the sample's rows with their features as int32 bytes."""
-    chosen = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("y"))
-    own = docs.select(F.col(key).alias("__key"), "text").join(chosen, "__key")
-    own = own.orderBy(F.xxhash64("__key"), "__key").limit(rows).select("y", "text", F.pmod(F.xxhash64("__key", F.lit(5)), F.lit(BLOCKS)).cast("int").alias("block"))
+    """(y, f): the sample's labels and features (int32 bytes), in BLOCKS partitions.
+
+    The keys are chosen from the labels alone, at most `rows` of them, and so can be broadcast; only their
+    texts are moved.
+    """
+    given = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("y"))
+    chosen = given.orderBy(F.xxhash64("__key"), "__key", "y").limit(rows)
+    own = docs.select(F.col(key).alias("__key"), "text").join(F.broadcast(chosen), "__key").select("y", "text")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tk.blocks(batches):
             row, f = features(b, bits)
             ends = np.searchsorted(row, np.arange(b.num_rows + 1))
             data = f.astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("y"), pa.array([data[x:y].tobytes() for x, y in zip(ends, ends[1:])], pa.binary())], ["block", "y", "f"])
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([data[x:y].tobytes() for x, y in zip(ends, ends[1:])], pa.binary())], ["y", "f"])
+
+    return checkpointed(own.repartition(BLOCKS).mapInArrow(featured, "y int, f binary"))
+
+
+def _each_block(sample: DataFrame, work: Callable[[int, np.ndarray, list[np.ndarray]], dict], schema: str) -> list:
+    """work(block, labels, features) on every partition of the sample, where it lies; a row from each, BLOCKS in all."""
 
-    return checkpointed(own.select("block", "y", "text").repartition(BLOCKS).mapInArrow(featured, "block int, y int, f binary"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        held = [b for b in batches if b.num_rows]  # a block is at most the bounded sample
+        if held:
+            table = pa.Table.from_batches(held)
+            fs = [np.frombuffer(x, np.int32) for x in table.column("f").to_pylist()]
+            out = work(TaskContext.get().partitionId(), table.column("y").to_numpy(), fs)
+            yield pa.RecordBatch.from_pydict({k: [v] for k, v in out.items()})
 
-def _rows(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-    return table.column("y").to_numpy(), [np.frombuffer(x, np.int32) for x in table.column("f").to_pylist()]
+    return sample.mapInArrow(run, schema).collect()
 
 
 def _descent(ratio: np.ndarray, costs: dict[int, float], w0: np.ndarray, b0: float, duals: dict, turn: int) -> Callable:
     """A round of dual coordinate descent on a block's rows, from the common weights."""
 
-    def descend(table: pa.Table) -> pa.Table:
-        y, fs = _rows(table)
-        block = table.column("block")[0].as_py()
+    def descend(block: int, y: np.ndarray, fs: list[np.ndarray]) -> dict:
         alpha = np.zeros(len(y)) if duals[block] is None else duals[block].copy()
         w, b = w0.copy(), b0
         for i in np.random.default_rng(turn * 1000 + block).permutation(len(y)):
@@ -114,7 +128,7 @@ def _descent(ratio: np.ndarray, costs: dict[int, float], w0: np.ndarray, b0: flo
                 w[f] += step * x
                 b += step
         margins = np.array([w0[f] @ (ratio[f] / np.sqrt(max(len(f), 1))) + b0 for f in fs])
-        return pa.table({"block": [block], "dw": [(w - w0).tobytes()], "db": [b - b0], "alpha": [alpha.tobytes()], "margin": [margins.tobytes()], "y": [y.astype(np.int8).tobytes()]})
+        return {"block": block, "dw": (w - w0).tobytes(), "db": float(b - b0), "alpha": alpha.tobytes(), "margin": margins.tobytes(), "y": y.astype(np.int8).tobytes()}
 
     return descend
 
@@ -124,12 +138,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
     sample = _sample(docs, labels, key, label, rows, bits)
     size = 1 << bits
 
-    def count(table: pa.Table) -> pa.Table:
-        y, fs = _rows(table)
+    def count(block: int, y: np.ndarray, fs: list[np.ndarray]) -> dict:
         sums = [np.bincount(np.concatenate([f for f, v in zip(fs, y) if v == c] or [np.zeros(0, np.int32)]), minlength=size).astype(np.int64).tobytes() for c in (0, 1)]
-        return pa.table({"block": table.column("block")[:1], "p": [sums[1]], "q": [sums[0]], "pos": [int(y.sum())], "neg": [int((1 - y).sum())]})
+        return {"block": block, "p": sums[1], "q": sums[0], "pos": int(y.sum()), "neg": int((1 - y).sum())}
 
-    counted = sample.groupBy("block").applyInArrow(count, "block int, p binary, q binary, pos long, neg long").collect()  # BLOCKS rows
+    counted = _each_block(sample, count, "block long, p binary, q binary, pos long, neg long")
     p, q = (sum((np.frombuffer(r[c], np.int64) for r in counted), np.zeros(size, np.int64)) + 1.0 for c in ("p", "q"))
     pos, neg = sum(r.pos for r in counted), sum(r.neg for r in counted)
     if not pos or not neg:
@@ -139,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
 
     weights, bias, duals = np.zeros(size), 0.0, {r.block: None for r in counted}
     for turn in range(rounds):
-        out = sample.groupBy("block").applyInArrow(_descent(ratio, costs, weights, bias, duals, turn), "block long, dw binary, db double, alpha binary, margin binary, y binary").collect()  # BLOCKS rows
+        out = _each_block(sample, _descent(ratio, costs, weights, bias, duals, turn), "block long, dw binary, db double, alpha binary, margin binary, y binary")
         share = 1 / len(out)
         weights = weights + share * sum(np.frombuffer(r.dw, np.float64) for r in out)
         bias += share * sum(r.db for r in out)
