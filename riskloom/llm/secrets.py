@@ -59,9 +59,10 @@ def train(samples: DataFrame, token: str = "token", label: str = "label", thresh
     """
     size = len(ALPHABET) + 2
     tokens = samples.select(F.col(token).alias("t"), F.col(label).cast("int").alias("y")).filter(F.col("t").isNotNull() & F.col("y").isNotNull()).groupBy("t", "y").count()
-    framed = tokens.select("y", "count", F.concat(F.lit(EDGE), F.col("t"), F.lit(EDGE)).alias("t"))
-    pairs = framed.select("y", "count", "t", F.explode(F.sequence(F.lit(1), F.length("t") - 1)).alias("i"))
-    pairs = pairs.select("y", "count", _code(F.substring("t", F.col("i"), F.lit(1))).alias("a"), _code(F.substring("t", F.col("i") + 1, F.lit(1))).alias("b"))
+    codes = F.transform(F.split(F.concat(F.lit(EDGE), F.col("t"), F.lit(EDGE)), ""), _code)
+    coded = tokens.select("y", "count", codes.alias("c"))
+    last = F.size("c") - 1
+    pairs = coded.select("y", "count", F.inline(F.zip_with(F.slice("c", F.lit(1), last), F.slice("c", F.lit(2), last), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
     counts = {(r.y, r.a, r.b): r.n for r in pairs.groupBy("y", "a", "b").agg(F.sum("count").alias("n")).collect()}  # at most 2 * size ** 2 rows
     after = {(y, a): sum(counts.get((y, a, b), 0) for b in range(size)) for y in (0, 1) for a in range(size)}
     total = {y: sum(after[y, a] for a in range(size)) for y in (0, 1)}
