@@ -3,7 +3,8 @@
 Every line of every text is compared with every template by the cosine of their TF-IDF vectors. Document
 frequencies of the templates' terms are counted over all documents; a term that no template holds weighs
 as one that no document holds. A line must hold one of a template's rarest terms to reach the threshold
-(the others' weight cannot suffice), so only such lines are split into terms; no line is lost by this.
+(the others' weight cannot suffice), and the terms it shares with one template bound its cosine from
+above, so only lines that can reach the threshold are split into terms; no line is lost by this.
 A file's licence is its best line's. A file without one takes that of the nearest directory above it
 that has one: directories are joined by path. A directory's licence is the best of the files right in it.
 
@@ -73,17 +74,38 @@ def line_scores(files: DataFrame, key: str, text: str, templates: dict[str, list
             rest -= unit[t] ** 2
     lines = files.select(F.col(key).alias("__key"), F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("__line"))
     sure = "(?i)(?<![a-z0-9.])\\.*(?:" + "|".join(re.escape(t).replace("\\-", "-") for t in sorted(need)) + ")(?![a-z0-9])"
-    lines = lines.filter(F.col("__line").rlike(sure)).withColumn("__line_id", F.monotonically_increasing_id())
-    counted = lines.select("__key", "__line_id", F.explode(terms(F.col("__line"))).alias("term")).groupBy("__key", "__line_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    lines = lines.filter(F.col("__line").rlike(sure))
+    lines = lines.filter(_reachable(terms(F.col("__line")), [{t: x for t, i, _, x in weights if i == n} for n in range(len(shapes))], least))
+    once = lines.select("__line").distinct()  # a notice that a third of all files hold is compared once
+    counted = once.select("__line", F.explode(terms(F.col("__line"))).alias("term")).groupBy("__line", "term").agg(F.count(F.lit(1)).alias("tf"))
     spark = files.sparkSession
     idfs = spark.createDataFrame([(t, float(x)) for t, x in idf.items()], "term string, idf double")
     shaped = spark.createDataFrame(weights, "term string, shape int, licence string, w double")
     weighed = counted.join(F.broadcast(idfs), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
     norms = F.sqrt(F.sum(F.col("x") * F.col("x")))
-    lined = weighed.groupBy("__key", "__line_id").agg(norms.alias("norm"), F.collect_list(F.struct("term", "x")).alias("terms"))
-    dots = lined.select("__key", "__line_id", "norm", F.inline("terms")).join(F.broadcast(shaped), "term").groupBy("__key", "__line_id", "shape", "licence", "norm").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    lined = weighed.groupBy("__line").agg(norms.alias("norm"), F.collect_list(F.struct("term", "x")).alias("terms"))
+    dots = lined.select("__line", "norm", F.inline("terms")).join(F.broadcast(shaped), "term").groupBy("__line", "shape", "licence", "norm").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     cosine = F.round(F.try_divide("dot", "norm"), 6)
-    return dots.select(F.col("__key").alias(key), "licence", cosine.alias("score")).filter(F.col("score") >= least).groupBy(key, "licence").agg(F.max("score").alias("score"))
+    found = dots.select("__line", "licence", cosine.alias("score")).filter(F.col("score") >= least).groupBy("__line", "licence").agg(F.max("score").alias("score"))
+    return lines.join(found, "__line").groupBy(F.col("__key").alias(key), "licence").agg(F.max("score").alias("score"))
+
+
+def _reachable(words: Column, units: list[dict[str, float]], least: float) -> Column:
+    """Whether the terms that a line shares with some template weigh enough for the threshold: a cosine is at most the root of their squared unit weights."""
+
+    def enough(w: Column) -> Column:
+        tests = []
+        for unit in units:
+            table = F.create_map(*[F.lit(x) for t, u in sorted(unit.items()) for x in (t, u * u)])
+            shared = F.aggregate(F.array_intersect(w, F.lit(sorted(unit))), F.lit(0.0), _add_from(table))
+            tests.append(F.struct(shared.alias("s")))
+        return F.exists(F.array(*tests), lambda x: x["s"] >= (least - 1e-6) ** 2)
+
+    return F.transform(F.array(words), enough)[0]
+
+
+def _add_from(table: Column):
+    return lambda a, t: a + F.coalesce(F.try_element_at(table, t), F.lit(0.0))
 
 
 def directories(path: Column) -> Column:
