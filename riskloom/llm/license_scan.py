@@ -1,10 +1,10 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Every line of every text is compared with every template by the cosine of their TF-IDF vectors. Document
-frequencies of the templates' terms are counted over all documents; a term that no template holds weighs
-as one that no document holds. A line must hold one of a template's rarest terms to reach the threshold
-(the others' weight cannot suffice), and the terms it shares with one template bound its cosine from
-above, so only lines that can reach the threshold are split into terms; no line is lost by this.
+frequencies of all terms are counted over all documents: a line's own common words weigh as little as a
+template's. A line must hold one of a template's rarest terms to reach the threshold (the others' weight
+cannot suffice), and the terms it shares with one template bound its cosine from above, whatever its other
+terms weigh, so only lines that can reach the threshold are split into terms; no line is lost by this.
 A file's licence is its best line's. A file without one takes that of the nearest directory above it
 that has one: directories are joined by path. A directory's licence is the best of the files right in it.
 
@@ -41,7 +41,7 @@ def terms_of(text: str) -> list[str]:
 
 def terms(text: Column) -> Column:
     """array<string>: runs of letters, digits and inner dots, in lower case."""
-    return F.filter(F.transform(F.split(F.lower(text), _SPLIT), lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")), lambda w: w != "")
+    return F.filter(F.transform(F.split(F.lower(text), _SPLIT), lambda w: F.btrim(w, F.lit("."))), lambda w: w != "")
 
 
 def frequencies(files: DataFrame, text: str, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
@@ -52,13 +52,17 @@ def frequencies(files: DataFrame, text: str, vocabulary: list[str]) -> tuple[int
     return found.pop("", 0), found
 
 
+def all_frequencies(files: DataFrame, text: str) -> DataFrame:
+    """(term, df): the files that hold each term, over all files; partial counts go to the shuffle."""
+    return files.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def line_scores(files: DataFrame, key: str, text: str, templates: dict[str, list[str]], least: float) -> DataFrame:
     """(key, licence, score): for each file and licence, its best line's cosine, from `least` on."""
     shapes = [(name, terms_of(t)) for name in sorted(templates) for t in templates[name]]
     vocabulary = sorted({t for _, own in shapes for t in own})
     n, df = frequencies(files, text, vocabulary)
     idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1e-9 for t in vocabulary}
-    unknown = math.log(1 + n) + 1e-9
     need: set[str] = set()
     weights = []
     for i, (name, own) in enumerate(shapes):
@@ -72,16 +76,15 @@ def line_scores(files: DataFrame, key: str, text: str, templates: dict[str, list
                 break
             need.add(t)
             rest -= unit[t] ** 2
-    lines = files.select(F.col(key).alias("__key"), F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("__line"))
     sure = "(?i)(?<![a-z0-9.])\\.*(?:" + "|".join(re.escape(t).replace("\\-", "-") for t in sorted(need)) + ")(?![a-z0-9])"
+    lines = files.filter(F.col(text).rlike(sure)).select(F.col(key).alias("__key"), F.explode(F.split(F.col(text), "\n")).alias("__line"))
     lines = lines.filter(F.col("__line").rlike(sure))
     lines = lines.filter(_reachable(terms(F.col("__line")), [{t: x for t, i, _, x in weights if i == n} for n in range(len(shapes))], least))
     once = lines.select("__line").distinct()  # a notice that a third of all files hold is compared once
     counted = once.select("__line", F.explode(terms(F.col("__line"))).alias("term")).groupBy("__line", "term").agg(F.count(F.lit(1)).alias("tf"))
     spark = files.sparkSession
-    idfs = spark.createDataFrame([(t, float(x)) for t, x in idf.items()], "term string, idf double")
     shaped = spark.createDataFrame(weights, "term string, shape int, licence string, w double")
-    weighed = counted.join(F.broadcast(idfs), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    weighed = counted.join(all_frequencies(files, text), "term").withColumn("x", F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1e-9))
     norms = F.sqrt(F.sum(F.col("x") * F.col("x")))
     lined = weighed.groupBy("__line").agg(norms.alias("norm"), F.collect_list(F.struct("term", "x")).alias("terms"))
     dots = lined.select("__line", "norm", F.inline("terms")).join(F.broadcast(shaped), "term").groupBy("__line", "shape", "licence", "norm").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
