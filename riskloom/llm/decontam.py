@@ -5,10 +5,14 @@ leaves some seeds intact. Seeds of the texts meet seeds of the benchmark in an e
 and each diagonal (text position less item position) with a hit is verified token by token: some window
 of `window` item tokens, or the whole item if it is shorter, must agree in at least `agree` of them.
 
+The masks lose no overlap that the check accepts: wherever the substitutions fall in a window of 16 tokens,
+or in a shorter item of at least SHORTEST, some seed is intact (tests enumerate the placements). Items of
+8 to 13 tokens need lighter masks than longer ones; they are used only if the benchmark has such items.
+
 Tokens are the lower-cased runs of letters and digits. Null, empty and short texts have no seeds and no
 leaks; repeated rows give repeated pairs only through their own doc_id; columns besides the named ones
-are not read. Items shorter than
-the shortest mask have no seeds: too few tokens to tell a leak from chance.
+are not read. Items shorter than SHORTEST
+have no seeds: too few tokens to tell a leak from chance.
 """
 
 from __future__ import annotations
@@ -16,8 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The seeds' masks; 1 counts, 0 is ignored.
-MASKS = ("11011011", "1110010111")
+#: The seeds' masks by the least tokens of an item; 1 counts, 0 is ignored.
+MASKS = {8: ("1111", "10111"), 14: ("11111", "110111")}
+SHORTEST = min(MASKS)
 #: Seed rows of a benchmark up to which they are broadcast (16 bytes each and a hash table); beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -27,34 +32,49 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
 
 
-def seeds(hashes: Column, masks: tuple[str, ...] = MASKS) -> Column:
+def seeds(hashes: Column, masks: tuple[str, ...] = MASKS[14], group: int = 0) -> Column:
     """array<struct<at,h>>: the hash of every mask at every place of an array of token hashes."""
     n = F.size(hashes)
     every = []
     for k, mask in enumerate(masks):
-        every.append(_masked(hashes, n, mask, k))
+        every.append(_masked(hashes, n, mask, f"{group}/{k}"))
     return F.concat(*every)
 
 
-def _masked(hashes: Column, n: Column, mask: str, k: int) -> Column:
+def _masked(hashes: Column, n: Column, mask: str, k: str) -> Column:
     ones = [j for j, bit in enumerate(mask) if bit == "1"]
     starts = F.when(n >= len(mask), F.sequence(F.lit(0), n - len(mask))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(k), *[hashes[i + j] for j in ones]).alias("h")))
 
 
-def _seeded(df: DataFrame, key: str, text: str, masks: tuple[str, ...]) -> DataFrame:
+def _group(n: Column, masks: dict[int, tuple[str, ...]]) -> Column:
+    """The key in `masks` that an item of n tokens goes by; null if it is too short."""
+    return F.greatest(F.lit(None).cast("int"), *[F.when(n >= least, F.lit(least)) for least in masks])
+
+
+def _seeded(df: DataFrame, key: str, text: str, masks: dict[int, tuple[str, ...]], by_size: bool = False) -> DataFrame:
+    """(key, at, h): the seeds of each text by all masks, or, by size, by those of its own group."""
     hashed = df.select(F.col(key), F.transform(tokens(F.col(text)), lambda w: F.xxhash64(w)).alias("w"))
-    return hashed.select(F.col(key), F.explode(F.transform(F.array("w"), lambda w: seeds(w, masks))[0]).alias("s")).select(key, F.col("s.at").alias("at"), F.col("s.h").alias("h"))
+
+    def every(w: Column) -> Column:
+        own = lambda g, s: F.when(_group(F.size(w), masks) == g, s).otherwise(F.slice(s, 1, 0)) if by_size else s
+        return F.concat(*[own(g, seeds(w, m, g)) for g, m in sorted(masks.items())])
+
+    return hashed.select(F.col(key), F.explode(F.transform(F.array("w"), every)[0]).alias("s")).select(key, F.col("s.at").alias("at"), F.col("s.h").alias("h"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", masks: tuple[str, ...] = MASKS, window: int = 16, agree: float = 0.8, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", masks: dict[int, tuple[str, ...]] | None = None, window: int = 16, agree: float = 0.8, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(key, item, start, n_item_words, n_equal, n_window_equal): a row for each text and item that overlap.
 
     Of a pair's diagonals the one with the most equal tokens is given (ties: the first); start is the text
     position of the item's first token and may be negative.
     """
     items = benchmark.select(F.col(item).alias("__item"), F.col(text).alias("__text"))
-    bench = _seeded(items, "__item", "__text", masks).select("__item", F.col("at").alias("__at"), "h").distinct()
+    sizes = items.select(_group(F.size(tokens(F.col("__text"))), MASKS if masks is None else masks).alias("g")).distinct().collect()
+    masks = {g: m for g, m in (MASKS if masks is None else masks).items() if any(r.g == g for r in sizes)}
+    if not masks:
+        masks = {SHORTEST: MASKS[SHORTEST]}
+    bench = _seeded(items, "__item", "__text", masks, by_size=True).select("__item", F.col("at").alias("__at"), "h").distinct()
     if bench.limit(broadcast_rows + 1).count() <= broadcast_rows:
         bench = F.broadcast(bench)
     own = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))

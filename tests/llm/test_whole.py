@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import license_scan
+from riskloom.llm import decontam, license_scan
 from tests import oracle
 
 
@@ -41,3 +44,48 @@ def test_licences_with_common_words(spark):
     assert {i: x and x[0] for i, x in got.items()} == {i: x and x[0] for i, x in want.items()}
     assert all(abs(got[i][1] - x[1]) < 2e-6 for i, x in want.items() if x)
     assert got[2][0] == "MIT" and got[3][0] == "CC-BY-4.0" and got[4] is None
+
+
+def substituted(m: int) -> int:
+    """Tokens of an item or window of m that may be substituted."""
+    return m - math.ceil(0.8 * m - 1e-9)
+
+
+@pytest.mark.parametrize("m", range(decontam.SHORTEST, 17))
+def test_masks_lose_nothing(m):
+    masks = decontam.MASKS[max(g for g in decontam.MASKS if g <= m)]
+    seeds = [{at + j for j, bit in enumerate(mask) if bit == "1"} for mask in masks for at in range(m - len(mask) + 1)]
+    assert all(any(not seed & set(gone) for seed in seeds) for gone in itertools.combinations(range(m), substituted(m)))
+
+
+def leaking(words: list[str], item: list[str]) -> bool:
+    m = min(16, len(item))
+    if len(item) < decontam.SHORTEST:
+        return False
+    for start in range(-len(item) + 1, len(words)):
+        equal = [0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(item)]
+        if any(sum(equal[i : i + m]) >= 0.8 * m for i in range(len(item) - m + 1)):
+            return True
+    return False
+
+
+def test_leaks_with_substitutions(spark):
+    rnd = random.Random(8)
+    word = lambda: f"t{rnd.randrange(3000)}"
+    items = {n: [word() for _ in range(n)] for n in (5, 8, 9, 10, 12, 13, 14, 15, 16, 17, 40, 60)}
+    texts = [[], ["t1"]]
+    for item in items.values():
+        for k in range(5):
+            texts.append([w if j % 5 != k else "other" for j, w in enumerate(item)])
+        for _ in range(12):
+            gone = set(rnd.sample(range(len(item)), substituted(len(item)) + rnd.randrange(2)))
+            texts.append([word() for _ in range(9)] + ["other" if j in gone else w for j, w in enumerate(item)] + [word()])
+    want = {(i, n) for i, t in enumerate(texts) for n, item in items.items() if leaking(t, item)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    assert {n for _, n in want} == set(items) - {5}
+    for rows in (decontam.BROADCAST_ROWS, 0):
+        assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench, broadcast_rows=rows).collect()} == want
+    long = bench.filter("item_id >= 14")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, long).collect()} == {x for x in want if x[1] >= 14}
+    assert decontam.leaks(docs, bench.filter("item_id = 5")).count() == 0
