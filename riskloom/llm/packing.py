@@ -7,11 +7,14 @@ partition, and sequence ids are numbered within partitions; only the last bins o
 full, a fixed number whatever the input.
 
 Documents longer than a sequence are cut into whole pieces, of which the first may be shorter. Null and
-empty texts are one piece that holds the closing id. Repeated rows are packed row by row.
+empty texts are one piece that holds the closing id. Repeated rows are packed row by row, and null keys stay
+null. Of pieces of equal length the earlier row goes first. Texts of any length are encoded whole, long runs of
+white space as one pre-token; memory follows the longest text. Columns besides the named ones are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -29,6 +32,8 @@ END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Fixed value: the pre-token pattern of byte-level vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of white space too long for a backtracking matcher; the pattern takes such a run but for its last character, or whole at the end.
+LONG_BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{256,}")
 #: Bytes of text that are tokenized at once.
 BLOCK = 1 << 21
 
@@ -73,26 +78,53 @@ class BestFit:
 class Coder:
     """Token ids of texts as unsigned 32-bit bytes of this machine's (little-endian) order.
 
-    The ids are those of the tokenizer file. Its byte-level vocabulary, merges and pre-token pattern are
-    handed to a byte-pair encoder that keeps no offsets, which takes a fifth of the CPU time; names of
-    special tokens in a text are their ids, as the file has them.
+    The ids are those of the tokenizer file. Its vocabulary is handed to a byte-pair encoder that keeps no
+    offsets, which takes a fifth of the CPU time; that encoder merges by id, so a file is refused unless it
+    is byte-level with the usual pattern, without normalizer, and its merges are in the order of their ids.
+    Names of special tokens in a text are their ids, as the file has them.
     """
 
     def __init__(self, tokenizer: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use every core
-        file = Tokenizer.from_file(tokenizer)
-        special = {t.content: i for i, t in file.get_added_tokens_decoder().items()}
+        with open(tokenizer, encoding="utf-8") as f:
+            file = json.load(f)
+        refuse_unless_byte_level(file)
+        special = {t["content"]: t["id"] for t in file["added_tokens"]}
         letters = {c: b for b, c in byte_letters().items()}
-        ranks = {bytes(letters[c] for c in word): i for word, i in file.get_vocab(with_added_tokens=False).items() if word not in special}
+        ranks = {bytes(letters[c] for c in word): i for word, i in file["model"]["vocab"].items() if word not in special}
         self.encoder = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        self.ids = special
+        self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")" if special else "(?!)")
 
     def __call__(self, text: str) -> bytes:
-        ids = self.encoder.encode(text, allowed_special="all") if self.special.search(text) else self.encoder.encode_ordinary(text)
-        return array("I", ids).tobytes()
+        if not self.special.search(text):
+            return array("I", self.ordinary(text)).tobytes()
+        parts = [[self.ids[part]] if i % 2 else self.ordinary(part) for i, part in enumerate(self.special.split(text))]
+        return b"".join(array("I", ids).tobytes() for ids in parts)
+
+    def ordinary(self, text: str) -> list[int]:
+        """The ids of a text without special tokens."""
+        out: list[int] = []
+        at = 0
+        for run in LONG_BLANKS.finditer(text):
+            stop = run.end() if run.end() == len(text) else run.end() - 1
+            out += self.encoder.encode_ordinary(text[at : run.start()])
+            out += self.encoder._encode_single_piece(text[run.start() : stop])
+            at = stop
+        return out + self.encoder.encode_ordinary(text[at:]) if at else self.encoder.encode_ordinary(text)
+
+
+def refuse_unless_byte_level(file: dict) -> None:
+    """ValueError if ids of this tokenizer file aren't those of byte-pair merges by id after PATTERN."""
+    model, split = file["model"], file["pre_tokenizer"] or {}
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
+    made = [model["vocab"].get(a + b, -1) for a, b in merges]
+    fine = model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix"))
+    fine &= file["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    fine &= -1 not in made and made == sorted(set(made)) and len(model["vocab"]) - len(made) - sum(t["content"] in model["vocab"] for t in file["added_tokens"]) == 256
+    if not fine or any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in file["added_tokens"]):
+        raise ValueError("not a byte-level tokenizer file whose merges are in the order of their ids")
 
 
 def byte_letters() -> dict[int, str]:
