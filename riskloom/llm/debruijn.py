@@ -14,7 +14,7 @@ with the smallest document that holds it, its owner.
 3. Cores with several classes may share some windows only: the owners' segments there are split into
    edges, and an edge that a smaller document also holds is removed as well.
 
-A class is told by two independent 64-bit hashes. Null texts have no words; texts of fewer than `width`
+A class is told by two 64-bit hashes, with hashes of words and bases of their own. Null texts have no words; texts of fewer than `width`
 words lose none; repeats within one document stay; other columns are not read. doc_id must be unique.
 """
 
@@ -45,7 +45,7 @@ class Segments:
         words = tk.word_hashes(raw, starts, ends)
         self.width = width
         self.one = tk.rolling(words)
-        self.two = tk.rolling(words, _SECOND)
+        self.two = tk.rolling(tk.word_hashes(raw, starts, ends, _SECOND), _SECOND)
         n = len(words)
         sizes = np.diff(self.first)
         count = np.maximum(sizes - width + 1, 0)

@@ -96,10 +96,22 @@ def words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, bounds)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    sums, inverses = rolling(raw.astype(np.uint64) + np.uint64(1))
-    return span_hash(sums, inverses, starts, ends)
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: the sum of its scrambled eight-byte pieces, each with its place; other salts give independent ones."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    count = (sizes + 7) >> 3
+    first = np.cumsum(count) - count
+    which = np.repeat(np.arange(len(starts)), count)
+    step = np.arange(len(which)) - first[which]
+    place = starts[which] + 8 * step
+    left = np.minimum(ends[which] - place, 8).astype(np.uint64)
+    piece = byte_grams(raw)[place] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+    with np.errstate(over="ignore"):
+        keyed = mix(piece + (step.astype(np.uint64) + np.uint64(1)) * _ODD + np.uint64(salt))
+        keyed = mix(keyed ^ (left + np.uint64(salt >> 7)))
+        return mix(np.add.reduceat(keyed, first) + sizes.astype(np.uint64))
 
 
 def byte_grams(raw: np.ndarray) -> np.ndarray:
@@ -112,9 +124,15 @@ def byte_grams(raw: np.ndarray) -> np.ndarray:
     return x[:n]
 
 
-def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """For each start p the place of the first least value in p:p + width. len(values) is below 2 ** 26."""
-    low = np.uint64((1 << 26) - 1)
+def sliding_argmin(values: np.ndarray, width: int, bits: int = 26) -> np.ndarray:
+    """For each start p the place of the first least value in p:p + width; the lowest `bits` bits of values don't count.
+
+    Places share a number with the values, so arrays of 2 ** bits values and more go in pieces that overlap by `width`.
+    """
+    most = (1 << bits) - width
+    if len(values) > most + width:
+        return np.concatenate([sliding_argmin(values[a : a + most + width - 1], width, bits)[:most] + a for a in range(0, len(values), most)])
+    low = np.uint64((1 << bits) - 1)
     m = (values & ~low) | np.arange(len(values), dtype=np.uint64)
     done = 1
     while done < width:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom.llm import debruijn, jaccard_join, suffix_dedup
+from riskloom.llm import textkit as tk
 from riskloom.llm.components import components
 from tests.llm import brute
 from tests.oracle import DATA
@@ -67,6 +69,37 @@ def test_passages(spark):
     assert {r[0]: tuple(r)[1:] for r in debruijn.op7(frame(spark, docs)).collect()} == brute.repeated_words(docs)
 
 
+def thue_morse(n: int) -> str:
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_that_defeat_polynomials(spark):
+    word = thue_morse(4096)
+    other = word.translate(str.maketrans("ab", "ba"))
+    head = " ".join(f"w{i}" for i in range(49))
+    docs = [(1, f"{head} {word}"), (2, f"{head} {other}"), (3, f"{head} {word}")]
+    got = {r.doc_id: r.n_removed for r in debruijn.op7(frame(spark, docs)).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+    near = {r.doc_id: r.class_id for r in jaccard_join.op8(frame(spark, [(i, f"a b c d {w}") for i, w in ((1, word), (2, other), (3, word))])).collect()}
+    assert near == {1: 1, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("bits, width", [(10, 26), (9, 128), (26, 128)])
+def test_sliding_minima(bits, width):
+    values = np.random.default_rng(0).integers(0, 1 << 63, 3000, np.uint64)
+    values[500:900] = values[500]
+    high = values >> np.uint64(bits)
+    want = [p + int(np.argmin(high[p : p + width])) for p in range(len(values) - width + 1)]
+    assert tk.sliding_argmin(values, width, bits)[: len(want)].tolist() == want
+
+
+def test_minima_beyond_64_mib():
+    n = (1 << 26) + 2000
+    values = np.arange(n, dtype=np.uint64)[::-1] << np.uint64(27)
+    got = tk.sliding_argmin(values, 26)
+    assert got[0] == 25 and got[n - 26] == n - 1 and (np.diff(got[: n - 25]) == 1).all()
+
+
 def test_paths(spark):
     edges = spark.createDataFrame([(1, 10, 11, 3), (2, 11, 12, 4), (3, 12, 13, 5), (4, 13, 14, 1), (5, 13, 15, 1), (7, 20, 21, 2), (8, 21, 20, 2), (9, 30, 30, 1)], "id long, src long, dst long, windows int")
     got = {r.id: (r.path, r.offset) for r in debruijn.compact(edges).collect()}
