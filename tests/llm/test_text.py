@@ -119,33 +119,6 @@ def test_licences(spark):
     }
 
 
-def test_licences_brute(spark):
-    docs = spark.read.parquet(f"{oracle.DATA}/documents.parquet")
-    rows = docs.select("doc_id", "text").collect()
-    import math
-
-    n = len(rows)
-    shapes = [(k, license_scan.terms_of(t)) for k, own in license_scan.TEMPLATES.items() for t in own]
-    vocabulary = {t for _, own in shapes for t in own}
-    df = Counter(t for r in rows for t in set(license_scan.terms_of(r.text)) & vocabulary)
-    idf = lambda t: math.log((1 + n) / (1 + (df[t] if t in vocabulary else 0))) + 1e-9
-    want = {}
-    for r in rows:
-        best = None
-        for line in r.text.split("\n"):
-            a = {t: c * idf(t) for t, c in Counter(license_scan.terms_of(line)).items()}
-            for k, own in shapes:
-                b = {t: c * idf(t) for t, c in Counter(own).items()}
-                dot = sum(x * b.get(t, 0) for t, x in a.items())
-                norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
-                s = round(dot / norm, 6) if norm else 0
-                if s >= license_scan.LEAST:
-                    best = min(best or (0, ""), (-s, k))
-        want[r.doc_id] = best and best[1]
-    got = {r.doc_id: r.own_licence for r in license_scan.op3(docs).collect()}
-    assert got == want
-
-
 def test_leaks(spark):
     rnd = random.Random(6)
     word = lambda: f"t{rnd.randrange(3000)}"
@@ -224,6 +197,42 @@ def test_packing(spark):
     assert packing.op10(frame(spark, texts).filter("false")).count() == 0
 
 
+def test_long_blanks(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path(packing.TOKENIZER)
+    tok, coder = Tokenizer.from_file(file), packing.Coder(file)
+    ids = lambda t: np.frombuffer(coder(t), "<u4").tolist()
+    rnd = random.Random(9)
+    pool = [" " * 400, "\n" * 300, "\t" * 256, " " * 255, "\x1c" * 300, "\u3000" * 400, "<|endoftext|>", "ab", "'s", " x", "\n", "7", "é\xa0"]
+    for t in ["".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 12))) for _ in range(300)]:
+        assert ids(t) == tok.encode(t, add_special_tokens=False).ids
+    for blank in " \t\n":
+        for tail in ("", "x"):
+            assert ids(blank * 300_000 + tail) == tok.encode(blank * 300_000 + tail, add_special_tokens=False).ids
+    texts = [b * 5_000_000 + tail for b in " \t\n" for tail in ("", "x")]
+    got = packing.op10(frame(spark, texts)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in got} == {i: len(coder(t)) // 4 + 1 for i, t in enumerate(texts)}
+    same = packing.op10(frame(spark, ["a b", "a b", None]).withColumn("doc_id", F.lit(None).cast("long"))).collect()
+    assert len(same) == 3 and {r.doc_id for r in same} == {None} and len({(r.sequence_id, r.offset) for r in same}) == 3
+
+
+def test_other_tokenizers():
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path(packing.TOKENIZER), encoding="utf-8") as f:
+        file = json.load(f)
+    packing.refuse_unless_byte_level(file)
+    first, second = file["model"]["merges"][:2]
+    others = [file | {"normalizer": {"type": "NFC"}}, file | {"pre_tokenizer": None}, file | {"pre_tokenizer": file["pre_tokenizer"] | {"add_prefix_space": True}}, file | {"model": file["model"] | {"merges": [second, first, *file["model"]["merges"][2:]]}}]
+    for other in others:
+        with pytest.raises(ValueError):
+            packing.refuse_unless_byte_level(other)
+
+
 def test_best_fit():
     fit = packing.BestFit(10, 2, 0)
     assert [fit.place(n) for n in (6, 3, 4, 1, 5, 8, 2)] == [(0, 0), (0, 6), (1, 0), (0, 9), (1, 4), (2, 0), (2, 8)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import textwrap
 from collections import Counter
 
 import pytest
@@ -14,36 +15,64 @@ from riskloom.llm import decontam, license_scan
 from tests import oracle
 
 
-def best_lines(texts: dict[int, str | None], least: float = license_scan.LEAST) -> dict[int, tuple[str, float] | None]:
-    """(licence, score) of each text's best line, with the document frequencies of all terms."""
+def cosine(a: dict, b: dict) -> float:
+    norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    return round(sum(x * b.get(t, 0) for t, x in a.items()) / norm, 6) if norm else 0
+
+
+def best_units(texts: dict[int, str | None]) -> dict[int, str | None]:
+    """The licence of each text's best unit: every run of terms as long as a notice, and the whole text, with true frequencies of all terms."""
     words = {i: license_scan.terms_of(t or "") for i, t in texts.items()}
     df = Counter(t for w in words.values() for t in set(w))
-    idf = lambda t: math.log((1 + len(texts)) / (1 + df[t])) + 1e-9
-    shapes = [(k, {t: c * idf(t) for t, c in Counter(license_scan.terms_of(x)).items()}) for k, own in license_scan.TEMPLATES.items() for x in own]
+    weigh = lambda own: {t: c * license_scan.weight(df[t], len(texts)) for t, c in Counter(own).items()}
+    shapes = [(k, license_scan.terms_of(x), False) for k, own in license_scan.TEMPLATES.items() for x in own]
+    shapes += [(k, license_scan.terms_of(x), True) for k, x in license_scan.LICENCE_FILES.items()]
+    rare = {t for _, own, _ in shapes for t in own if df[t] < len(texts) / 20}
     out = {}
-    for i, t in texts.items():
+    for i, w in words.items():
         found = []
-        for line in (t or "").split("\n"):
-            a = {w: c * idf(w) for w, c in Counter(license_scan.terms_of(line)).items()}
-            for k, b in shapes:
-                norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
-                score = round(sum(x * b.get(w, 0) for w, x in a.items()) / norm, 6) if norm else 0
-                if score >= least:
-                    found.append((-score, k))
-        out[i] = (min(found)[1], -min(found)[0]) if found else None
+        for k, own, whole in shapes if rare & set(w) else []:
+            least = license_scan.LEAST if len(own) >= license_scan.SHORT else license_scan.LEAST_SHORT
+            m = len(w) if whole else min(len(own), len(w))
+            b = weigh(own)
+            found += [(-s, k) for at in range(len(w) - m + 1) if (s := cosine(weigh(w[at : at + m]), b)) >= least]
+        out[i] = min(found)[1] if found else None
     return out
 
 
+def wrapped() -> list[tuple[str, str]]:
+    """(licence, text): every template hard-wrapped as a comment, and every licence file."""
+    out = []
+    for name, notices in license_scan.TEMPLATES.items():
+        for notice in notices:
+            out += [(name, "import os\n" + "\n".join(lead + x for x in textwrap.wrap(notice, 60)) + "\n\nqword zword foo(bar)\n") for lead in ("# ", " * ", "// ", "")]
+    return out + [(name, "Copyright (c) 2020 Someone\n\n" + "\n".join(textwrap.wrap(t, 70))) for name, t in license_scan.LICENCE_FILES.items()]
+
+
+def test_licences_of_wrapped_notices(spark):
+    rows = [*wrapped(), *((None, t) for t in (None, "", "Licensed under CC BY-ND 4.0.", "Released under the XYZ License.", "licensed driver wanted"))]
+    some = [(i, "d", t) for i, (_, t) in enumerate(rows)] + [(10_000 + i, "d", f"word{i} and the other{i % 7}") for i in range(300)]
+    docs = spark.createDataFrame(some, "doc_id long, path string, text string").withColumn("unit", F.lit(1)).withColumn("key", F.lit("x"))
+    got = {r.doc_id: r.own_licence for r in license_scan.scan(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [name for name, _ in rows] and not any(got[i] for i in got if i >= 10_000)
+
+
 def test_licences_with_common_words(spark):
-    texts = {i: t for i, t in enumerate([None, "", "text\nReleased under the MIT License en.\nmore en", "en Licensed under CC BY 4.0. en und", "Released under the MIT License qwxz1 qwxz2 qwxz3 qwxz4."])}
+    texts = {i: t for i, t in enumerate([None, "", "text\nReleased under the MIT License en.\nmore en", "en Licensed under CC BY 4.0. en und", "Released under the MIT qwxz1 qwxz2 qwxz3 License qwxz4."])}
     texts |= {r.doc_id + 10: r.text for r in spark.read.parquet(f"{oracle.DATA}/documents.parquet").select("doc_id", "text").collect()}
     texts |= {i: "en und so" if i % 3 else "other words" for i in range(100_000, 110_000)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("path", F.lit(None).cast("string"))
-    got = {r.doc_id: r.own_licence and (r.own_licence, r.own_score) for r in license_scan.scan(docs).collect()}
-    want = best_lines(texts)
-    assert {i: x and x[0] for i, x in got.items()} == {i: x and x[0] for i, x in want.items()}
-    assert all(abs(got[i][1] - x[1]) < 2e-6 for i, x in want.items() if x)
-    assert got[2][0] == "MIT" and got[3][0] == "CC-BY-4.0" and got[4] is None
+    got = {r.doc_id: r.own_licence for r in license_scan.scan(docs).collect()}
+    assert got == best_units(texts)
+    assert got[2] == "MIT" and got[3] == "CC-BY-4.0" and got[4] is None
+
+
+def test_licences_edges(spark):
+    none = spark.createDataFrame([], "doc_id long, path string, text string")
+    assert license_scan.scan(none).count() == 0
+    rows = [(1, "a/x", "word " * 200_000 + "Released under the MIT License. " + "word " * 200_000), (2, "a/y", None), (2, "a/y", None), (None, "a/z", "Licensed under CC BY 4.0.")]
+    got = sorted((tuple(r) for r in license_scan.scan(spark.createDataFrame(rows, none.schema)).select("doc_id", "own_licence", "licence", "inherited_from").collect()), key=str)
+    assert got == [(1, "MIT", "MIT", None), (2, None, "MIT", "a"), (2, None, "MIT", "a"), (None, None, "MIT", "a")]
 
 
 def substituted(m: int) -> int:
