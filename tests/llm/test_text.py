@@ -150,10 +150,65 @@ PAGES = [
 ]
 
 
+LONG = "A sentence of the article that goes on for some time, as sentences do."
+MENU = "<div><ul>" + "".join(f"<li><a href='/{i}'>Entry number {i}</a></li>" for i in range(12)) + "</ul></div>"
+#: Only densities tell the text of these pages from the rest: no element or role does.
+UNMARKED = [
+    (f"<body>{MENU}<div><p>{LONG}</p><p>{LONG * 8}</p><p>Short.</p></div><div><span>Terms</span> <span>Jobs</span></div></body>", [LONG, LONG * 8, "Short."]),
+    (f"<body><div><h1>A title</h1></div><div><div>{MENU}</div><div><p>{LONG}</p><blockquote><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></blockquote><p>So.</p><p>{LONG}</p></div></div></body>", ["A title", LONG, LONG, LONG, LONG, "So.", LONG]),
+    (f"<body>{MENU}<p>{LONG}</p><p>{LONG}</p></body>", [LONG, LONG]),
+]
+#: Names that only look like boilerplate, and boilerplate inside the article.
+MARKED = [
+    (f"<body><div class='post'><div class='article-header'><h1>T</h1></div><p>{LONG}</p><section id='related-work'><h2>R</h2><p>{LONG}</p></section><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p></div></body>", ["T", LONG, "R", LONG, "Let x=1 be."]),
+    (f"<body><header><h1>Site</h1></header><div><header><h1>T</h1></header><p>{LONG}</p><div class='share social-links'>Share it</div><p>{LONG}</p><div id='comments-7'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></div></body>", ["T", LONG, LONG]),
+    (f"<body><div class='userComments'><p>{LONG}</p><p>{LONG}</p></div><div><p>{LONG}</p></div><div class='social-history'><p>{LONG}</p></div></body>", [LONG, LONG]),
+]
+
+
+@pytest.mark.parametrize("page, want", UNMARKED + MARKED)
+def test_pages_without_article(page, want, monkeypatch):
+    assert html_extract.blocks(page) == want
+    if (page, want) in UNMARKED[:1]:
+        monkeypatch.setattr(html_extract, "density", lambda *a: 0.0)
+        assert html_extract.blocks(page) != want
+
+
+def test_density_by_hand():
+    import math
+
+    def counts(node):
+        """chars, tags, link chars, link tags of a subtree, plainly."""
+        total = [0, 0, 0, 0]
+        for c in node.children:
+            if isinstance(c, str):
+                total[0] += len("".join(c.split()))
+            elif not c.kind:
+                inner = counts(c)
+                total = [total[0] + inner[0], total[1] + inner[1] + 1, total[2] + inner[2], total[3] + inner[3] + (c.tag == "a")]
+        if node.tag == "a":
+            total[2] = total[0]
+        return total
+
+    for page, _ in UNMARKED + MARKED:
+        body, nodes = html_extract.measure(html_extract.tree(page))
+        whole = counts(body)
+        for node in nodes:
+            c, t, lc, lt = counts(node)
+            base = max(math.log(c / max(c - lc, 1) * lc + whole[2] / whole[0] * c + math.e), math.e)
+            want = c / max(t, 1) * max(math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1), base), 0) if c else 0
+            assert abs(node.density - want) < 1e-9
+
+
 def test_pages(spark):
-    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(PAGES)], "page_id long, html string").withColumn("url", F.lit("u"))
+    pages = [h for h, _ in PAGES] + [PAGES[3][0]] * 2 + ["<div>" * 30_000 + "deep", "<p><li><header>" * 10_000 + LONG, "<p>" + "very long text " * 300_000]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("url", F.lit("u")).withColumn("text", F.lit("mine")).withColumn("kind", F.lit(1))
     got = {r.page_id: r for r in html_extract.op6(df).collect()}
     assert [got[i].text for i in range(len(PAGES))] == [t for _, t in PAGES] and all(r.n_chars == len(r.text) for r in got.values())
+    n = len(PAGES)
+    assert got[n].text == got[n + 1].text == PAGES[3][1] and got[n + 2].text == "deep" and got[n + 4].n_chars == 15 * 300_000 - 1
+    assert html_extract.op6(df.limit(0)).count() == 0
+    assert html_extract.extract(df).columns == ["page_id", "html", "url", "kind", "text"]
 
 
 def test_pages_of_table(spark):
@@ -164,6 +219,7 @@ def test_pages_of_table(spark):
         inner = page.split("<article>", 1)[1].split("</article>")[0]
         want = [" ".join(html.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", x))).split()) for x in re.split("</?(?:p|h1)>", inner)]
         assert html_extract.blocks(page) == [w for w in want if w]
+        assert html_extract.blocks(page.replace("<article>", "<div>").replace("</article>", "</div>")) == [w for w in want if w]
 
 
 def test_packing(spark):
