@@ -34,7 +34,7 @@ def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets become a mark and n_chars follows; a table without samples has a model of its base patterns alone."""
     names = docs.columns
-    out = secrets.redact(docs, secrets.train(secrets.labelled_samples(docs)))
+    out = secrets.redact(docs, secrets.model_for(docs))
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*names)
 
 
