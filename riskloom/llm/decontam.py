@@ -6,13 +6,19 @@ and each diagonal (text position less item position) with a hit is verified toke
 of `window` item tokens, or the whole item if it is shorter, must agree in at least `agree` of them.
 
 The masks lose no overlap that the check accepts: wherever the substitutions fall in a window of 16 tokens,
-or in a shorter item of at least SHORTEST, some seed is intact (tests enumerate the placements). Items of
-8 to 13 tokens need lighter masks than longer ones; they are used only if the benchmark has such items.
-
-Tokens are the lower-cased runs of letters and digits. Null, empty and short texts have no seeds and no
-leaks; repeated rows give repeated pairs only through their own doc_id; columns besides the named ones
-are not read. Items shorter than SHORTEST
-have no seeds: too few tokens to tell a leak from chance.
+or in a shorter item of at least TOLERANT, some seed is intact (tests enumerate the placements). Shorter
+items are too short to tell a substitution from chance: they go by their whole hash and must be met verbatim.
+Items below SHORTEST tokens, or without any, have no seeds and are never found. Masks for short items are
+used only if the benchmark has such items.
+
+Hits are gathered by document, so a text is split again once, and only texts with a hit are. Seeds and the
+keys of texts with hits are broadcast only up to a checked count; beyond it both sides are shuffled.
+
+Tokens are the lower-cased runs of letters and digits. Null, empty and short texts have no leaks; texts of
+any length are read whole; repeated rows count as one through their key; rows with a null key are not looked
+up and stay in drop_leaks(); items with a null text are never found, and those with a null key give pairs with
+a null item. Of a pair's diagonals with equally many equal tokens the first is given. Columns besides the
+named ones are not read.
 """
 
 from __future__ import annotations
@@ -20,10 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import checkpointed
+
 #: The seeds' masks by the least tokens of an item; 1 counts, 0 is ignored.
-MASKS = {8: ("1111", "10111"), 14: ("11111", "110111")}
+MASKS = {5: ("11111",), 6: ("111111",), 7: ("1111111",), 8: ("1111", "10111"), 14: ("11111", "110111")}
 SHORTEST = min(MASKS)
-#: Seed rows of a benchmark up to which they are broadcast (16 bytes each and a hash table); beyond, both sides are shuffled.
+#: From so many tokens on an item may be met with substitutions.
+TOLERANT = 8
+#: Seed rows of a benchmark, and keys with a hit, up to which they are broadcast (16 bytes each and a hash table); beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -77,12 +87,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str
     bench = _seeded(items, "__item", "__text", masks, by_size=True).select("__item", F.col("at").alias("__at"), "h").distinct()
     if bench.limit(broadcast_rows + 1).count() <= broadcast_rows:
         bench = F.broadcast(bench)
-    own = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    hits = _seeded(own, "__key", "__text", masks).join(bench, "h").select("__key", "__item", (F.col("at") - F.col("__at")).alias("__start")).distinct()
-    full = hits.join(own.select("__key", tokens(F.col("__text")).alias("__words")), "__key").join(items.select("__item", tokens(F.col("__text")).alias("__theirs")), "__item")
+    own = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    hits = _seeded(own, "__key", "__text", masks).join(bench, "h").select("__key", "__item", (F.col("at") - F.col("__at")).alias("__start"))
+    hits = checkpointed(hits.groupBy("__key").agg(F.collect_set(F.struct("__item", "__start")).alias("__hits")))  # a text's own diagonals
+    full = _with(own, hits, "__key", broadcast_rows).select("__key", "__hits", tokens(F.col("__text")).alias("__words")).select("__key", F.explode("__hits").alias("__hit"), "__words")
+    sized = items.select("__item", tokens(F.col("__text")).alias("__theirs"))
+    sizes = sized.select(F.col("__item").alias("__of"), F.size("__theirs").alias("__size"))
+    # only the words beside an item travel on
+    beside = full.join(sizes, F.col("__hit.__item").eqNullSafe(F.col("__of"))).select("__key", "__hit.*", F.slice("__words", F.greatest(F.col("__hit.__start"), F.lit(0)) + 1, F.col("__size") + F.least(F.col("__hit.__start"), F.lit(0))).alias("__beside"))
+    full = beside.join(sized.withColumnRenamed("__item", "__of"), F.col("__item").eqNullSafe(F.col("__of")))
     size = F.size("__theirs")
-    at = lambda i: F.col("__start") + i
-    equal = F.transform("__theirs", lambda w, i: F.coalesce((at(i) >= 0) & (F.get("__words", at(i)) == w), F.lit(False)).cast("int"))
+    back = F.least(F.col("__start"), F.lit(0))
+    equal = F.transform("__theirs", lambda w, i: F.coalesce((back + i >= 0) & (F.get("__beside", back + i) == w), F.lit(False)).cast("int"))
     full = full.select("__key", "__item", "__start", size.alias("__size"), equal.alias("__equal"))
     need = F.least(F.lit(window), F.col("__size"))
     zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("best"), F.lit(0).alias("i"))
@@ -92,14 +108,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str
         return F.struct(total.alias("sum"), F.greatest(acc["best"], total).alias("best"), (acc["i"] + 1).alias("i"))
 
     best = F.aggregate("__equal", zero, slide, lambda acc: acc["best"])
-    found = full.select("__key", "__item", "__start", "__size", F.aggregate("__equal", F.lit(0), lambda a, x: a + x).alias("__n"), best.alias("__best")).filter(F.col("__best") >= agree * F.least(F.lit(window), F.col("__size")))
+    least = F.when(F.col("__size") < TOLERANT, F.col("__size")).otherwise(agree * need)
+    found = full.select("__key", "__item", "__start", "__size", F.aggregate("__equal", F.lit(0), lambda a, x: a + x).alias("__n"), best.alias("__best")).filter(F.col("__best") >= least)
     top = found.groupBy("__key", "__item").agg(F.max(F.struct("__n", (-F.col("__start")).alias("__back"), "__size", "__best")).alias("m"))
     return top.select(F.col("__key").alias(key), F.col("__item").alias(item), (-F.col("m.__back")).cast("long").alias("start"), F.col("m.__size").cast("long").alias("n_item_words"), F.col("m.__n").cast("long").alias("n_equal"), F.col("m.__best").cast("long").alias("n_window_equal"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **how) -> DataFrame:
+def _with(docs: DataFrame, keyed: DataFrame, key: str, broadcast_rows: int, how: str = "inner") -> DataFrame:
+    """docs joined with a written table of keys, which is broadcast if it is small: then docs aren't shuffled."""
+    small = keyed.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return docs.join(F.broadcast(keyed) if small else keyed, key, how)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS, **how) -> DataFrame:
     """The rows of docs without a leak."""
-    return docs.join(leaks(docs, benchmark, key, **how).select(key).distinct(), key, "left_anti").select(*docs.columns)
+    bad = checkpointed(leaks(docs, benchmark, key, broadcast_rows=broadcast_rows, **how).select(key).distinct())
+    return _with(docs, bad, key, broadcast_rows, "left_anti").select(*docs.columns)
 
 
 def op4(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
