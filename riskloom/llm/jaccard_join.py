@@ -10,9 +10,17 @@
    edges, so what leaves a task grows with its members.
 4. Components over the edges give the near-duplicate classes.
 
+Two texts are linked from a similarity of LEAST = 0.8 of their sets of 5-grams on; near copies below that
+are not, whatever their texts look like. The bands find a pair at 0.8 with probability RECALL, any above it more
+surely, and verification adds no pair. A bucket of n distinct texts is dealt to (n / BLOCK) ** 2 / 2 groups, so a
+member and its band hashes are sent n / BLOCK times a band: bytes grow with n ** 2 / BLOCK for distinct texts
+in one bucket, while equal sets are one member from the start.
+
 Texts of fewer than n words are one n-gram of all their words. Null texts and texts without words have no
-n-grams: they link with nothing and are classes of their own. Repeated rows are copies of one class.
-Other columns are not read. doc_id must be unique.
+n-grams: they link with nothing and are classes of their own. Texts of any length are read whole. Equal texts
+are copies of one class, of which the smallest doc_id comes first. Rows that repeat a doc_id are one document,
+with the smallest of their set hashes; rows with a null doc_id can't be told apart: they have a null class and no
+links, and keep_one() keeps them all. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -211,8 +219,12 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, least: float = LEAST, rec
     class_id is the smallest doc_id that links lead to; n_links counts documents, n_copies included.
     """
     bands, rows = banding(least, recall)
-    docs = docs.select("doc_id", "text")
+    nameless = docs.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
+    docs = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
     signed = checkpointed(signatures(docs, size, bands, rows))
+    again = repeated_ids(docs)
+    if again is not None:
+        signed = checkpointed(signed.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "bands")).alias("m")).select("doc_id", "m.*"))
     reps = signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     reps = checkpointed(reps)
     keyed = reps.select("rep", F.posexplode("bands").alias("band", "key"))
@@ -241,12 +253,23 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, least: float = LEAST, rec
     classes = reps.select("rep", "copies", "d1", "d2").join(links, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     known = signed.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
     bare = docs.select("doc_id").join(signed.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
-    return known.unionAll(bare)
+    return known.unionAll(bare if again is None else bare.distinct()).unionAll(nameless)
+
+
+def repeated_ids(docs: DataFrame) -> DataFrame | None:
+    """(doc_id): the ids that several rows have; None if there are none."""
+    again = checkpointed(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    return again if again.limit(1).count() else None
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that are the first of their near-duplicate class."""
-    return docs.join(near_duplicates(docs, **how).filter("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    """The rows of docs that are the first of their near-duplicate class, one for each doc_id; all rows with a null doc_id."""
+    first = near_duplicates(docs, **how).filter("doc_id = class_id").select("doc_id")
+    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    again = repeated_ids(docs)
+    if again is not None:
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def op8(docs: DataFrame) -> DataFrame:

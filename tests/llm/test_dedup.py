@@ -113,6 +113,32 @@ def test_near(spark, block):
     assert got == brute.near(docs)
 
 
+def test_near_edges(spark):
+    docs = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, "a b c d e f"), (3, None), (3, None), (4, "z " * 100_000), (5, "z " * 90_000)]
+    got = sorted(map(tuple, jaccard_join.op8(frame(spark, docs)).collect()), key=str)
+    assert got == [(1, 1, 1, 1), (2, 1, 1, 1), (3, 3, 0, 0), (4, 4, 1, 1), (5, 4, 1, 1), (None, None, 0, 0), (None, None, 0, 0)]
+    kept = jaccard_join.keep_one(frame(spark, docs))
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, 4, None, None] and kept.columns == ["doc_id", "text", "core", "key", "places"]
+
+
+def test_recall_at_the_threshold(spark):
+    """Of pairs with a similarity between 0.8 and 0.86 none is lost."""
+    rnd = random.Random(12)
+    docs, close = [], set()
+    for i in range(300):
+        words = [f"v{rnd.randrange(10**6)}" for _ in range(rnd.randrange(60, 140))]
+        other = list(words)
+        for _ in range(rnd.randrange(1, 4)):
+            other[rnd.randrange(len(other))] = "other"
+        a, b = " ".join(words), " ".join(other)
+        x, y = brute.shingles(a), brute.shingles(b)
+        if 0.8 <= len(x & y) / len(x | y) < 0.86:
+            close.add(2 * i)
+        docs += [(2 * i, a), (2 * i + 1, b)]
+    got = {r.doc_id: r.class_id for r in jaccard_join.op8(frame(spark, docs)).collect()}
+    assert len(close) > 50 and all(got[i + 1] == i for i in close)
+
+
 def test_banding():
     for least, recall in ((0.8, 0.9999), (0.5, 0.99)):
         bands, rows = jaccard_join.banding(least, recall, 400)
