@@ -5,25 +5,30 @@ that start in its first SPREAD places. Which place that is depends on the window
 windows own equal anchors, and only suffixes at anchors have to be sorted (about two in SPREAD). An
 anchor's windows start at lo..hi; each holds the SPREAD-independent `core` bytes from the anchor on.
 
-1. A pass over the texts gives every anchor's core hash, summed per shard, then by Spark. Anchors of a
-   core that is met once own no repeated window and go.
+1. Spark counts the anchors of each core, with partial sums; a join by core gives the anchors whose core is
+   met again. The others own no repeated window and go. A hot core is one row a task in the count, and its
+   side of the join may be split, as it is an ordinary skewed join.
 2. For the rest each shard writes its transform: suffixes from the anchor on, sorted, with the bytes that
-   precede each (a transform's symbol is the byte before a suffix; here it is the run of bytes back to
-   lo). Equal entries of a shard are one row with their places.
-3. Rows meet by core. A merge task interleaves the shards' sorted runs by refinement: entries start as
-   one interval a core, and round h splits each interval by the h-th eight bytes that follow, leaving
-   intervals of one entry alone, until no interval splits. Shards' suffixes aren't sorted again; the
-   round in which two neighbours part gives their common prefix. The preceding bytes are refined in the
-   same way. A window that starts d bytes before its anchor is repeated if another entry shares its
-   interval at depth width - d and its interval of preceding bytes at depth d.
+   precede each (the symbols of a transform, as far back as the anchor's first window). Equal entries of a
+   shard are one row with their places.
+3. Rows meet by core, in the order in which the shards have stored them. A merge task interleaves the
+   shards' runs: entries start as one interval a core, and a round for each eight bytes that follow merges
+   the runs within the intervals that still hold several entries. Then it steps backward as in merging
+   transforms: step d deals the interleave of step d - 1 stably by the d-th preceding byte, which gives the
+   order of the suffixes that start d bytes before the anchors from what is stored, without looking at what
+   follows. Common prefixes follow along: one more than the least between two neighbours before the step,
+   or none where their bytes differ. Entries that a preceding byte parts from all others end there. An
+   interval of common prefixes of `width` and more at step d is a repeated window.
 4. Repeated windows go back to their texts as runs.
 
 A core that is met more than MOST_IN_CORE times isn't gathered: its windows are counted one by one by
-Spark, with partial sums, which is exact too. A core is told by two independent 64-bit hashes; what is
-around it is compared byte by byte.
+Spark, with partial sums, which is exact too. A core is told by two 64-bit hashes of its 8-grams with bases of
+their own; what is around it is compared byte by byte.
 
-Null texts are empty; texts under `width` bytes keep everything; repeated rows count as occurrences of
-one another; other columns are not read. doc_id must be unique.
+Null texts are empty; texts under `width` bytes keep everything; texts of any length are read whole, and
+memory follows the longest; repeated rows count as occurrences of one another; other columns are not read.
+Rows with a null doc_id can't be told apart: they take no part and keep everything. Rows that repeat a
+doc_id must hold one text.
 """
 
 from __future__ import annotations
@@ -48,7 +53,12 @@ def core_bytes(width: int, spread: int = SPREAD) -> int:
     return width - spread + 1
 
 
-def anchors(raw: np.ndarray, bounds: np.ndarray, width: int, spread: int = SPREAD) -> tuple[np.ndarray, ...]:
+def grams_of(raw: np.ndarray) -> np.ndarray:
+    """A scrambled number for the eight bytes from each place on."""
+    return tk.mix(tk.byte_grams(raw))
+
+
+def anchors(grams: np.ndarray, bounds: np.ndarray, width: int, spread: int = SPREAD) -> tuple[np.ndarray, ...]:
     """(row, at, lo, hi): the anchors of all rows, with the first and last start of the windows that each owns."""
     sizes = np.diff(bounds)
     count = np.maximum(sizes - width + 1, 0)
@@ -57,7 +67,7 @@ def anchors(raw: np.ndarray, bounds: np.ndarray, width: int, spread: int = SPREA
         return (np.zeros(0, np.int64),) * 4
     row = np.repeat(np.arange(len(sizes)), count)
     start = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(bounds[:-1], count)
-    own = tk.sliding_argmin(tk.mix(tk.byte_grams(raw)), spread)[start]
+    own = tk.sliding_argmin(grams, spread)[start]
     cut = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (row[1:] != row[:-1])])
     last = np.r_[cut[1:], total] - 1
     return row[cut], own[cut], start[cut], start[last]
@@ -74,57 +84,59 @@ def _runs(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def cores(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(core, check, places): by shard, two hashes of the anchors' cores, and (doc_id, place) of each as int64 pairs."""
+def _hash(grams: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """A hash of the bytes start:end by the 8-grams in them, so that no two letters make a pattern of the bytes."""
+    return tk.span_hash(*tk.rolling(grams, base), start, end - GRAM + 1).view(np.int64)
+
+
+BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0x2545F4914F6CDD1D)
+
+
+def cores(docs: DataFrame, width: int = WIDTH, placed: bool = True) -> DataFrame:
+    """(core, doc_id, at): the hash of every anchor's core and its place; or (core, n), the anchors of each in a block of texts."""
     wide = core_bytes(width)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tk.blocks(batches):
             raw, bounds = tk.text_bytes(block.column("text"))
-            row, at, _, _ = anchors(raw, bounds, width)
+            grams = grams_of(raw)
+            row, at, _, _ = anchors(grams, bounds, width)
             if not len(at):
                 continue
-            core, check = _core(raw, at, wide)
-            ids = block.column("doc_id").to_numpy(zero_copy_only=False)
-            order, first = _runs([core, check])
-            place = np.stack([ids[row][order], (at - bounds[row])[order]], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(core[order][first]), pa.array(check[order][first]), tk.binary_pairs(first, place)], ["core", "check", "places"])
-
-    return docs.select("doc_id", "text").mapInArrow(shard, "core long, check long, places binary")
-
+            core = _hash(grams, at, at + wide, BASES[0])
+            if placed:
+                yield pa.RecordBatch.from_arrays([pa.array(core), block.column("doc_id").take(pa.array(row)), pa.array((at - bounds[row]).astype(np.int32))], ["core", "doc_id", "at"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(core, return_counts=True)], ["core", "n"])
 
-def _core(raw: np.ndarray, at: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(tk.span_hash(*tk.rolling(raw, base), at, at + wide).view(np.int64) for base in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+    return docs.select("doc_id", "text").mapInArrow(shard, "core long, doc_id long, at int" if placed else "core long, n long")
 
 
 def repeated_anchors(docs: DataFrame, width: int = WIDTH, most_in_core: int = MOST_IN_CORE) -> DataFrame:
     """(doc_id, ats): by document, array<struct<at,hot>> of the anchors whose core is met at least twice; hot: more than most_in_core times."""
-
-    def repeated(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        counts, pairs = tk.pairs_of(table.column("places"))
-        total = np.add.reduceat(counts, cuts[:-1])
-        total = np.repeat(np.repeat(total, np.diff(cuts)), counts)
-        keep = total > 1
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[keep, 0]), pa.array(pairs[keep, 1].astype(np.int32)), pa.array(total[keep] > most_in_core)], ["doc_id", "at", "hot"])
-
-    dealt = cores(docs, width).repartition("core", "check").sortWithinPartitions("core", "check")
-    found = dealt.mapInArrow(tk.by_group(repeated, ("core", "check")), "doc_id long, at int, hot boolean")
+    met = cores(docs, width, placed=False).groupBy("core").agg(F.sum("n").alias("n")).filter("n > 1")
+    found = cores(docs, width).join(met, "core").select("doc_id", "at", (F.col("n") > most_in_core).alias("hot"))
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "hot")).alias("ats"))
 
 
 def transforms(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(core, check, after, before, lo, hi, hot, places): each shard's sparse transform, for docs with a column `ats`.
+    """(core, check, stored, after, before, lo, hi, hot, places): each shard's sparse transform, for docs with a column `ats`.
 
     `after` are the bytes behind the core to the end of the anchor's last window, `before` those back to its
     first window in reverse; lo and hi are how far before the anchor its first and last windows start.
+    `stored` numbers the shards' entries in their order.
     """
     wide = core_bytes(width)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        stored = (context.partitionId() if context else 0) << 40
         for block in tk.blocks(batches):
             raw, bounds = tk.text_bytes(block.column("text"))
-            row, at, lo, hi = anchors(raw, bounds, width)
+            grams = grams_of(raw)
+            row, at, lo, hi = anchors(grams, bounds, width)
             wanted = np.zeros(len(raw) + 1, np.int8)
             ats = block.column("ats")
             lists = ats.flatten()
@@ -134,8 +146,8 @@ def transforms(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             row, at, lo, hi = row[keep], at[keep], lo[keep], hi[keep]
             if not len(at):
                 continue
-            core, check = _core(raw, at, wide)
-            whole = tk.span_hash(*tk.rolling(raw), lo, hi + width)
+            core, check = (_hash(grams, at, at + wide, base) for base in BASES[:2])
+            whole = _hash(grams, lo, hi + width, BASES[2])
             ids = block.column("doc_id").to_numpy(zero_copy_only=False)
             order, first = _runs([core, check, whole, at - lo])
             place = np.stack([ids[row][order], (at - bounds[row])[order]], 1)
@@ -145,17 +157,19 @@ def transforms(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             after = [text[x + wide : y + width] for x, y in zip(a.tolist(), h.tolist())]
             before = [text[x:y][::-1] for x, y in zip(l.tolist(), a.tolist())]
             run = np.array(sorted(range(len(after)), key=after.__getitem__), np.int64)  # the shard's suffixes in order
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(core[head]), pa.array(check[head]), pa.array(after, pa.binary()), pa.array(before, pa.binary()), pa.array((a - l).astype(np.int32)), pa.array((a - h).astype(np.int32)), pa.array(wanted[a] > 1), tk.binary_pairs(first, place)],
-                ["core", "check", "after", "before", "lo", "hi", "hot", "places"],
+            rank = np.empty(len(run), np.int64)
+            rank[run] = np.arange(len(run)) + stored
+            stored += len(run)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(core[head]), pa.array(check[head]), pa.array(rank), pa.array(after, pa.binary()), pa.array(before, pa.binary()), pa.array((a - l).astype(np.int32)), pa.array((a - h).astype(np.int32)), pa.array(wanted[a] > 1), tk.binary_pairs(first, place)],
+                ["core", "check", "stored", "after", "before", "lo", "hi", "hot", "places"],
             )
-            yield out.take(pa.array(run))
 
-    return docs.select("doc_id", "text", "ats").mapInArrow(shard, "core long, check long, after binary, before binary, lo int, hi int, hot boolean, places binary")
+    return docs.select("doc_id", "text", "ats").mapInArrow(shard, "core long, check long, stored long, after binary, before binary, lo int, hi int, hot boolean, places binary")
 
 
 def _padded(strings: pa.Array, wide: int) -> np.ndarray:
-    """The strings as rows of big-endian 64-bit words, zeros beyond their ends."""
+    """The strings as rows of bytes, zeros beyond their ends; wide is filled up to a multiple of eight."""
     bounds = np.frombuffer(strings.buffers()[1], np.int32, len(strings) + 1 + strings.offset)[strings.offset :].astype(np.int64)
     raw = np.frombuffer(strings.buffers()[2] or b"", np.uint8)
     sizes = np.minimum(np.diff(bounds), wide)
@@ -163,14 +177,15 @@ def _padded(strings: pa.Array, wide: int) -> np.ndarray:
     row = np.repeat(np.arange(len(strings)), sizes)
     at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out[row, at] = raw[bounds[row] + at]
-    return out.view(">u8").astype(np.uint64)
+    return out
 
 
 def interleave(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, common): the merged order of all entries, and each one's common prefix in bytes with the one before it.
 
-    `group` numbers the intervals at the start, in order of arrival from the shards' runs. Round h splits
-    only intervals of several entries, by their h-th word; common is -1 where a group begins.
+    `group` numbers the intervals at the start; entries come in the order of the shards' runs, each of which is
+    sorted, so the stable sort of a round is a merge of runs. Round h looks only at intervals of several
+    entries, by their h-th word of eight bytes; common is -1 where a group begins.
     """
     n = len(group)
     order = np.argsort(group, kind="stable")
@@ -196,6 +211,26 @@ def interleave(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, common
 
 
+def step_back(order: np.ndarray, common: np.ndarray, group: np.ndarray, symbol: np.ndarray, goes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common) of the suffixes one byte further back: the stable deal of an interleave by its preceding bytes.
+
+    `symbol` and `goes` (whether an entry goes on) are in the interleave's order, `group` is by entry.
+    """
+    at = np.flatnonzero(goes)
+    key = group[order[at]] * 256 + symbol[at]
+    dealt = np.argsort(key, kind="stable")
+    at, key = at[dealt], key[dealt]
+    out = np.zeros(len(at), np.int64)
+    if len(at):
+        g = key >> 8
+        out[np.r_[True, g[1:] != g[:-1]]] = -1
+        same = np.flatnonzero(key[1:] == key[:-1]) + 1
+        if len(same):
+            bounds = np.stack([at[same - 1] + 1, at[same] + 1], 1).ravel()
+            out[same] = 1 + np.minimum.reduceat(np.r_[common, 0], bounds)[::2]
+    return order[at], out
+
+
 def _zero_bytes(x: np.ndarray) -> np.ndarray:
     """The leading zero bytes of 64-bit values."""
     n = np.zeros(len(x), np.int64)
@@ -208,28 +243,26 @@ def _zero_bytes(x: np.ndarray) -> np.ndarray:
 
 def repeated_windows(table: pa.Table, cuts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(entry, d): the windows of a merge's entries, by how far before their anchor they start, that are repeated."""
-    size = table.num_rows
+    wide = core_bytes(width)
     group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
     lo, hi = (table.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi"))
     n, _ = tk.pairs_of(table.column("places"))
-    wide = core_bytes(width)
-    ranks, parts = [], []
-    for c, most in (("after", width - wide), ("before", SPREAD)):
-        order, common = interleave(group, _padded(table.column(c).combine_chunks(), most))
-        rank = np.empty(size, np.int64)
-        rank[order] = np.arange(size)
-        ranks.append(rank)
-        parts.append(common)
+    after, before = (_padded(table.column(c).combine_chunks(), most) for c, most in (("after", width - wide), ("before", SPREAD)))
+    order, common = interleave(group, after.view(">u8").astype(np.uint64))
+    common = np.where(common < 0, -1, wide + np.minimum(common, width - wide))
     entries, depths = [], []
-    for d in range(int(hi.min()), int(lo.max()) + 1):
-        who = np.flatnonzero((hi <= d) & (d <= lo))
-        if not len(who):
-            continue
-        after = np.cumsum(parts[0] < width - wide - d)[ranks[0][who]]
-        before = np.cumsum(parts[1] < d)[ranks[1][who]]
-        _, inverse = np.unique(after * (size + 1) + before, return_inverse=True)
-        again = np.bincount(inverse, n[who])[inverse] > 1
-        entries.append(who[again])
+    for d in range(int(lo.max(initial=-1)) + 1):
+        if d:
+            beside = np.maximum(common, np.r_[common[1:], -1])
+            goes = (lo[order] >= d) & ((beside >= wide + d - 1) | (n[order] > 1))  # else a preceding byte has parted it from all others
+            order, common = step_back(order, common, group, before[order, d - 1], goes)
+        if not len(order):
+            break
+        who = hi[order] <= d
+        interval = np.cumsum(common < width)[who]
+        entry = order[who]
+        again = np.bincount(interval, n[entry], minlength=1)[interval] > 1
+        entries.append(entry[again])
         depths.append(np.full(int(again.sum()), d))
     if not entries:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -262,7 +295,7 @@ def merged(entries: DataFrame, width: int = WIDTH) -> DataFrame:
     def merge(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield from _spread(table.column("places"), *repeated_windows(table, cuts, width))
 
-    dealt = entries.repartition("core", "check").sortWithinPartitions("core", "check")
+    dealt = entries.repartition("core", "check").sortWithinPartitions("core", "check", "stored")
     return dealt.mapInArrow(tk.by_group(merge, ("core", "check"), 1 << 23), RUNS)
 
 
@@ -297,7 +330,9 @@ def repeated_runs(docs: DataFrame, dealt: DataFrame, width: int = WIDTH, most_in
 
 def dedup(docs: DataFrame, width: int = WIDTH, most_in_core: int = MOST_IN_CORE) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): each text without the bytes of repeated windows; spans are the runs removed."""
-    base = docs.select("doc_id", "text").repartition("doc_id")
+    named = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    base = named.repartition("doc_id")
+    runs = repeated_runs(named, base, width, most_in_core)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tk.blocks(batches):
@@ -317,7 +352,8 @@ def dedup(docs: DataFrame, width: int = WIDTH, most_in_core: int = MOST_IN_CORE)
             kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return base.join(repeated_runs(docs, base, width, most_in_core), "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<s:long,e:long>>, kept binary")
+    nameless = docs.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("runs"))
+    return base.join(runs, "doc_id", "left").select("doc_id", "text", "runs").unionAll(nameless).mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<s:long,e:long>>, kept binary")
 
 
 def op5(docs: DataFrame) -> DataFrame:

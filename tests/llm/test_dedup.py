@@ -50,6 +50,10 @@ def tokens():
     return docs
 
 
+def thue_morse(n: int) -> str:
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
 @pytest.mark.parametrize("most", [suffix_dedup.MOST_IN_CORE, 1])
 def test_bytes(spark, most):
     docs = letters()
@@ -58,6 +62,48 @@ def test_bytes(spark, most):
     assert {r[0]: tuple(r)[1:] for r in out.collect()} == brute.repeated_bytes(docs)
 
 
+@pytest.mark.parametrize("most", [suffix_dedup.MOST_IN_CORE, 50])
+def test_one_core_in_every_row(spark, most):
+    """A passage that all documents hold, each among other bytes; some also share what is around it."""
+    rnd = random.Random(13)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(150))
+    around = ["".join(rnd.choice("xyz ") for _ in range(120)) for _ in range(40)]
+    docs = [(i, around[rnd.randrange(40)][rnd.randrange(60) :] + passage + around[rnd.randrange(40)][: rnd.randrange(60, 120)]) for i in range(300)]
+    docs += [(900, thue_morse(512)), (901, thue_morse(512).translate(str.maketrans("ab", "ba")))]
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
+    out = suffix_dedup.dedup(frame(spark, docs), most_in_core=most).select("doc_id", "n_bytes", removed, F.size("spans"), F.sha2("kept", 256))
+    assert {r[0]: tuple(r)[1:] for r in out.collect()} == brute.repeated_bytes(docs)
+
+
+def test_interleave_by_steps():
+    """Stepping back gives the order and common prefixes of a plain sort, from runs that are sorted one by one."""
+    rnd = random.Random(14)
+    whole = ["".join(rnd.choice("ab") for _ in range(40)).encode() for _ in range(60)]
+    whole += [rnd.choice(whole)[:20] + rnd.choice(whole)[20:] for _ in range(200)]
+    back, entries = 16, []
+    for run in range(7):  # seven shards, each in the order of what follows the anchor
+        entries += sorted(whole[run::7], key=lambda x: x[back:])
+    rows = np.frombuffer(b"".join(entries), np.uint8).reshape(len(entries), 40)
+    group = np.arange(len(entries)) % 2
+    order, common = suffix_dedup.interleave(group, np.ascontiguousarray(rows[:, back:]).view(">u8").astype(np.uint64))
+    for d in range(back + 1):
+        if d:
+            order, common = suffix_dedup.step_back(order, common, group, rows[order, back - d], np.ones(len(order), bool))
+        got = [(group[i], entries[i][back - d :]) for i in order]
+        assert got == sorted(got)
+        for (g, x), (h, y), n in zip(got, got[1:], common[1:]):
+            assert n == (-1 if g != h else next((k for k in range(len(x)) if x[k] != y[k]), len(x)))
+
+
+def test_bytes_without_id(spark):
+    text = "".join(chr(97 + i * i % 23) for i in range(700))
+    docs = [(1, text), (None, text), (None, text), (2, "x" * 100 + text[:300]), (3, None)]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.op5(frame(spark, docs)).collect()), key=str)
+    assert [x for x in got if x[0] is None] == [(None, 700, 0)] * 2 and len(got) == 5
+    want = brute.repeated_bytes([d for d in docs if d[0] is not None])
+    assert all(x[1:] == want[x[0]][:2] for x in got if x[0] is not None)
+
+
 def test_bytes_of_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     want = brute.repeated_bytes([tuple(r) for r in docs.select("doc_id", "text").collect()])
@@ -69,10 +115,6 @@ def test_passages(spark):
     assert {r[0]: tuple(r)[1:] for r in debruijn.op7(frame(spark, docs)).collect()} == brute.repeated_words(docs)
 
 
-def thue_morse(n: int) -> str:
-    return "".join("ab"[i.bit_count() % 2] for i in range(n))
-
-
 def test_words_that_defeat_polynomials(spark):
     word = thue_morse(4096)
     other = word.translate(str.maketrans("ab", "ba"))
