@@ -4,18 +4,24 @@ Edges are the windows of `width` words, nodes the width - 1 words that two neigh
 Neighbouring windows of a text whose first SPREAD 4-grams have the same least hash travel as one
 segment, a path of edges; which windows share it depends on their words alone, so equal windows lie at
 the same place before equal anchors, and windows of different `core` words (those from the anchor on that
-all its windows hold) cannot be equal. Copies of a segment meet as one row a shard and then as one class
-with the smallest document that holds it, its owner.
+all its windows hold) cannot be equal. Equal segments are one class; the smallest document that holds it is
+its owner.
 
-1. Classes that a later document repeats are the graph. Where a node joins just one class to just one
+1. Spark takes the smallest and largest document of each core, with partial sums; only segments of cores
+   that two documents hold go on, by a join. A hot core is one row a task in the sums, and its side of the
+   join may be split, as it is an ordinary skewed join; no task gathers the segments of a core.
+2. Classes that a later document repeats are the graph. Where a node joins just one class to just one
    other, the two compact: joins with doubled steps give each class its path and its place there.
-2. Occurrences of a path's classes in a document become one span; source coordinates verify it: the
+3. Occurrences of a path's classes in a document become one span; source coordinates verify it: the
    lengths of its segments must add up to its extent, or the segments stay single.
-3. Cores with several classes may share some windows only: the owners' segments there are split into
-   edges, and an edge that a smaller document also holds is removed as well.
-
-A class is told by two 64-bit hashes, with hashes of words and bases of their own. Null texts have no words; texts of fewer than `width`
-words lose none; repeats within one document stay; other columns are not read. doc_id must be unique.
+4. Cores with several classes may share some windows only: the owners' segments there are split into
+   edges, and an edge that a smaller document also holds is removed as well, by sums and a join again.
+
+A class is told by two 64-bit hashes, with hashes of words and bases of their own. Null texts have no words;
+texts of fewer than `width` words lose none; texts of any length are read whole, and memory follows the
+longest; repeats within one document stay; of equal texts the one with the smallest doc_id stays whole; other
+columns are not read. Rows with a null doc_id can't be compared: they take no part and keep everything. Rows
+that repeat a doc_id must hold one text, and keep what none of smaller documents holds.
 """
 
 from __future__ import annotations
@@ -66,11 +72,8 @@ class Segments:
         return tk.span_hash(*(self.two if second else self.one), start, end).view(np.int64)
 
 
-def segments(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """A shard's distinct segments: core, whole and check hashes, end nodes, windows, smallest and largest doc_id, places.
-
-    `places` holds (doc_id, word) of each copy as int64 pairs.
-    """
+def cores(docs: DataFrame, width: int = WIDTH, placed: bool = True) -> DataFrame:
+    """(core, doc_id, lo): the core hash of every segment and its place; or (core, least, most), the documents of each in a block of texts."""
     core_words = width - SPREAD + 1
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,19 +81,33 @@ def segments(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             s = Segments(block, width)
             if not len(s.lo):
                 continue
-            core = s.hashed(s.at, s.at + core_words)
-            whole, check = s.hashed(s.lo, s.hi + width), s.hashed(s.lo, s.hi + width, True)
-            ids = s.ids[s.row]
-            order = np.lexsort([ids, check, whole, core, s.hi - s.lo])
-            keys = [k[order] for k in (core, whole, check, s.hi - s.lo)]
-            first = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
-            ends = np.r_[first[1:], len(order)]
-            head = order[first]
-            place = np.stack([ids[order], (s.lo - s.first[s.row])[order]], 1)
-            columns = [core[head], whole[head], check[head], s.hashed(s.lo[head], s.lo[head] + width - 1), s.hashed(s.hi[head] + 1, s.hi[head] + width), (s.hi - s.lo + 1)[head].astype(np.int32), place[first, 0], place[ends - 1, 0]]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), tk.binary_pairs(first, place)], ["core", "whole", "check", "src", "dst", "windows", "least", "most", "places"])
+            core, ids = s.hashed(s.at, s.at + core_words), s.ids[s.row]
+            if placed:
+                yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(ids), pa.array((s.lo - s.first[s.row]).astype(np.int32))], ["core", "doc_id", "lo"])
+                continue
+            order = np.lexsort([ids, core])
+            core, ids = core[order], ids[order]
+            first = np.flatnonzero(np.r_[True, core[1:] != core[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(core[first]), pa.array(ids[first]), pa.array(ids[np.r_[first[1:], len(ids)] - 1])], ["core", "least", "most"])
+
+    return docs.select("doc_id", "text").mapInArrow(shard, "core long, doc_id long, lo int" if placed else "core long, least long, most long")
+
+
+def segments_at(docs: DataFrame, width: int) -> DataFrame:
+    """docs' segments that begin at `los` (array<int>): doc_id, lo, core, whole and check hashes, end nodes, windows."""
+    core_words = width - SPREAD + 1
+
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in tk.blocks(batches):
+            s = Segments(block, width)
+            lists = block.column("los")
+            where = lists.flatten().to_numpy(zero_copy_only=False) + np.repeat(s.first[:-1], np.diff(lists.offsets.to_numpy()))
+            k = np.flatnonzero(np.isin(s.lo, where))
+            lo, hi = s.lo[k], s.hi[k]
+            columns = [s.ids[s.row[k]], lo - s.first[s.row[k]], s.hashed(s.at[k], s.at[k] + core_words), s.hashed(lo, hi + width), s.hashed(lo, hi + width, True), s.hashed(lo, lo + width - 1), s.hashed(hi + 1, hi + width), (hi - lo + 1).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["doc_id", "lo", "core", "whole", "check", "src", "dst", "windows"])
 
-    return docs.select("doc_id", "text").mapInArrow(shard, "core long, whole long, check long, src long, dst long, windows int, least long, most long, places binary")
+    return docs.select("doc_id", "text", "los").mapInArrow(shard, "doc_id long, lo long, core long, whole long, check long, src long, dst long, windows int")
 
 
 def compact(edges: DataFrame) -> DataFrame:
@@ -115,20 +132,6 @@ def compact(edges: DataFrame) -> DataFrame:
     return state.select("id", F.when(F.col("done"), F.col("path")).otherwise(F.col("id")).alias("path"), F.when(F.col("done"), F.col("offset")).otherwise(F.lit(0)).alias("offset"))
 
 
-def _places(rows: DataFrame, *keep: str) -> DataFrame:
-    """(doc_id, lo, *keep): a row for each place of rows; keep are long or int columns."""
-    kinds = dict(rows.dtypes)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                counts, pairs = tk.pairs_of(b.column("places"))
-                at = pa.array(np.repeat(np.arange(b.num_rows), counts))
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *(b.column(c).take(at) for c in keep)], ["doc_id", "lo", *keep])
-
-    return rows.select("places", *keep).mapInArrow(each, ", ".join(["doc_id long", "lo long", *(f"{c} {kinds[c]}" for c in keep)]))
-
-
 def edges_of(docs: DataFrame, width: int) -> DataFrame:
     """(edge, check, doc_id, lo): single edges of docs' segments at `los` (array<struct<lo,windows>>)."""
 
@@ -147,35 +150,11 @@ def edges_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text", "los").mapInArrow(split, "edge long, check long, doc_id long, lo long")
 
 
-def shared_segments(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The segments whose core at least two documents hold, from one exchange by core.
-
-    With them come `many`, whether the core has several classes, and the class's `owner` and `most` (largest) doc_id.
-    """
-
-    def shared(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        least, most = table.column("least").to_numpy(), table.column("most").to_numpy()
-        both = np.minimum.reduceat(least, cuts[:-1]) < np.maximum.reduceat(most, cuts[:-1])
-        keep = np.flatnonzero(np.repeat(both, np.diff(cuts)))
-        if not len(keep):
-            return
-        core, whole, check = (table.column(c).to_numpy()[keep] for c in ("core", "whole", "check"))
-        order = np.lexsort([check, whole, core])
-        keys = [k[order] for k in (core, whole, check)]
-        first = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
-        sizes = np.diff(np.r_[first, len(order)])
-        owner = np.repeat(np.minimum.reduceat(least[keep][order], first), sizes)
-        last = np.repeat(np.maximum.reduceat(most[keep][order], first), sizes)
-        _, group, classes = np.unique(keys[0][first], return_inverse=True, return_counts=True)
-        many = np.repeat(classes[group] > 1, sizes)
-        out = table.take(pa.array(keep[order])).drop_columns(["most"])
-        for name, column in (("owner", owner), ("most", last), ("many", many)):
-            out = out.append_column(name, pa.array(column))
-        yield from out.to_batches()
-
-    kind = "core long, whole long, check long, src long, dst long, windows int, least long, places binary, owner long, most long, many boolean"
-    dealt = segments(docs, width).repartition("core").sortWithinPartitions("core")
-    return dealt.mapInArrow(tk.by_group(shared, ("core",)), kind)
+def shared_segments(docs: DataFrame, dealt: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The segments whose core at least two documents hold, as segments_at() gives them. `dealt` are the same docs by doc_id."""
+    met = cores(docs, width, placed=False).groupBy("core").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").select("core")
+    los = cores(docs, width).join(met, "core").groupBy("doc_id").agg(F.collect_list("lo").alias("los"))
+    return segments_at(dealt.join(los, "doc_id"), width)
 
 
 def repeated_spans(docs: DataFrame, dealt: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -183,31 +162,31 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, width: int = WIDTH) -> Dat
 
     `dealt` are the same docs by doc_id, for the joins that come after the first pass.
     """
-    shared = checkpointed(shared_segments(docs, width)).withColumn("id", F.xxhash64("core", "whole", "check"))
-    graph = shared.filter("most > owner").groupBy("id").agg(F.first("src").alias("src"), F.first("dst").alias("dst"), F.first("windows").alias("windows"))
-    paths = compact(checkpointed(graph))
-    placed = _places(shared.filter("most > owner").select("id", "windows", "owner", "places").join(paths, "id"), "windows", "owner", "path", "offset").filter("doc_id > owner")
+    shared = checkpointed(shared_segments(docs, dealt, width).withColumn("id", F.xxhash64("core", "whole", "check")).drop("whole", "check"))
+    first = lambda c: F.first(c).alias(c)
+    classes = checkpointed(shared.groupBy("id").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most"), first("core"), first("src"), first("dst"), first("windows")))
+    again = classes.filter("most > owner")
+    paths = compact(again.select("id", "src", "dst", "windows"))
+    placed = shared.select("id", "doc_id", "lo", "windows").join(again.select("id", "owner").join(paths, "id"), "id").filter("doc_id > owner")
     spans = placed.groupBy("doc_id", "path", (F.col("lo") - F.col("offset")).alias("diagonal")).agg(
         F.min("lo").alias("lo"), F.max(F.col("lo") + F.col("windows") - 1).alias("hi"), F.sum("windows").alias("n"), F.collect_list(F.struct("lo", (F.col("lo") + F.col("windows") - 1).alias("hi"))).alias("each")
     )
     long_spans = spans.select("doc_id", F.explode(F.when(F.col("n") == F.col("hi") - F.col("lo") + 1, F.array(F.struct("lo", "hi"))).otherwise(F.col("each"))).alias("run"))
 
-    split = _places(shared.filter("many AND least = owner").select("windows", "owner", "places"), "windows", "owner").filter("doc_id = owner")
-    wanted = split.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "windows")).alias("los"))
-    edges = edges_of(dealt.join(wanted, "doc_id"), width).repartition("edge", "check").sortWithinPartitions("edge", "check")
-
-    def later(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids = table.column("doc_id").to_numpy()
-        keep = np.flatnonzero(ids > np.repeat(np.minimum.reduceat(ids, cuts[:-1]), np.diff(cuts)))
-        yield from table.select(["doc_id", "lo"]).take(pa.array(keep)).to_batches()
-
-    singles = edges.mapInArrow(tk.by_group(later, ("edge", "check")), "doc_id long, lo long").select("doc_id", F.struct("lo", F.col("lo").alias("hi")).alias("run"))
+    many = classes.groupBy("core").count().filter("count > 1").select("core")
+    split = shared.select("id", "doc_id", "lo", "windows").join(classes.join(many, "core").select("id", F.col("owner").alias("doc_id")), ["id", "doc_id"])
+    wanted = checkpointed(split.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "windows")).alias("los")))
+    edges = edges_of(dealt.join(wanted, "doc_id"), width)
+    least = edges.groupBy("edge", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("edge", "check", "least")
+    singles = edges.join(least, ["edge", "check"]).filter("doc_id > least").select("doc_id", F.struct("lo", F.col("lo").alias("hi")).alias("run"))
     return long_spans.unionAll(singles).groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
 
 
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the words left of each text, joined by one space."""
-    base = docs.select("doc_id", "text").repartition("doc_id")
+    named = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    base = named.repartition("doc_id")
+    spans = repeated_spans(named, base, width)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tk.blocks(batches):
@@ -226,7 +205,8 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 kept.append(b" ".join([text[x:y] for x, y in zip(starts[keep].tolist(), ends[keep].tolist())]))
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return base.join(repeated_spans(docs, base, width), "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
+    nameless = docs.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<struct<lo:long,hi:long>>").alias("runs"))
+    return base.join(spans, "doc_id", "left").select("doc_id", "text", "runs").unionAll(nameless).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -115,6 +115,24 @@ def test_passages(spark):
     assert {r[0]: tuple(r)[1:] for r in debruijn.op7(frame(spark, docs)).collect()} == brute.repeated_words(docs)
 
 
+def test_one_passage_in_every_row(spark):
+    """Words that all documents hold, more or less than a window, each among other words."""
+    rnd = random.Random(15)
+    passage = [f"p{i}" for i in range(70)]
+    docs = []
+    for i in range(300):
+        a, b = rnd.randrange(25), rnd.randrange(45, 70)
+        docs.append((i, " ".join([f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(40))] + passage[a:b] + [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(40))])))
+    assert {r[0]: tuple(r)[1:] for r in debruijn.op7(frame(spark, docs)).collect()} == brute.repeated_words(docs)
+
+
+def test_passages_without_id(spark):
+    text = " ".join(f"w{i}" for i in range(120))
+    docs = [(1, text), (None, text), (None, text), (2, "x y " + text), (3, None), (-4, "w1 w2")]
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in debruijn.op7(frame(spark, docs)).collect()), key=str)
+    assert got == sorted([(1, 120, 0), (None, 120, 0), (None, 120, 0), (2, 122, 120), (3, 0, 0), (-4, 2, 0)], key=str)
+
+
 def test_words_that_defeat_polynomials(spark):
     word = thue_morse(4096)
     other = word.translate(str.maketrans("ab", "ba"))
