@@ -46,13 +46,17 @@ EVENT_RULES = [
 #: The severity of an article that no rule gives one.
 BASE_SEVERITY = 0.2
 
-#: (alias, entity, type), for tagging by dictionary.
-GAZETTEER = [
-    ("the", "The", "organization"),
-    ("der", "Der", "organization"),
-    ("of", "Of", "location"),
-    ("la", "La", "location"),
-    ("le", "Le", "location"),
-    ("and", "And", "person"),
-    ("que", "Que", "person"),
-]
+#: Roll-up of step results: what is missing, and the level by severity.
+UNKNOWN = "未知"
+ROLL_UP_BANDS = ((4.0, "高"), (2.0, "中"), (float("-inf"), "低"))
+#: The severity of an event that gives none.
+USUAL_SEVERITY = 3.0
+
+#: Words of the spatial operators: Moran's I above these, below the last; and kinds of hotspots.
+MORAN_WORDS = {
+    0.3: "显著正空间自相关：风险呈现明显地理聚集",
+    0.1: "弱正空间自相关：风险有一定聚集趋势",
+    -0.1: "负空间自相关：高低风险区交错分布",
+    None: "空间随机分布：无明显聚集模式",
+}
+CLUSTERED, ISOLATED = "高-高聚集", "高风险孤岛"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ def given(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -57,14 +63,12 @@ def any_cjk_language(text: Column) -> Column:
 
 def contains_any(text: Column, words: list[str]) -> Column:
     """Whether the lower-cased text holds any of the words as a substring."""
-    low = F.lower(given(text))
-    return F.exists(F.lit([w.lower() for w in words]), lambda w: F.contains(low, w))
+    return bound(F.lower(given(text)), lambda low: F.exists(F.lit([w.lower() for w in words]), lambda w: F.contains(low, w)))
 
 
 def held_words(text: Column, words: list[str]) -> Column:
     """The words that the text holds as substrings, in the list's order."""
-    t = given(text)
-    return F.filter(F.lit(words), lambda w: F.contains(t, w))
+    return bound(given(text), lambda t: F.filter(F.lit(words), lambda w: F.contains(t, w)))
 
 
 def event_words(text: Column, language: Column) -> Column:
@@ -74,9 +78,10 @@ def event_words(text: Column, language: Column) -> Column:
 
 def lexicon_sentiment(text: Column, positive: list[str] = params.POSITIVE_WORDS, negative: list[str] = params.NEGATIVE_WORDS) -> Column:
     """Positive words over all sentiment words that occur, each counted once; 0.5 without any."""
-    low = F.lower(given(text))
-    pos, neg = F.size(held_words(low, positive)), F.size(held_words(low, negative))
-    return F.when(pos + neg == 0, F.lit(0.5)).otherwise(rounded(pos / F.greatest(pos + neg, F.lit(1)), 4))
+    n = lambda low, words: F.size(F.filter(F.lit(words), lambda w: F.contains(low, w)))
+    counts = bound(F.lower(given(text)), lambda low: F.struct(n(low, positive).alias("pos"), n(low, negative).alias("neg")))
+    share = lambda c: F.when(c["pos"] + c["neg"] == 0, F.lit(0.5)).otherwise(rounded(c["pos"] / F.greatest(c["pos"] + c["neg"], F.lit(1)), 4))
+    return bound(counts, share)
 
 
 def compound_sentiment(compound: Column, text: Column | None = None) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import params
@@ -17,11 +17,32 @@ def alerts(scores: DataFrame, by: str = "series_key", at: str = "ts", score: str
 
 
 def level_changes(scores: DataFrame, by: str = "series_key", at: str = "ts", score: str = "risk_score", bands=params.ALERT_BANDS) -> DataFrame:
-    """Alerts whose level differs from that of the series' score before."""
-    from pyspark.sql import Window
+    """Alerts whose level differs from that of the series' score before.
 
-    before = F.lag(banded(F.col(score), bands), 1, "green").over(Window.partitionBy(by).orderBy(at))
-    return alerts(scores.withColumn("__before", before).filter(banded(F.col(score), bands) != F.col("__before")), by, at, score, bands)
+    Scores are ranked by series and day; the first of a day goes by the last level of the days before, which is
+    one row a day, so a series with a third of all rows isn't one group.
+    """
+    level = banded(F.col(score), bands)
+    dated = scores.withColumn("__day", F.to_date(at)).withColumn("__level", level)
+    ends = dated.groupBy(by, "__day").agg(F.max_by("__level", at).alias("__end"))
+    carried = ends.select(by, "__day", F.lag("__end").over(Window.partitionBy(by).orderBy("__day")).alias("__carried"))
+    before = F.coalesce(F.lag("__level").over(Window.partitionBy(by, "__day").orderBy(at)), "__carried", F.lit("green"))
+    changed = dated.join(carried, [by, "__day"]).withColumn("__before", before).filter(F.col("__level") != F.col("__before"))
+    return alerts(changed.select(*scores.columns), by, at, score, bands)
+
+
+def trailing_counts(log: DataFrame, by: str = "series_key", at: str = "ts", hours: int = 24) -> DataFrame:
+    """log and n, the alerts of the series in the trailing hours up to each, itself and those of the same second included.
+
+    An alert is counted in the window-long bucket that it lies in and goes as a mere neighbour to the next one, so
+    the groups are series and buckets, not series.
+    """
+    size = hours * 3600
+    second = F.unix_seconds(at)
+    own = F.floor(second / size)
+    both = log.select("*", F.inline(F.array(F.struct(own.alias("__b"), F.lit(True).alias("__own")), F.struct((own + 1).alias("__b"), F.lit(False).alias("__own")))))
+    w = Window.partitionBy(by, "__b").orderBy(second).rangeBetween(-size, 0)
+    return both.withColumn("n", F.count(F.lit(1)).over(w)).filter("__own").drop("__b", "__own")
 
 
 def retained(log: DataFrame, most: int = 100, at: str = "ts") -> DataFrame:

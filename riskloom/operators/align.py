@@ -55,7 +55,7 @@ def latest_values(annual: DataFrame, years: int = 5, by: tuple[str, ...] = ("cou
 def fresh_snapshots(snapshots: DataFrame, ttl: DataFrame, as_of, defaults: DataFrame) -> DataFrame:
     """(source, fetched_at, value, fresh): each source's newest snapshot if it is younger than its ttl (seconds), else the default value."""
     newest = snapshots.groupBy("source").agg(F.max("fetched_at").alias("fetched_at"), F.max_by("value", "fetched_at").alias("value"))
-    df = defaults.select("source", F.col("value").alias("__default")).join(F.broadcast(ttl), "source").join(newest, "source", "left")
+    df = defaults.select("source", F.col("value").alias("__default")).join(ttl, "source").join(newest, "source", "left")
     age = F.unix_seconds(as_of) - F.unix_seconds(F.col("fetched_at").cast("timestamp"))
     fresh = F.coalesce(age < F.col("ttl"), F.lit(False))
     return df.select("source", F.when(fresh, F.col("fetched_at")).alias("fetched_at"), F.when(fresh, F.col("value")).otherwise(F.col("__default")).alias("value"), fresh.alias("fresh"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import text as T
+from riskloom.session import small
 
 
 def first_by(df: DataFrame, key: Column, order: str) -> DataFrame:
@@ -64,13 +65,34 @@ def valid_input(df: DataFrame, text: str = "text", most: int = 10_000) -> tuple[
     return df.filter(ok), df.filter(~ok)
 
 
-def tag_entities(df: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text: str = "text", types: Sequence[str] = ("location", "organization", "person")) -> DataFrame:
+#: A unit of tagging: a single CJK character, or a run of other letters and digits.
+UNIT = r"[\x{4E00}-\x{9FFF}]|(?:[^\P{L}\x{4E00}-\x{9FFF}]|\p{N})+"
+
+
+def units(text: Column) -> Column:
+    """array<string>: the units of a text, in lower case."""
+    return F.regexp_extract_all(F.lower(T.given(text)), F.lit(UNIT), F.lit(0))
+
+
+def tag_entities(df: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text: str = "text", types: Sequence[str] = ("location", "organization", "person"), longest: int = 16) -> DataFrame:
     """(key, one array column a type): the gazetteer's entities in each text, first met first, each once.
 
-    Tokens are exploded with their place and joined with the aliases; the dictionary never becomes one pattern.
+    An alias (alias, entity, type) is a sequence of up to `longest` units, so several words and names in CJK
+    script are found; longer ones are refused. Each unit is exploded with the units behind it and joined with
+    the aliases that begin with it; the dictionary never becomes one pattern, and is broadcast only if it is small.
     """
-    tokens = df.select(key, F.posexplode(F.split(F.lower(T.given(F.col(text))), r"[^\p{L}\p{N}]+")).alias("at", "alias"))
-    hits = tokens.join(gazetteer, "alias").groupBy(key, "type", "entity").agg(F.min("at").alias("at"))
+    parts = units(F.col("alias"))
+    names = gazetteer.select(parts.alias("__u"), "entity", "type").filter(F.size("__u") > 0)
+    names = names.select(F.get("__u", F.lit(0)).alias("head"), F.array_join("__u", " ").alias("whole"), F.size("__u").alias("n"), "entity", "type").distinct()
+    too_long = names.filter(F.col("n") > longest).limit(1).collect()
+    if too_long:
+        raise ValueError(f"an alias of {too_long[0].n} units; at most {longest} are looked up")
+    held = names.agg(F.max("n")).first()[0] or 1
+    whole = lambda u: F.transform(u, lambda x, i: F.struct(x.alias("head"), i.alias("at"), F.array_join(F.slice(u, i + 1, F.lit(held)), " ").alias("window")))
+    windows = F.transform(F.array(units(F.col(text))), whole)[0]
+    met = df.select(key, F.inline(windows)).join(small(names), "head")
+    fits = (F.col("window") == F.col("whole")) | F.startswith("window", F.concat("whole", F.lit(" ")))
+    hits = met.filter(fits).groupBy(key, "type", "entity").agg(F.min("at").alias("at"))
     ordered = lambda t: F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == t, F.struct("at", "entity")))), lambda x: x["entity"]).alias(f"{t}s")
     return df.select(key).join(hits, key, "left").groupBy(key).agg(*[ordered(t) for t in types])
 
@@ -86,12 +108,35 @@ def query_articles(df: DataFrame, since: Column | None = None, country: str | No
     return df if most is None else df.orderBy(F.desc(date), order).limit(most)
 
 
-def query_many(df: DataFrame, queries: DataFrame, text: str = "text", url: str = "url", order: str = "ingest_seq") -> DataFrame:
-    """Rows that contain a query's text (queries: query_no, query), one for each URL: the first query's, then the first row."""
-    hits = df.join(F.broadcast(queries), F.contains(F.lower(F.col(text)), F.lower(F.col("query")))).filter(T.given(F.col(url)) != "")
+#: Queries that a union of queries may have: they are matched row by row, as a stated query set.
+MOST_QUERIES = 10_000
+
+
+def query_many(df: DataFrame, queries: DataFrame, text: str = "text", url: str = "url", order: str = "ingest_seq", language: str | None = None) -> DataFrame:
+    """Rows that contain a query's text (queries: query_no, query), one for each URL: the first query's, then the first row.
+
+    With `language`, a column of df of 'zh', 'en' and so on, a query meets only rows of its own language: zh if it
+    has any CJK character, else en.
+    """
+    asked = queries.select("query_no", "query", T.any_cjk_language(F.col("query")).alias("query_language")).limit(MOST_QUERIES + 1).collect()
+    if len(asked) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries")
+    every = F.array(*[F.struct(F.lit(r.query_no).alias("query_no"), F.lit(r.query).alias("query"), F.lit(r.query_language).alias("query_language")) for r in asked]) if asked else F.array().cast("array<struct<query_no:int,query:string,query_language:string>>")
+
+    def met(low: Column) -> Column:
+        same = (lambda q: F.col(language) == q["query_language"]) if language else (lambda q: F.lit(True))
+        return F.filter(every, lambda q: F.contains(low, F.lower(q["query"])) & same(q))
+
+    hits = df.filter(T.given(F.col(url)) != "").select("*", F.inline(T.bound(F.lower(F.col(text)), met)))
     return hits.groupBy(url).agg(F.min_by(F.struct(*hits.columns), F.struct("query_no", order)).alias("r")).select("r.*")
 
 
+def enabled(df: DataFrame, sources: DataFrame, source: str = "source") -> DataFrame:
+    """Rows of the enabled ones of the known sources (source, enabled: null counts as enabled); unknown sources are skipped."""
+    on = sources.filter(F.coalesce("enabled", F.lit(True))).select(F.col("source").alias(source)).distinct()
+    return df.join(on, source, "left_semi")
+
+
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], most: int, name: str | None = None) -> DataFrame:
     """The first `most` rows of each group, in order."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))

@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.num import rounded
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that the session names; own folder only where it names none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint(eager=True)
+from riskloom.session import checkpointed
 
 
 def build(edges: DataFrame) -> DataFrame:
@@ -74,6 +65,13 @@ def upsert(existing: DataFrame, incoming: DataFrame, seq: str = "seq") -> DataFr
     return rows.select("type", "id").distinct().join(maps, ["type", "id"], "left").select("type", "id", F.coalesce("props", F.create_map().cast("map<string,string>")).alias("props"))
 
 
+def seed_load(nodes: DataFrame, relations: DataFrame, known: DataFrame, known_relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, relations) with the seeds merged in: entities by type and name, whose properties (aliases too) give way to
+    later ones; relations whose ends both exist, one for each (src, type, dst)."""
+    merged = upsert(known, nodes)
+    return merged, merge_relations(relations, known_relations, merged)
+
+
 def merge_relations(existing: DataFrame, incoming: DataFrame, nodes: DataFrame) -> DataFrame:
     """existing and the incoming relations whose ends both exist, one for each (src, type, dst)."""
     ids = nodes.select("id").distinct()
@@ -100,13 +98,13 @@ def components(edges: DataFrame) -> DataFrame:
     checkpointed, and the number of changed labels ends them.
     """
     both = edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct()
-    both = _cut(both)
-    labels = _cut(vertices(edges).select("id", F.col("id").alias("label")))
+    both = checkpointed(both)
+    labels = checkpointed(vertices(edges).select("id", F.col("id").alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.min("label").alias("__l"))
         moved = labels.join(near.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("label").alias("__old"), F.least("label", F.coalesce("__l", "label")).alias("__new"))
         jumped = moved.join(moved.select(F.col("id").alias("__new"), F.col("__new").alias("__up")), "__new").select("id", "__old", F.least("__new", "__up").alias("label"))
-        jumped = _cut(jumped)
+        jumped = checkpointed(jumped)
         changed = jumped.filter("label <> __old").limit(1).count()
         labels = jumped.select("id", "label")
         if not changed:
@@ -116,25 +114,30 @@ def components(edges: DataFrame) -> DataFrame:
 def distances(edges: DataFrame, sources: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(source, id, dist): shortest directed distances from each source (all by default), by frontier joins."""
     out = edges.select("src", "dst").filter("src <> dst").distinct()
-    start = (vertices(edges) if sources is None else sources).select(F.col("id").alias("source"), "id", F.lit(0).alias("dist"))
-    seen = frontier = _cut(start)
+    start = (vertices(edges) if sources is None else vertices(edges).join(sources.select("id").distinct(), "id", "left_semi")).select(F.col("id").alias("source"), "id", F.lit(0).alias("dist"))
+    seen = frontier = checkpointed(start)
     step = 0
     while most is None or step < most:
         step += 1
         reached = frontier.join(out, F.col("id") == F.col("src")).select("source", F.col("dst").alias("id")).distinct()
-        frontier = _cut(reached.join(seen, ["source", "id"], "left_anti").select("source", "id", F.lit(step).alias("dist")))
+        frontier = checkpointed(reached.join(seen, ["source", "id"], "left_anti").select("source", "id", F.lit(step).alias("dist")))
         if not frontier.limit(1).count():
             break
-        seen = _cut(seen.unionAll(frontier))
+        seen = checkpointed(seen.unionAll(frontier))
     return seen
 
 
-def closeness(edges: DataFrame) -> DataFrame:
-    """(id, closeness) by incoming distances, scaled by the reachable share."""
-    d = distances(edges).filter("dist > 0").groupBy("id").agg(F.count(F.lit(1)).alias("r"), F.sum("dist").alias("s"))
+def closeness(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(id, closeness) by incoming distances, scaled by the reachable share; of the named nodes (id) only, if given.
+
+    Distances to a node are those from it along turned edges, so work follows the number of nodes asked for.
+    """
     v = vertices(edges)
+    asked = v if nodes is None else v.join(nodes.select("id").distinct(), "id", "left_semi")
+    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    d = distances(turned, asked).filter("dist > 0").groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("r"), F.sum("dist").alias("s"))
     n = v.agg(F.count(F.lit(1)).alias("n"))
-    x = v.join(d, "id", "left").join(F.broadcast(n))
+    x = asked.join(d, "id", "left").join(F.broadcast(n))
     c = F.try_divide(F.col("r"), F.col("s")) * F.try_divide(F.col("r"), F.col("n") - 1)
     return x.select("id", rounded(F.coalesce(c, F.lit(0.0)), 4).alias("closeness"))
 
@@ -145,21 +148,21 @@ def betweenness(edges: DataFrame, pivots: DataFrame | None = None) -> DataFrame:
     All sources run at once as a key column, so a round is one join however many they are. With `pivots`
     (id) only these are sources and the sum is scaled up to n.
     """
-    out = _cut(edges.select("src", "dst").filter("src <> dst").distinct())
+    out = checkpointed(edges.select("src", "dst").filter("src <> dst").distinct())
     v = vertices(edges)
     dist = distances(edges, pivots)
     # an edge of the shortest-path graph of a source leads one step away from it
     a, b = dist.select("source", F.col("id").alias("src"), F.col("dist").alias("d")), dist.select("source", F.col("id").alias("dst"), F.col("dist").alias("e"))
-    dag = _cut(a.join(out, "src").join(b, ["source", "dst"]).filter("e = d + 1").select("source", "src", "dst", "e"))
+    dag = checkpointed(a.join(out, "src").join(b, ["source", "dst"]).filter("e = d + 1").select("source", "src", "dst", "e"))
     depth = dag.agg(F.max("e")).first()[0] or 0
     paths = start = dist.filter("dist = 0").select("source", "id", F.lit(1.0).alias("sigma"))
     level = start
     for e in range(1, depth + 1):
-        level = _cut(dag.filter(F.col("e") == e).join(level.withColumnRenamed("id", "src"), ["source", "src"]).groupBy("source", "dst").agg(F.sum("sigma").alias("sigma")).withColumnRenamed("dst", "id"))
+        level = checkpointed(dag.filter(F.col("e") == e).join(level.withColumnRenamed("id", "src"), ["source", "src"]).groupBy("source", "dst").agg(F.sum("sigma").alias("sigma")).withColumnRenamed("dst", "id"))
         paths = paths.unionAll(level)
-    paths = _cut(paths)
+    paths = checkpointed(paths)
     s, t = paths.select("source", F.col("id").alias("src"), F.col("sigma").alias("ss")), paths.select("source", F.col("id").alias("dst"), F.col("sigma").alias("st"))
-    share = _cut(dag.join(s, ["source", "src"]).join(t, ["source", "dst"]).select("source", "src", "dst", "e", (F.col("ss") / F.col("st")).alias("share")))
+    share = checkpointed(dag.join(s, ["source", "src"]).join(t, ["source", "dst"]).select("source", "src", "dst", "e", (F.col("ss") / F.col("st")).alias("share")))
     deltas = None
     for e in range(depth, 0, -1):
         edge = share.filter(F.col("e") == e)
@@ -167,10 +170,10 @@ def betweenness(edges: DataFrame, pivots: DataFrame | None = None) -> DataFrame:
             edge = edge.join(last.withColumnRenamed("id", "dst"), ["source", "dst"], "left")
         else:
             edge = edge.withColumn("delta", F.lit(0.0))
-        last = _cut(edge.groupBy("source", "src").agg(F.sum(F.col("share") * (1 + F.coalesce("delta", F.lit(0.0)))).alias("delta")).withColumnRenamed("src", "id"))
+        last = checkpointed(edge.groupBy("source", "src").agg(F.sum(F.col("share") * (1 + F.coalesce("delta", F.lit(0.0)))).alias("delta")).withColumnRenamed("src", "id"))
         deltas = last if deltas is None else deltas.unionAll(last)
     n = v.agg(F.count(F.lit(1)).alias("n"))
-    n = n.withColumn("k", F.col("n")) if pivots is None else n.join(pivots.agg(F.count(F.lit(1)).alias("k")))
+    n = n.withColumn("k", F.col("n")) if pivots is None else n.join(dist.filter("dist = 0").agg(F.count(F.lit(1)).alias("k")))
     if deltas is None:
         return v.select("id", F.lit(0.0).alias("betweenness"))
     total = deltas.filter("source <> id").groupBy("id").agg(F.sum("delta").alias("b"))
@@ -178,38 +181,64 @@ def betweenness(edges: DataFrame, pivots: DataFrame | None = None) -> DataFrame:
     return x.select("id", rounded(F.coalesce(F.try_divide(F.col("b"), (F.col("n") - 1) * (F.col("n") - 2)) * F.try_divide(F.col("n"), F.col("k")), F.lit(0.0)), 4).alias("betweenness"))
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, community): local moves by modularity gain on the undirected view, all nodes at once.
+def communities(edges: DataFrame, rounds: int = 6, levels: int = 5) -> DataFrame:
+    """(id, community): Louvain's method on the undirected view; a community is named by one of its nodes.
 
-    A node moves to the neighbouring community of the largest gain, ties to the least label. Nodes of odd and
-    even hash take turns, so that two neighbours don't swap labels for ever. Communities never leave their
-    connected component; the last labels' modularity is at least that of single nodes.
+    A level moves nodes to neighbouring communities by modularity gain until none gains, then every community
+    becomes a node of the next level, with the weights between and within them summed. It ends when a level
+    leaves its nodes alone or makes modularity no better. Communities never leave their connected component.
     """
     both = edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    adj = _cut(both.select(F.col("a").alias("id"), F.col("b").alias("to")).unionAll(both.select(F.col("b").alias("id"), F.col("a").alias("to"))))
-    degree = adj.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
-    m2 = adj.agg(F.count(F.lit(1)).cast("double").alias("m2"))
-    labels = _cut(degree.select("id", "k", F.col("id").alias("label")))
-    single = vertices(edges)
-    for turn in range(rounds):
+    adj = checkpointed(both.select(F.col("a").alias("id"), F.col("b").alias("to"), F.lit(1.0).alias("w")).unionAll(both.select(F.col("b").alias("id"), F.col("a").alias("to"), F.lit(1.0).alias("w"))))
+    degree = checkpointed(adj.groupBy("id").agg(F.sum("w").alias("k")))
+    m2 = degree.agg(F.sum("k")).first()[0]
+    names = vertices(edges).select("id", F.col("id").alias("community"))
+    loops = degree.select("id", F.lit(0.0).alias("w"))
+    best = None
+    for _ in range(levels if m2 else 0):
+        labels, moved = _moves(adj, degree, m2, rounds)
+        if not moved:
+            break
+        between = adj.join(labels.withColumnRenamed("label", "x"), "id").join(labels.select(F.col("id").alias("to"), F.col("label").alias("y")), "to").groupBy("x", "y").agg(F.sum("w").alias("w"))
+        between = checkpointed(between)
+        inner = between.filter("x = y").select(F.col("x").alias("id"), "w").unionAll(loops.join(labels, "id").select(F.col("label").alias("id"), "w"))
+        loops = checkpointed(inner.groupBy("id").agg(F.sum("w").alias("w")))
+        degree = checkpointed(degree.join(labels, "id").groupBy(F.col("label").alias("id")).agg(F.sum("k").alias("k")))
+        quality = degree.join(loops, "id", "left").agg(F.sum(F.coalesce("w", F.lit(0.0)) / m2 - F.pow(F.col("k") / m2, 2))).first()[0]
+        if best is not None and quality <= best + 1e-9:
+            break
+        best = quality
+        names = checkpointed(names.join(labels.withColumnRenamed("id", "community"), "community", "left").select("id", F.coalesce("label", "community").alias("community")))
+        adj = between.filter("x <> y").select(F.col("x").alias("id"), F.col("y").alias("to"), "w")
+    return names
+
+
+def _moves(adj: DataFrame, degree: DataFrame, m2: float, rounds: int) -> tuple[DataFrame, bool]:
+    """((id, label), whether any node has moved): local moves of a level, all nodes at once.
+
+    A node moves to the neighbouring community of the largest gain, ties to the least label. Nodes of odd and
+    even hash take turns, so that two neighbours don't swap labels for ever.
+    """
+    labels = checkpointed(degree.select("id", "k", F.col("id").alias("label")))
+    moved = False
+    idle = 0
+    for turn in range(2 * rounds):
         sizes = labels.groupBy("label").agg(F.sum("k").alias("tot"))
-        links = adj.join(labels.select(F.col("id").alias("to"), "label"), "to").groupBy("id", "label").agg(F.count(F.lit(1)).alias("l"))
-        own = labels.select("id", "k", F.col("label").alias("own"))
-        options = links.join(own, "id").join(sizes, "label").join(F.broadcast(m2))
-        gain = F.col("l") - F.col("k") * (F.col("tot") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0)) / F.col("m2")
-        stay = F.when(F.col("label") == F.col("own"), 0).otherwise(1)
-        options = options.withColumn("g", rounded(gain, 8))
-        here = own.join(sizes.withColumnRenamed("label", "own"), "own").join(F.broadcast(m2)).join(links.withColumnRenamed("label", "own"), ["id", "own"], "left").select("id", rounded(F.coalesce("l", F.lit(0)) - F.col("k") * (F.col("tot") - F.col("k")) / F.col("m2"), 8).alias("now"))
-        best = options.groupBy("id").agg(F.min(F.struct((-F.col("g")).alias("g"), stay.alias("s"), "label")).alias("b"))
-        x = labels.join(best, "id").join(here, "id")
-        mine = F.pmod(F.xxhash64("id"), F.lit(2)) == turn % 2
-        new = F.when(mine & (-F.col("b.g") > F.col("now")), F.col("b.label")).otherwise(F.col("label"))
-        x = _cut(x.select("id", "k", "label", new.alias("new")))
-        changed = x.filter("label <> new").limit(1).count()
-        labels = x.select("id", "k", F.col("new").alias("label"))
-        if not changed and turn % 2:
+        mine = labels.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == turn % 2)
+        links = adj.join(labels.select(F.col("id").alias("to"), "label"), "to").groupBy("id", "label").agg(F.sum("w").alias("l"))
+        stay = mine.select("id", "k", F.col("label").alias("own"), "label", F.lit(0.0).alias("l"))
+        options = mine.select("id", "k", F.col("label").alias("own")).join(links, "id").select("id", "k", "own", "label", "l").unionAll(stay)
+        options = options.groupBy("id", "k", "own", "label").agg(F.sum("l").alias("l")).join(sizes, "label")
+        gain = F.col("l") - F.col("k") * (F.col("tot") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)) / m2
+        best = options.groupBy("id").agg(F.min(F.struct((-rounded(gain, 8)).alias("g"), (F.col("label") != F.col("own")).alias("s"), "label")).alias("b"))
+        new = checkpointed(labels.join(best, "id", "left").select("id", "k", F.coalesce("b.label", "label").alias("label"), (F.coalesce("b.label", "label") != F.col("label")).alias("changed")))
+        changed = new.filter("changed").limit(1).count() > 0
+        moved |= changed
+        idle = 0 if changed else idle + 1
+        labels = new.select("id", "k", "label")
+        if idle == 2:
             break
-    return single.join(labels.select("id", "label"), "id", "left").select("id", F.coalesce("label", "id").alias("community"))
+    return labels.select("id", "label"), moved
 
 
 def modularity(edges: DataFrame, labels: DataFrame, label: str = "community") -> DataFrame:

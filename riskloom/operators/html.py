@@ -53,12 +53,13 @@ def article_pages(pages: DataFrame, html: str = "html", title_over: int = 3, lea
     return df.filter((F.length("title") > title_over) & (F.col("content") != ""))
 
 
-def body_text(html: Column, containers: tuple[str, ...] = (r"(?s)<article[^>]*>(.*?)</article>", r"(?s)<main[^>]*>(.*?)</main>", r"(?s)<div class=\"(?:content|article|post)[^\"]*\"[^>]*>(.*?)</div>"), least: int = 50, most: int = 2000) -> Column:
-    """The paragraphs of the first container with more than `least` characters of them, else all; `most` characters."""
+def body_text(html: Column, containers: tuple[str, ...] = (r"(?s)<article[^>]*>(.*?)</article>", r"(?s)<main[^>]*>(.*?)</main>", r"(?s)<div class=\"(?:content|article|post)[^\"]*\"[^>]*>(.*?)</div>"), least: int = 50, most: int | None = None) -> Column:
+    """The paragraphs of the first container with more than `least` characters of them, else all; cut to `most` characters if given."""
     clean = stripped(html)
     tries = [F.array_join(paragraphs(F.regexp_extract(clean, c, 1), 1), "\n") for c in containers]
     kept = [F.when(F.length(t) > least, t) for t in tries]
-    return F.substring(F.coalesce(*kept, F.array_join(paragraphs(clean, 1), "\n")), 1, most)
+    whole = F.coalesce(*kept, F.array_join(paragraphs(clean, 1), "\n"))
+    return whole if most is None else F.substring(whole, 1, most)
 
 
 def links(pages: DataFrame, html: str = "html", base: str = "http://example.com", path: str | None = None, least_title: int = 1) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import params
+from riskloom.functions import text as T
 from riskloom.functions.num import banded, clamp, rounded
+from riskloom.operators.clean import tag_entities
 
 
 def weight_table(spark: SparkSession, weights: dict[str, float] = params.WEIGHTS, placeholders: tuple[str, ...] = params.PLACEHOLDERS) -> DataFrame:
@@ -36,7 +38,7 @@ def details(values: DataFrame, weights: DataFrame, by: tuple[str, ...] = ("serie
     w = Window.partitionBy(*by)
     skipped = F.col("placeholder") & (F.coalesce("value", F.lit(0.0)) <= 0)
     valid = F.when(skipped, F.lit(0.0)).otherwise(F.col("weight"))
-    df = values.join(F.broadcast(weights), "indicator").withColumn("__valid", valid).withColumn("__total", F.sum("__valid").over(w)).withColumn("skipped", skipped)
+    df = values.join(weights, "indicator").withColumn("__valid", valid).withColumn("__total", F.sum("__valid").over(w)).withColumn("skipped", skipped)
     off = F.abs(F.col("__total") - 1) > 0.001
     used = F.when(F.col("__total") <= 0, F.col("weight")).when(off, F.try_divide("__valid", "__total")).otherwise(F.col("__valid"))
     v = clamp(F.coalesce("value", F.lit(0.0)))
@@ -133,6 +135,39 @@ def _fixed(column: str, places: int) -> Column:
     return F.round(F.col(column).cast("decimal(28,10)"), places).cast(f"decimal(28,{places})").cast("string")
 
 
+def roll_up(results: DataFrame, key: str = "key", step: str = "step", result: str = "result") -> DataFrame:
+    """(key, event_type, key_actors, risk_level, recommendations) of step results as JSON: a row for each key.
+
+    Missing steps and fields are unknown or empty; the level goes by the event's severity once an impact is given.
+    """
+    of = lambda name: F.max(F.when(F.col(step) == name, F.nullif(F.trim(F.col(result)), F.lit("{}"))))
+    one = results.groupBy(key).agg(of("event_identification").alias("__event"), of("impact_analysis").alias("__impact"), of("recommendation").alias("__advice"))
+    words = lambda c, field: F.coalesce(F.from_json(F.get_json_object(c, f"$.{field}"), "array<string>"), F.array().cast("array<string>"))
+    severity = F.coalesce(F.try_to_number(F.get_json_object("__event", "$.severity"), F.lit("9999")).cast("double"), F.lit(params.USUAL_SEVERITY))
+    level = F.when(F.col("__impact").isNotNull(), banded(severity, params.ROLL_UP_BANDS)).otherwise(params.UNKNOWN)
+    kind = F.coalesce(F.get_json_object("__event", "$.event_type"), F.lit(params.UNKNOWN))
+    return one.select(key, kind.alias("event_type"), words("__event", "key_actors").alias("key_actors"), level.alias("risk_level"), words("__advice", "policy_recommendations").alias("recommendations"))
+
+
+def analysis_records(docs: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text: str = "text", weights: dict[str, float] = params.WEIGHTS, shown: int = 200) -> DataFrame:
+    """A record of each text: its cleaned head, entities and event words, sentiment, score, alert level and attribution.
+
+    (key, text, locations, organizations, persons, events, sentiment_score, risk_sentiment, sentiment_level, risk_score,
+    risk_level, alert, primary_driver, concentration, attribution_text). The key must be unique.
+    """
+    clean = docs.select(key, T.clean_text(F.col(text)).alias("__t"))
+    risk = T.risk_sentiment(T.lexicon_sentiment(F.col("__t")))
+    read = clean.select(key, F.concat(F.substring("__t", 1, shown), F.lit("...")).alias("text"), T.event_words(F.col("__t"), T.script_language(F.col("__t"))).alias("events"), T.contains_any(F.col("__t"), params.CONFLICT_WORDS_ZH + params.CONFLICT_WORDS_EN).alias("__flag"), risk.alias("__s"))
+    ind = single_text_indicators(F.col("__flag"), F.col("__s.risk_score"))
+    values = unpivot(read.select(key, *[c.alias(k) for k, c in ind.items()]), (key,), list(weights))
+    detail = details(values, weight_table(docs.sparkSession, weights), (key,))
+    scores = risk_scores(values, weight_table(docs.sparkSession, weights), (key,))
+    told = attribution(detail, scores, (key,)).drop("risk_score")
+    tags = tag_entities(clean, gazetteer, key, "__t")
+    out = read.join(tags, key).join(scores, key).join(told, key)
+    return out.select(key, "text", "locations", "organizations", "persons", "events", F.col("__s.sentiment_score").alias("sentiment_score"), F.col("__s.risk_score").alias("risk_sentiment"), F.col("__s.risk_level").alias("sentiment_level"), "risk_score", "risk_level", banded(F.col("risk_score"), params.ALERT_BANDS).alias("alert"), "primary_driver", "concentration", "attribution_text")
+
+
 def change(current: DataFrame, previous: DataFrame, by: tuple[str, ...] = ("series_key",)) -> DataFrame:
     """(by, indicator, name, change, direction, rank) of contributions (by, indicator, contribution); unchanged ones drop out."""
     both = current.select(*by, "indicator", F.col("contribution").alias("__now")).join(previous.select(*by, "indicator", F.col("contribution").alias("__then")), [*by, "indicator"], "full")

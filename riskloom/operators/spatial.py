@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions import params
 from riskloom.functions.num import haversine, rounded
-
-#: Places up to which a side of an all-pairs measure is broadcast.
-BROADCAST_PLACES = 20_000
-
+from riskloom.session import small
 
 def locate(rows: DataFrame, places: DataFrame, place: str = "place") -> DataFrame:
     """rows with lat and lon: their own first, then the place's; rows without either drop out."""
@@ -28,7 +28,7 @@ def potential(places: DataFrame, centers: DataFrame, place: str = "place", floor
     """
     c = centers.select("center", F.col("lat").alias("clat"), F.col("lon").alias("clon"), "weight")
     km = F.greatest(haversine(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")), F.lit(floor_km))
-    pairs = places.select(place, "lat", "lon", F.coalesce("risk", F.lit(50.0)).alias("risk")).join(F.broadcast(c)).withColumn("influence", F.col("weight") / F.pow(km / 100, 2))
+    pairs = places.select(place, "lat", "lon", F.coalesce("risk", F.lit(50.0)).alias("risk")).crossJoin(small(c)).withColumn("influence", F.col("weight") / F.pow(km / 100, 2))
     g = pairs.groupBy(place).agg(F.max("risk").alias("risk"), F.sum("influence").alias("__t"), F.min(F.struct((-F.col("influence")).alias("i"), "center")).alias("__d"))
     g = g.select(place, F.col("risk"), F.col("__t"), rounded(F.col("__t") * F.col("risk") / 100, 4).alias("potential"), F.col("__d.center").alias("dominant_center"))
     top = g.agg(F.max("potential").alias("__max"))
@@ -36,21 +36,29 @@ def potential(places: DataFrame, centers: DataFrame, place: str = "place", floor
 
 
 def pairs(places: DataFrame, place: str = "place", within_km: float | None = None) -> DataFrame:
-    """Ordered pairs of different places with their distance: all of them, or those within a distance.
+    """Ordered pairs of different places with their distance: those within a distance, or all of them if none is given.
 
-    All pairs is what an exact Moran's I asks for; with `within_km`, places meet in one-degree-or-wider
-    grid cells and their neighbours instead, so work follows the number of near pairs.
+    With `within_km`, places meet by cells of a grid: bands of latitude at least that wide, each cut into equal
+    cells of longitude that are wide enough at the band's end nearest to a pole, around the globe. All pairs is
+    what an exact Moran's I of a small set asks for; it is a nested loop.
     """
     a = places.select(F.col(place).alias("a"), F.col("lat").alias("alat"), F.col("lon").alias("alon"), F.col("risk").alias("arisk"))
     b = places.select(F.col(place).alias("b"), F.col("lat").alias("blat"), F.col("lon").alias("blon"), F.col("risk").alias("brisk"))
     km = haversine(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
     if within_km is None:
         return a.join(b, F.col("a") != F.col("b")).withColumn("km", km)
-    size = max(1.0, within_km / 111.0 / 0.5)  # a cell spans within_km along a meridian, and along parallels up to 60 degrees
-    cell = lambda c: F.floor(F.col(c) / size)
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = a.withColumn("y", F.explode(F.transform(near, lambda i: cell("alat") + i))).withColumn("x", F.explode(F.transform(near, lambda i: cell("alon") + i)))
-    b = b.withColumn("y", cell("blat")).withColumn("x", cell("blon"))
+    arc = within_km / 6371.0 * 1.000001
+    band = max(math.degrees(arc), 0.01)
+    y = lambda lat: F.floor((lat + 90) / band).cast("int")
+    # a pair's longitudes differ by no more than this where the band and those beside it come nearest to a pole
+    pole = lambda k: F.least(F.greatest(F.abs(k * band - band - 90), F.abs(k * band + 2 * band - 90)), F.lit(90.0))
+    ratio = lambda k: math.sin(min(arc / 2, math.pi / 2)) / F.greatest(F.cos(F.radians(pole(k))), F.lit(1e-9))
+    cells = lambda k: F.when(ratio(k) >= 1, 1).otherwise(F.greatest(F.floor(F.lit(360.0) / F.degrees(2 * F.asin(F.least(ratio(k), F.lit(1.0))))), F.lit(1))).cast("int")
+    x = lambda lon, k: F.pmod(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * cells(k)), cells(k)).cast("int")
+    beside = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    a = a.withColumn("y", F.explode(F.transform(beside, lambda i: y(F.col("alat")) + i)))
+    a = a.withColumn("x", F.explode(F.array_distinct(F.transform(beside, lambda i: F.pmod(x(F.col("alon"), F.col("y")) + i, cells(F.col("y")))))))
+    b = b.withColumn("y", y(F.col("blat"))).withColumn("x", x(F.col("blon"), F.col("y")))
     return a.join(b, ["y", "x"]).filter("a <> b").withColumn("km", km).filter(F.col("km") <= within_km).drop("y", "x")
 
 
@@ -64,8 +72,9 @@ def morans_i(places: DataFrame, place: str = "place", within_km: float | None =
     num = F.col("wab") - F.col("m") * F.col("wa") + F.col("m") * F.col("m") * F.col("w")
     i = F.when((F.col("n") < 3) | (F.col("den") < 1e-9) | (F.coalesce("w", F.lit(0.0)) < 1e-9), 0.0).otherwise(F.try_divide(F.col("n"), F.col("w")) * F.try_divide(num, F.col("den")))
     r = mean.join(F.broadcast(sums)).withColumn("__i", i)
-    words = F.when(F.col("__i") > 0.3, "显著正空间自相关：风险呈现明显地理聚集").when(F.col("__i") > 0.1, "弱正空间自相关：风险有一定聚集趋势").when(F.col("__i") < -0.1, "负空间自相关：高低风险区交错分布").otherwise("空间随机分布：无明显聚集模式")
-    return r.select(rounded(F.col("__i"), 4).alias("morans_i"), words.alias("interpretation"), rounded(F.col("m"), 2).alias("mean_risk"), "n")
+    words = params.MORAN_WORDS
+    told = F.when(F.col("__i") > 0.3, words[0.3]).when(F.col("__i") > 0.1, words[0.1]).when(F.col("__i") < -0.1, words[-0.1]).otherwise(words[None])
+    return r.select(rounded(F.col("__i"), 4).alias("morans_i"), told.alias("interpretation"), rounded(F.col("m"), 2).alias("mean_risk"), "n")
 
 
 def nearest(places: DataFrame, k: int = 3, place: str = "place", within_km: float | None = None) -> DataFrame:
@@ -78,9 +87,20 @@ def hotspots(places: DataFrame, threshold: float = 60.0, k: int = 3, place: str
     """(place, risk, neighbor_avg_risk, cluster_type, neighbors) of risky places whose k nearest reach 0.8 of the threshold on average."""
     near = nearest(places.withColumn("risk", F.coalesce("risk", F.lit(50.0))), k, place, within_km).filter(F.col("arisk") >= threshold)
     g = near.groupBy("a").agg(F.max("arisk").alias("r"), F.avg("brisk").alias("m"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "b"))), lambda x: x["b"]).alias("neighbors"))
-    return g.filter(F.col("m") >= threshold * 0.8).select(F.col("a").alias(place), rounded(F.col("r"), 2).alias("risk"), rounded(F.col("m"), 2).alias("neighbor_avg_risk"), F.when(F.col("m") >= threshold, "高-高聚集").otherwise("高风险孤岛").alias("cluster_type"), "neighbors")
+    return g.filter(F.col("m") >= threshold * 0.8).select(F.col("a").alias(place), rounded(F.col("r"), 2).alias("risk"), rounded(F.col("m"), 2).alias("neighbor_avg_risk"), F.when(F.col("m") >= threshold, params.CLUSTERED).otherwise(params.ISOLATED).alias("cluster_type"), "neighbors")
 
 
 def heat_points(rows: DataFrame, score: str = "risk") -> DataFrame:
     """(lat, lon, heat) of located rows with a score of 0..1, 0.5 where it is missing."""
     return rows.select("lat", "lon", (F.coalesce(score, F.lit(0.5)) * 10).alias("heat"))
+
+
+def full_report(places: DataFrame, centers: DataFrame, threshold: float = 60.0, top: int = 5, k: int = 3, within_km: float | None = None) -> DataFrame:
+    """(section, rank, place, value, detail): the places of the highest potential, the spatial autocorrelation, and all hotspots."""
+    p = potential(places, centers)
+    first = p.orderBy(F.desc("potential"), "place").limit(top)
+    order = lambda *by: F.row_number().over(Window.orderBy(*by))
+    best = first.select(F.lit("potential").alias("section"), order(F.desc("potential"), "place").alias("rank"), "place", "potential", F.col("dominant_center").alias("detail"))
+    i = morans_i(places, within_km=within_km).select(F.lit("autocorrelation"), F.lit(1), F.lit(None).cast("string"), "morans_i", "interpretation")
+    hot = hotspots(places, threshold, k, within_km=within_km).select(F.lit("hotspot"), F.lit(None).cast("int"), "place", "risk", F.concat_ws(" ", "cluster_type", F.array_join("neighbors", ",")))
+    return best.unionAll(i).unionAll(hot).toDF("section", "rank", "place", "value", "detail")

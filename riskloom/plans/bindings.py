@@ -81,17 +81,26 @@ CODED = f"""SELECT *, CASE series_key WHEN 'error' THEN 0.9 WHEN 'click' THEN 0.
   {C("(CAST(split_part(tone, ',', 1) AS DOUBLE) + 100) / 200")} AS norm FROM ({ARTICLES})"""
 
 
-def places(spark: SparkSession, d: str) -> DataFrame:
+def nations(spark: SparkSession, d: str) -> DataFrame:
     """Nations as places, with the mean balance of their suppliers as risk."""
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("place"))
     s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(rounded(clamp(F.avg("s_acctbal") / 100, 0.0, 100.0), 4).alias("risk"))
     return n.join(s, "k", "left").select("place", (9.5 + (F.col("k") * 7) % 19).cast("double").alias("lat"), (92.0 + (F.col("k") * 5) % 10).cast("double").alias("lon"), "risk", (F.col("k") % 3 == 0).alias("border"))
 
 
-PLACES = f"""SELECT n_name AS place, CAST(9.5 + (n_nationkey * 7) % 19 AS DOUBLE) AS lat, CAST(92.0 + (n_nationkey * 5) % 10 AS DOUBLE) AS lon, risk, n_nationkey % 3 = 0 AS border
+NATIONS = f"""SELECT n_name AS place, CAST(9.5 + (n_nationkey * 7) % 19 AS DOUBLE) AS lat, CAST(92.0 + (n_nationkey * 5) % 10 AS DOUBLE) AS lon, risk, n_nationkey % 3 = 0 AS border
 FROM nation LEFT JOIN (SELECT s_nationkey, {R(C('avg(s_acctbal) / 100', 0.0, 100.0), 4)} AS risk FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey"""
 
 
+def places(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as places, with their balance as risk."""
+    k = F.col("s_suppkey")
+    return table(spark, d, "supplier").select(F.concat(F.lit("S"), k.cast("string")).alias("place"), (9.5 + (k * 7) % 1900 / 100).alias("lat"), (92.0 + (k * 5) % 1000 / 100).alias("lon"), rounded(clamp(F.col("s_acctbal") / 100, 0.0, 100.0), 4).alias("risk"), (k % 3 == 0).alias("border"))
+
+
+PLACES = f"""SELECT 'S' || s_suppkey AS place, 9.5 + CAST((s_suppkey * 7) % 1900 AS DOUBLE) / 100 AS lat, 92.0 + CAST((s_suppkey * 5) % 1000 AS DOUBLE) / 100 AS lon, {R(C('CAST(s_acctbal AS DOUBLE) / 100', 0.0, 100.0), 4)} AS risk, s_suppkey % 3 = 0 AS border FROM supplier"""
+
+
 def centers(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("r_regionkey")
     return table(spark, d, "region").select(F.col("r_name").alias("center"), (10.0 + (k * 7) % 19).cast("double").alias("lat"), (91.0 + (k * 5) % 10).cast("double").alias("lon"), (1.0 - k / 10).alias("weight"))
@@ -101,16 +110,25 @@ CENTERS = "SELECT r_name AS center, CAST(10.0 + (r_regionkey * 7) % 19 AS DOUBLE
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """Trade from a customer's nation to a supplier's, typed by return flag, of large undiscounted lines."""
-    l = table(spark, d, "lineitem").filter("l_quantity = 50 AND l_discount = 0").select("l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag")
-    o, c, s, n = (table(spark, d, t) for t in ("orders", "customer", "supplier", "nation"))
-    x = l.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(s.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    a, b = n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("src")), n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("dst"))
-    return x.join(F.broadcast(a), "c_nationkey").join(F.broadcast(b), "s_nationkey").select("src", "dst", F.col("l_returnflag").alias("type"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    """Trade by line item, typed by return flag: from customers to suppliers, and back for returned items."""
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    o = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("c"))
+    x = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("s", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
+    back = F.col("l_returnflag") == "R"
+    return x.select(F.when(back, F.col("s")).otherwise(F.col("c")).alias("src"), F.when(back, F.col("c")).otherwise(F.col("s")).alias("dst"), F.col("l_returnflag").alias("type"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+
+
+EDGES = """SELECT CASE WHEN l_returnflag = 'R' THEN s ELSE c END AS src, CASE WHEN l_returnflag = 'R' THEN c ELSE s END AS dst, type, seq FROM (
+  SELECT 'C' || o_custkey AS c, 'S' || l_suppkey AS s, l_returnflag, l_returnflag AS type, l_orderkey * 10 + l_linenumber AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+def typed_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """(id, type): customers and suppliers."""
+    one = lambda t, c, k: table(spark, d, t).select(F.concat(F.lit(c), F.col(k).cast("string")).alias("id"), F.lit(t).alias("type"))
+    return one("customer", "C", "c_custkey").unionAll(one("supplier", "S", "s_suppkey"))
 
 
-EDGES = """SELECT a.n_name AS src, b.n_name AS dst, l_returnflag AS type, l_orderkey * 10 + l_linenumber AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey WHERE l_quantity = 50 AND l_discount = 0"""
+TYPED_NODES = "SELECT 'C' || c_custkey AS id, 'customer' AS type FROM customer UNION ALL SELECT 'S' || s_suppkey, 'supplier' FROM supplier"
 
 
 def monthly(spark: SparkSession, d: str) -> dict[str, DataFrame]:

@@ -153,11 +153,7 @@ def _ack(s, d):
 
 
 def _rolling(s, d):
-    from pyspark.sql import Window
-
-    log = A.alerts(scores(s, d))
-    w = Window.partitionBy("series_key").orderBy(F.unix_seconds("ts")).rangeBetween(-86400, 0)
-    return _text(log.select("series_key", "ts", F.count(F.lit(1)).over(w).alias("n")))
+    return _text(A.trailing_counts(A.alerts(scores(s, d)).select("series_key", "ts")))
 
 
 ORACLES = {

@@ -40,25 +40,29 @@ def risk_daily(s, d):
 LONG = long_sql(HISTORY)
 NORM = f"""SELECT v.series_key, v.date, v.indicator, {R(f"CASE WHEN n >= 5 THEN CASE WHEN p95 - p5 < 1e-6 THEN 0.5 ELSE {C('(value - p5) / (p95 - p5)')} END ELSE {C('value')} END", 4)} AS value
 FROM ({LONG}) v JOIN (SELECT series_key, indicator, quantile_cont(value, 0.05) AS p5, quantile_cont(value, 0.95) AS p95, count(value) AS n FROM ({LONG}) GROUP BY 1, 2) p ON v.series_key = p.series_key AND v.indicator = p.indicator"""
-DETAILS = f"""SELECT series_key, date, indicator, skipped, value, CASE WHEN total <= 0 THEN weight WHEN abs(total - 1) > 0.001 THEN valid / total ELSE valid END AS used_weight,
-  value * CASE WHEN total <= 0 THEN weight WHEN abs(total - 1) > 0.001 THEN valid / total ELSE valid END AS contribution, total > 0 AND abs(total - 1) > 0.001 AS rebalanced
-FROM (SELECT *, sum(valid) OVER (PARTITION BY series_key, date) AS total FROM (SELECT n.*, weight, placeholder AND value <= 0 AS skipped, CASE WHEN placeholder AND value <= 0 THEN 0.0 ELSE weight END AS valid FROM ({NORM}) n JOIN {weights_sql()} USING (indicator)))"""
-SCORED = f"SELECT series_key, date, risk_score, {bands_sql('risk_score', params.RISK_BANDS)} AS risk_level, rebalanced FROM (SELECT series_key, date, {R('sum(contribution) * 100')} AS risk_score, bool_or(rebalanced) AS rebalanced FROM ({DETAILS}) GROUP BY 1, 2)"
-DRIVERS = f"""SELECT series_key, date, indicator, {names_sql('indicator')} AS name, c AS contribution, share, CAST(row_number() OVER (PARTITION BY series_key, date ORDER BY c DESC, indicator) AS INT) AS rank FROM (
-  SELECT *, {R('contribution', 4)} AS c, {R('CASE WHEN t > 0 THEN contribution / t ELSE 0 END * 100')} AS share FROM (SELECT *, sum(contribution) OVER (PARTITION BY series_key, date) AS t FROM ({DETAILS})) WHERE NOT skipped)"""
-
-
 def _dec(x: str, places: int) -> str:
     return f"CAST(CAST(round(CAST({x} AS DECIMAL(28,10)), {places}) AS DECIMAL(28,{places})) AS VARCHAR)"
 
 
-ATTRIBUTION = f"""SELECT s.series_key, s.date, s.risk_score, n1 AS primary_driver, coalesce(hhi, 0.0) AS concentration, coalesce(
+def chain(norm):
+    """SQL of details, scores, drivers and attribution over normalised values (series_key, date, indicator, value)."""
+    details = f"""SELECT series_key, date, indicator, skipped, value, CASE WHEN total <= 0 THEN weight WHEN abs(total - 1) > 0.001 THEN valid / total ELSE valid END AS used_weight,
+  value * CASE WHEN total <= 0 THEN weight WHEN abs(total - 1) > 0.001 THEN valid / total ELSE valid END AS contribution, total > 0 AND abs(total - 1) > 0.001 AS rebalanced
+FROM (SELECT *, sum(valid) OVER (PARTITION BY series_key, date) AS total FROM (SELECT n.*, weight, placeholder AND value <= 0 AS skipped, CASE WHEN placeholder AND value <= 0 THEN 0.0 ELSE weight END AS valid FROM ({norm}) n JOIN {weights_sql()} USING (indicator)))"""
+    scored = f"SELECT series_key, date, risk_score, {bands_sql('risk_score', params.RISK_BANDS)} AS risk_level, rebalanced FROM (SELECT series_key, date, {R('sum(contribution) * 100')} AS risk_score, bool_or(rebalanced) AS rebalanced FROM ({details}) GROUP BY 1, 2)"
+    drivers = f"""SELECT series_key, date, indicator, {names_sql('indicator')} AS name, c AS contribution, share, CAST(row_number() OVER (PARTITION BY series_key, date ORDER BY c DESC, indicator) AS INT) AS rank FROM (
+  SELECT *, {R('contribution', 4)} AS c, {R('CASE WHEN t > 0 THEN contribution / t ELSE 0 END * 100')} AS share FROM (SELECT *, sum(contribution) OVER (PARTITION BY series_key, date) AS t FROM ({details})) WHERE NOT skipped)"""
+    told = f"""SELECT s.series_key, s.date, s.risk_score, n1 AS primary_driver, coalesce(hhi, 0.0) AS concentration, coalesce(
   '当前综合风险为' || CASE WHEN s.risk_score >= 70 THEN '高' WHEN s.risk_score >= 40 THEN '中' ELSE '低' END || '风险（' || {_dec('s.risk_score', 1)} || '分）。' ||
   '最主要驱动因素是「' || n1 || '」，贡献了 ' || {_dec('p1', 0)} || '% 的风险，' || {names_sql('i1', params.INDICATOR_TEXTS)} || '。' ||
   coalesce('其次为「' || n2 || '」（' || {_dec('p2', 0)} || '%）。', '') ||
   CASE WHEN hhi > 0.5 THEN '风险来源高度集中于单一因素，建议重点监测。' WHEN hhi > 0.3 THEN '风险由少数几个因素主导。' ELSE '风险来源较为分散，属多因素综合作用。' END, '无有效驱动指标。') AS attribution_text
-FROM ({SCORED}) s LEFT JOIN (SELECT series_key, date, max(name) FILTER (rank = 1) AS n1, max(indicator) FILTER (rank = 1) AS i1, max(share) FILTER (rank = 1) AS p1, max(name) FILTER (rank = 2) AS n2, max(share) FILTER (rank = 2) AS p2,
-  {R('sum(pow(share / 100, 2))', 4)} AS hhi FROM ({DRIVERS}) GROUP BY 1, 2) a ON a.series_key = s.series_key AND a.date = s.date"""
+FROM ({scored}) s LEFT JOIN (SELECT series_key, date, max(name) FILTER (rank = 1) AS n1, max(indicator) FILTER (rank = 1) AS i1, max(share) FILTER (rank = 1) AS p1, max(name) FILTER (rank = 2) AS n2, max(share) FILTER (rank = 2) AS p2,
+  {R('sum(pow(share / 100, 2))', 4)} AS hhi FROM ({drivers}) GROUP BY 1, 2) a ON a.series_key = s.series_key AND a.date = s.date"""
+    return details, scored, drivers, told
+
+
+DETAILS, SCORED, DRIVERS, ATTRIBUTION = chain(NORM)
 
 
 def _change(s, d):
@@ -110,6 +114,33 @@ _W = {k: params.WEIGHTS[k] / (1 - params.WEIGHTS["nightlight_change"] - params.W
 SINGLE = f"SELECT doc_id, sc AS risk_score, {bands_sql('sc', params.RISK_BANDS)} AS risk_level, true AS rebalanced FROM (SELECT doc_id, {R(f'''100 * (CASE WHEN f THEN 1.0 ELSE 0.2 END * CAST({_W['conflict_frequency']} AS DOUBLE) + r * CAST({_W['sentiment_avg']} AS DOUBLE) + CASE WHEN f THEN 0.8 ELSE 0.3 END * CAST({_W['event_severity']} AS DOUBLE))''')} AS sc FROM (SELECT doc_id, {_FLAG} AS f, {_RISK} AS r FROM ({QT.MIXED})))"
 
 
+def _records(s, d):
+    """Records of documents that name seed entities."""
+    return S.analysis_records(QT.mentions(s, d), QT.gazetteer(s))
+
+
+_CLEAN = f"SELECT doc_id, {QT.clean_sql('text')} AS text FROM ({QT.MENTIONS})"
+_TEXT_VALUES = f"WITH c AS MATERIALIZED (SELECT doc_id, {_FLAG} AS f, {_RISK} AS r FROM ({_CLEAN})) SELECT doc_id AS series_key, DATE '2024-01-01' AS date, unnest([{', '.join(f"'{k}'" for k in KEYS)}]) AS indicator, CAST(unnest([CASE WHEN f THEN 1.0 ELSE 0.2 END, r, 0.0, 0.0, CASE WHEN f THEN 0.8 ELSE 0.3 END]) AS DOUBLE) AS value FROM c"
+_, _TEXT_SCORES, _, _TEXT_TOLD = chain(_TEXT_VALUES)
+RECORDS = f"""SELECT c.doc_id, substring(c.text, 1, 200) || '...' AS text, locations, organizations, persons, events, 1 - r AS sentiment_score, r AS risk_sentiment, {bands_sql('r', params.SENTIMENT_BANDS)} AS sentiment_level, s.risk_score, s.risk_level, {bands_sql('s.risk_score', params.ALERT_BANDS)} AS alert, primary_driver, concentration, attribution_text
+FROM (SELECT doc_id, text, {R(_RISK, 4)} AS r, CASE WHEN {QT.ZH} THEN {QT._held(params.EVENT_WORDS_ZH, 'text')} ELSE {QT._held(params.EVENT_WORDS_EN, QT.LOW)} END AS events FROM ({_CLEAN})) c
+JOIN ({QT.tags_sql(_CLEAN)}) t ON t.doc_id = c.doc_id JOIN ({_TEXT_SCORES}) s ON s.series_key = c.doc_id JOIN ({_TEXT_TOLD}) a ON a.series_key = c.doc_id"""
+
+
+def _rolled(s, d):
+    """Events by three as the steps of one analysis; some steps are missing or empty."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    event = F.to_json(F.struct(kind.alias("event_type"), F.array(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("key_actors"), F.when(k % 5 > 0, (k % 6).cast("string")).alias("severity")))
+    result = F.when(k % 7 == 0, "{}").when(k % 3 == 0, event).when(k % 3 == 1, '{"impact": "x"}').otherwise(F.to_json(F.struct(F.array(kind, F.lit("watch")).alias("policy_recommendations"))))
+    step = F.get(F.lit(["event_identification", "impact_analysis", "recommendation"]), (k % 3).cast("int"))
+    return S.roll_up(table(s, d, "events").select(F.floor(k / 3).alias("key"), step.alias("step"), result.alias("result")))
+
+
+ROLLED = f"""SELECT key, coalesce(max(event_type) FILTER (e), '{params.UNKNOWN}') AS event_type, coalesce(max(['u' || user_id]) FILTER (e), []) AS key_actors,
+  CASE WHEN count(*) FILTER (i) = 0 THEN '{params.UNKNOWN}' ELSE {bands_sql(f'coalesce(max(event_id % 6) FILTER (e AND event_id % 5 > 0), {params.USUAL_SEVERITY})', params.ROLL_UP_BANDS)} END AS risk_level, coalesce(max([event_type, 'watch']) FILTER (a), []) AS recommendations
+FROM (SELECT *, event_id // 3 AS key, event_id % 7 > 0 AND event_id % 3 = 0 AS e, event_id % 7 > 0 AND event_id % 3 = 1 AS i, event_id % 7 > 0 AND event_id % 3 = 2 AS a FROM events) GROUP BY 1"""
+
+
 def _macro(s, d):
     """Nations' macro indicators from their customers and suppliers."""
     c = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(rounded(F.avg("c_acctbal") / 400 - 8, 4).alias("growth"), rounded(F.avg("c_acctbal") / 4, 4).alias("per_capita"))
@@ -133,6 +164,8 @@ QUERIES = {
     "half_means": lambda s, d: S.half_means(history(s, d), KEYS).select("series_key", "half", "rows", rounded(F.col("score"), 4).alias("score"), *[rounded(F.col(k), 4).alias(k) for k in KEYS], "first", "last"),
     "daily_fusion": _fusion,
     "single_text_score": _single,
+    "analysis_record": _records,
+    "result_rollup": _rolled,
     "risk_levels": lambda s, d: history(s, d).select("series_key", "date", banded(F.col("risk_score"), params.RISK_BANDS).alias("level")),
     "daily_conflict": lambda s, d: table(s, d, "events").groupBy(F.to_date("ts").alias("date")).agg(F.count_if(F.col("event_type") == "error").alias("conflicts"), rounded(F.avg((F.col("event_type") == "error").cast("double")), 4).alias("frequency"), rounded(1 - F.avg(F.coalesce(F.when(F.col("event_id") % 5 > 0, F.col("value") / 500), F.lit(0.5))), 4).alias("negativity")),
     "sentiment_summary": lambda s, d: table(s, d, "events").groupBy("event_type").agg(rounded(F.avg("value"), 4).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), rounded(F.stddev_pop("value"), 4).alias("sd"), F.count(F.lit(1)).alias("n")),
@@ -142,6 +175,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "analysis_record": RECORDS,
+    "result_rollup": ROLLED,
     "risk_daily": f"SELECT series_key, date, risk_score, risk_level, rebalanced, ma FROM (SELECT *, {R('avg(risk_score) OVER (PARTITION BY series_key ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)', 4)} AS ma, row_number() OVER (PARTITION BY series_key ORDER BY date) AS r FROM ({SCORED})) WHERE r >= 7",
     "normalize": NORM,
     "percentiles": f"SELECT series_key, indicator, {R('quantile_cont(value, 0.05)', 6)} AS p5, {R('quantile_cont(value, 0.95)', 6)} AS p95, count(value) AS n FROM ({LONG}) GROUP BY 1, 2",

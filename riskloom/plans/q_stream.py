@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,14 +10,14 @@ from pyspark.sql import functions as F
 from riskloom.functions.num import rounded
 from riskloom.functions.text import canonical_url
 from riskloom.plans.bindings import R
-from riskloom.session import table
+from riskloom.session import shared_folder, table
 from riskloom.streaming import jobs
 
 LATE = "60 days"  # the landed events may come in any order
 
 
 def _folder(s) -> str:
-    return f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(s, d) -> DataFrame:

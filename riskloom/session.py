@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", partitions: int = 8, **extra: str) -> SparkSession:
-    """A local session: UTC, ANSI and AQE on."""
+    """A local session: UTC, ANSI and AQE on, and a checkpoint folder of its own that is cleaned as tables go out of use."""
     conf = {
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="riskloom-"),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
@@ -24,3 +27,34 @@ def local_session(cores: str | int = "*", partitions: int = 8, **extra: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors must see; a local session without one gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="riskloom-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, with its lineage cut, so that lost executors don't undo the rounds before."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+#: Rows up to which a side is broadcast where Spark can't know its size.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has at most `most` rows; else as it is, for Spark to shuffle."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
