@@ -153,6 +153,7 @@ def edges_of(docs: DataFrame, width: int) -> DataFrame:
 def shared_segments(docs: DataFrame, dealt: DataFrame, width: int = WIDTH) -> DataFrame:
     """The segments whose core at least two documents hold, as segments_at() gives them. `dealt` are the same docs by doc_id."""
     met = cores(docs, width, placed=False).groupBy("core").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").select("core")
+    met = checkpointed(met)  # written, it is a plain side of the join, whose other side may be split where a core is hot
     los = cores(docs, width).join(met, "core").groupBy("doc_id").agg(F.collect_list("lo").alias("los"))
     return segments_at(dealt.join(los, "doc_id"), width)
 
@@ -167,7 +168,8 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, width: int = WIDTH) -> Dat
     classes = checkpointed(shared.groupBy("id").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most"), first("core"), first("src"), first("dst"), first("windows")))
     again = classes.filter("most > owner")
     paths = compact(again.select("id", "src", "dst", "windows"))
-    placed = shared.select("id", "doc_id", "lo", "windows").join(again.select("id", "owner").join(paths, "id"), "id").filter("doc_id > owner")
+    marked = checkpointed(again.select("id", "owner").join(paths, "id"))
+    placed = shared.select("id", "doc_id", "lo", "windows").join(marked, "id").filter("doc_id > owner")
     spans = placed.groupBy("doc_id", "path", (F.col("lo") - F.col("offset")).alias("diagonal")).agg(
         F.min("lo").alias("lo"), F.max(F.col("lo") + F.col("windows") - 1).alias("hi"), F.sum("windows").alias("n"), F.collect_list(F.struct("lo", (F.col("lo") + F.col("windows") - 1).alias("hi"))).alias("each")
     )
@@ -178,6 +180,7 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, width: int = WIDTH) -> Dat
     wanted = checkpointed(split.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "windows")).alias("los")))
     edges = edges_of(dealt.join(wanted, "doc_id"), width)
     least = edges.groupBy("edge", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("edge", "check", "least")
+    least = checkpointed(least)
     singles = edges.join(least, ["edge", "check"]).filter("doc_id > least").select("doc_id", F.struct("lo", F.col("lo").alias("hi")).alias("run"))
     return long_spans.unionAll(singles).groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
 

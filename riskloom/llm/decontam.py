@@ -85,6 +85,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str
     if not masks:
         masks = {SHORTEST: MASKS[SHORTEST]}
     bench = _seeded(items, "__item", "__text", masks, by_size=True).select("__item", F.col("at").alias("__at"), "h").distinct()
+    bench = checkpointed(bench)
     if bench.limit(broadcast_rows + 1).count() <= broadcast_rows:
         bench = F.broadcast(bench)
     own = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"))

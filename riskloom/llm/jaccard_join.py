@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, least: float = LEAST, rec
     reps = signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     reps = checkpointed(reps)
     keyed = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = checkpointed(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))  # written, so that hot sides of joins may be split
     placed = keyed.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     paired = placed.select("key", "band", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     paired = paired.select("key", "band", "rep", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, least: float = LEAST, rec
     verified = checkpointed(sent.mapInArrow(tk.by_group(_verifier(least), GROUP), "rep long, root long, links long"))
     roots = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = reps.select("rep", "copies", "d1", "d2").join(links, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+    classes = checkpointed(reps.select("rep", "copies", "d1", "d2").join(links, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left"))
     known = signed.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
     bare = docs.select("doc_id").join(signed.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
     return known.unionAll(bare if again is None else bare.distinct()).unionAll(nameless)

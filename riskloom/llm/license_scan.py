@@ -169,6 +169,7 @@ def unit_scores(files: DataFrame, key: str, text: str, templates: dict[str, list
     weighed = spread.join(counted, "term").withColumn("x", x).join(F.broadcast(weights.select("shape", "term", "w")), ["shape", "term"], "left")
     cosine = F.round(F.try_divide(F.sum(F.col("x") * F.coalesce("w", F.lit(0.0))), F.sqrt(F.sum(F.col("x") * F.col("x")))), 6)
     scored = weighed.groupBy("shape", "mark").agg(cosine.alias("score")).join(F.broadcast(weights.select("shape", "licence", "least").distinct()), "shape").filter(F.col("score") >= F.col("least"))
+    scored = checkpointed(scored)
     return units.select("key", "shape", "mark").join(scored.select("shape", "mark", "licence", "score"), ["shape", "mark"]).groupBy(F.col("key").alias(key), "licence").agg(F.max("score").alias("score"))
 
 

@@ -6,8 +6,10 @@ hash of their key), dealt into BLOCKS: each block runs dual coordinate descent o
 the common weights, and the blocks' changes are averaged after each round. What the driver holds is
 bounded by parameters: 2 ** BITS weights and a dual variable a sample row. Scoring is one narrow pass.
 
-Null and empty texts have no features and get the intercept's score; repeated rows are scored row by row;
-other columns are not read. With labels of one class only, every score is that class's.
+Null and empty texts have no features and get the intercept's score; texts of any length are read whole;
+repeated rows and null keys are scored row by row, and a null key is never held out. Labels without a key, text
+or value are left out; of equal hashes the smaller key is sampled first. Other columns are not read. With labels
+of one class only, every score is that class's; without any it is a half.
 """
 
 from __future__ import annotations
@@ -191,7 +193,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def op2(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Each document's quality score, from a model of the labelled documents that aren't held out."""
-    held = lambda: F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    held = lambda: F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
     model = fit(docs.select("doc_id", "text"), labels.filter(~held()))
     out = score(docs, model)
     return out.select("doc_id", held().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -1,8 +1,10 @@
 """Quality rules: a threshold table compiled into one Spark projection.
 
 Every measure is a column expression over the text, so all rules are one narrow projection without
-user functions, shuffles or joins. Null and empty texts have no words and fail the word rule; extra
-columns of the input pass through untouched; repeated rows are judged row by row.
+user functions, shuffles or joins. Null and empty texts have no words and fail the word rule; texts of any
+length are read whole, in steps about linear in their length but for sorting; repeated rows are judged row by
+row, and nothing is ranked, so there are no ties. Extra columns of the input pass through untouched, but for
+those named like a measure of apply_rules(), which it replaces; keep_good() keeps every column.
 """
 
 from __future__ import annotations
@@ -129,12 +131,16 @@ def verdict(prefix: str = "", rules: tuple[Rule, ...] = RULES) -> Column:
 
 def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with every measure as q_<measure> and q_failed, the names of the rules that the row fails."""
-    return measured(df, text, "q_").withColumn("q_failed", verdict("q_", rules))
+    row = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("__row"), F.col(text).alias("__text"))
+    out = measured(row, "__text", "q_").withColumn("q_failed", verdict("q_", rules))
+    new = [c for c in out.columns if c.startswith("q_")]
+    return out.select(*[F.col("__row")[c].alias(c) for c in df.columns if c not in new], *new)
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of df that fail no rule, with df's columns."""
-    return apply_rules(df, text, rules).filter(F.size("q_failed") == 0).select(*df.columns)
+    row = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("__row"), F.col(text).alias("__text"))
+    return measured(row, "__text", "q_").filter(F.size(verdict("q_", rules)) == 0).select(*[F.col("__row")[c].alias(c) for c in df.columns])
 
 
 def op9(docs: DataFrame) -> DataFrame:

@@ -214,19 +214,21 @@ def model_for(df: DataFrame, text: str = "text", threshold: float = LEAST_RATIO)
 
 def scan(df: DataFrame, model: MarkovRatio, text: str = "text", out: str = "spans") -> DataFrame:
     """df and `out`, array<struct<kind,s,e,v>>: base spans, and candidates of a high ratio clear of them; by start, then kind."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    columns = [c for c in df.columns if c != out]
+    df = df.select(F.struct(*[F.col(c) for c in columns]).alias("__row"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    t = F.col("__text")
     none = F.array().cast("array<struct<s:int,e:int,v:string>>")
     spans = base_spans(t)
     names = [k for k, *_ in KINDS]
     likely = F.filter(F.when(t.rlike(CANDIDATE), matches(t, CANDIDATE)).otherwise(none), lambda x: ratio(x["v"], model) >= model.threshold)
-    df = df.select("*", F.struct(*[spans[k].alias(k) for k in names], likely.alias("markov")).alias("__found"))
+    df = df.select("__row", F.struct(*[spans[k].alias(k) for k in names], likely.alias("markov")).alias("__found"))
 
     def tagged(kind: str, i: int) -> Column:
         return F.transform(F.col("__found")[kind], lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), F.lit(kind).alias("kind"), x["e"].alias("e"), x["v"].alias("v")))
 
     every = F.array_sort(F.concat(*[tagged(k, i) for i, k in enumerate([*names, "markov"])]))
     clear = bound(every, lambda x: F.when(F.size(F.col("__found")["markov"]) == 0, x).otherwise(_clear(x, len(names))))
-    return df.withColumn(out, clear).drop("__found")
+    return df.select(*[F.col("__row")[c].alias(c) for c in columns], clear.alias(out))
 
 
 def _clear(spans: Column, last: int) -> Column:
@@ -243,8 +245,8 @@ def redact(df: DataFrame, model: MarkovRatio, text: str = "text", mark: str = "[
 
     What is kept is cut from pieces of `chunk` code points, as cutting at a place of a text walks to it.
     """
-    found = scan(df, model, text, "__spans")
-    t = F.col(text)
+    found = scan(df.select(F.struct(*[F.col(c) for c in df.columns]).alias("__row"), F.col(text).alias("__text")), model, "__text", "__spans")
+    t = F.col("__text")
     ends = F.transform("__spans", lambda x: x["e"])
     gaps = F.zip_with(F.col("__spans"), running(ends, F.greatest, 0), lambda x, e: F.struct(e.alias("a"), x["s"].alias("b")))
 
@@ -260,7 +262,8 @@ def redact(df: DataFrame, model: MarkovRatio, text: str = "text", mark: str = "[
         return F.concat(F.array_join(kept, ""), part(pieces, F.array_max(ends), F.length(t)))
 
     pieces = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
-    return found.withColumn(text, F.when(F.size("__spans") > 0, bound(pieces, joined)).otherwise(t)).drop("__spans")
+    new = F.when(F.size("__spans") > 0, bound(pieces, joined)).otherwise(t)
+    return found.select(*[new.alias(c) if c == text else F.col("__row")[c].alias(c) for c in df.columns])
 
 
 def digest(spans: Column) -> Column:

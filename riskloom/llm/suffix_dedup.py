@@ -115,6 +115,7 @@ def cores(docs: DataFrame, width: int = WIDTH, placed: bool = True) -> DataFrame
 def repeated_anchors(docs: DataFrame, width: int = WIDTH, most_in_core: int = MOST_IN_CORE) -> DataFrame:
     """(doc_id, ats): by document, array<struct<at,hot>> of the anchors whose core is met at least twice; hot: more than most_in_core times."""
     met = cores(docs, width, placed=False).groupBy("core").agg(F.sum("n").alias("n")).filter("n > 1")
+    met = checkpointed(met)  # written, it is a plain side of the join, whose other side may be split where a core is hot
     found = cores(docs, width).join(met, "core").select("doc_id", "at", (F.col("n") > most_in_core).alias("hot"))
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "hot")).alias("ats"))
 
@@ -305,7 +306,7 @@ def counted(entries: DataFrame, width: int = WIDTH) -> DataFrame:
     one = entries.select("core", "check", "before", "after", "places", F.explode(F.sequence("hi", "lo")).alias("d"))
     parts = [F.col("core"), F.col("check"), F.col("d"), F.substring("before", F.lit(1), F.col("d")), F.substring("after", F.lit(1), rest - F.col("d"))]
     keyed = one.select("places", "d", F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2"))
-    twice = keyed.groupBy("h1", "h2").agg(F.sum(F.length("places")).alias("n")).filter("n > 16").select("h1", "h2")
+    twice = checkpointed(keyed.groupBy("h1", "h2").agg(F.sum(F.length("places")).alias("n")).filter("n > 16").select("h1", "h2"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
