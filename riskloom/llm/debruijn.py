@@ -180,8 +180,9 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, width: int = WIDTH) -> Dat
     wanted = checkpointed(split.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "windows")).alias("los")))
     edges = edges_of(dealt.join(wanted, "doc_id"), width)
     least = edges.groupBy("edge", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("edge", "check", "least")
-    least = checkpointed(least)
-    singles = edges.join(least, ["edge", "check"]).filter("doc_id > least").select("doc_id", F.struct("lo", F.col("lo").alias("hi")).alias("run"))
+    # joined by a key that the sums aren't dealt by: then both sides are exchanged for the join, and a hot edge may be split
+    both = lambda df: df.withColumn("both", F.xxhash64("edge", "check"))
+    singles = both(edges).join(both(least), ["both", "edge", "check"]).filter("doc_id > least").select("doc_id", F.struct("lo", F.col("lo").alias("hi")).alias("run"))
     return long_spans.unionAll(singles).groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
 
 
