@@ -64,7 +64,7 @@ def _alignment(s, d):
 
 
 ALIGN = f"SELECT p.place, lat, lon, {R('coalesce(a, 0.5)', 4)} AS activity, coalesce(n, 3) AS event_count, CASE WHEN coalesce(n, 3) > 10 THEN '高' WHEN coalesce(n, 3) > 3 THEN '中' ELSE '低' END AS level FROM ({NATIONS}) p LEFT JOIN (SELECT n_name AS place, count(*) % 20 AS n FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING' AND c_nationkey % 4 > 0 GROUP BY 1) x ON x.place = p.place LEFT JOIN (SELECT n_name AS place, {R('avg(c_acctbal) / 10000', 4)} AS a FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey % 3 > 0 GROUP BY 1) y ON y.place = p.place"
-BUILT = f"SELECT src, dst, arg_max(coalesce(type, 'UNKNOWN'), seq) AS type FROM ({EDGES}) GROUP BY 1, 2"
+BUILT = f"SELECT src, dst, max(struct_pack(s := seq, t := coalesce(type, 'UNKNOWN'))).t AS type FROM ({EDGES}) GROUP BY 1, 2"
 NODES = f"SELECT src AS id FROM ({BUILT}) UNION SELECT dst FROM ({BUILT})"
 
 
