@@ -306,13 +306,15 @@ def counted(entries: DataFrame, width: int = WIDTH) -> DataFrame:
     one = entries.select("core", "check", "before", "after", "places", F.explode(F.sequence("hi", "lo")).alias("d"))
     parts = [F.col("core"), F.col("check"), F.col("d"), F.substring("before", F.lit(1), F.col("d")), F.substring("after", F.lit(1), rest - F.col("d"))]
     keyed = one.select("places", "d", F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2"))
-    twice = checkpointed(keyed.groupBy("h1", "h2").agg(F.sum(F.length("places")).alias("n")).filter("n > 16").select("h1", "h2"))
+    twice = keyed.groupBy("h1", "h2").agg(F.sum(F.length("places")).alias("n")).filter("n > 16").select("h1", "h2")
+    # joined by a key that the sums aren't dealt by: then both sides are exchanged for the join, and a hot window may be split
+    both = lambda df: df.withColumn("both", F.xxhash64("h1", "h2"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield from _spread(b.column("places"), np.arange(b.num_rows), b.column("d").to_numpy(zero_copy_only=False).astype(np.int64))
 
-    return keyed.join(twice, ["h1", "h2"], "left_semi").select("places", "d").mapInArrow(spread, RUNS)
+    return both(keyed).join(both(twice), ["both", "h1", "h2"], "left_semi").select("places", "d").mapInArrow(spread, RUNS)
 
 
 def repeated_runs(docs: DataFrame, dealt: DataFrame, width: int = WIDTH, most_in_core: int = MOST_IN_CORE) -> DataFrame:
