@@ -181,7 +181,7 @@ def betweenness(edges: DataFrame, pivots: DataFrame | None = None) -> DataFrame:
     return x.select("id", rounded(F.coalesce(F.try_divide(F.col("b"), (F.col("n") - 1) * (F.col("n") - 2)) * F.try_divide(F.col("n"), F.col("k")), F.lit(0.0)), 4).alias("betweenness"))
 
 
-def communities(edges: DataFrame, rounds: int = 6, levels: int = 5) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 4, levels: int = 3) -> DataFrame:
     """(id, community): Louvain's method on the undirected view; a community is named by one of its nodes.
 
     A level moves nodes to neighbouring communities by modularity gain until none gains, then every community
