@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +50,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, over: DataFrame | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: lineage is cut and the planner sees the true size.
+
+    A checkpoint keeps its plan's estimate of size, which multiplies from round to round where a loop joins its own
+    results; a loop uses this instead. `over` is the stored table that the new one takes the place of: its files go,
+    so nothing not yet computed may still read it. Other files stay until forget() or the folder's own cleaning.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._stored_in = folder
+    if over is not None:
+        forget(over)
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of stored tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(df._stored_in)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Rows up to which a side is broadcast where Spark can't know its size.
 BROADCAST_ROWS = 100_000
 
