@@ -1,31 +1,3 @@
-"""Connected components by alternating star joins."""
+"""Connected components; kept under this name for the operators that link documents."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from riskloom.llm.common import checkpointed
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root): for every id of the edges (a, b), long each, the smallest id it is connected with.
-
-    Large-star and small-star rounds in turn: each hangs the neighbours of a node on their minimum, so the
-    edges turn into stars in a few rounds and never grow beyond their number at the start. A round is a
-    partial minimum and a join; its result is checkpointed. Self-loops and repeated edges are allowed.
-    """
-    edges = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.filter("a <> b").groupBy("a").agg(F.min("b").alias("m"))
-        small = large.filter("a <> b").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
-        edges = checkpointed(small.filter("a <> b").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionAll(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+from riskloom.operators.stars import components  # noqa: F401

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import debruijn, decontam, html_extract, jaccard_join, license_scan, packing, quality_model, quality_rules, secrets, suffix_dedup
+from riskloom.llm import debruijn, decontam, html_extract, jaccard_join, license_scan, packing, quality_model, quality_rules, secrets, simhash, suffix_dedup
 from riskloom.llm.common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_jaccard_join": lambda spark, d: jaccard_join.op8(table(spark, d, "documents")),
     "op9_quality_rules": lambda spark, d: quality_rules.op9(table(spark, d, "documents")),
     "op10_best_fit_packing": lambda spark, d: packing.op10(table(spark, d, "documents")),
+    "op11_simhash_dedup": lambda spark, d: simhash.op11(table(spark, d, "documents")),
 }
 
 
