@@ -50,16 +50,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, over: DataFrame | None = None) -> DataFrame:
+def stored(df: DataFrame, over: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage is cut and the planner sees the true size.
 
     A checkpoint keeps its plan's estimate of size, which multiplies from round to round where a loop joins its own
     results; a loop uses this instead. `over` is the stored table that the new one takes the place of: its files go,
-    so nothing not yet computed may still read it. Other files stay until forget() or the folder's own cleaning.
+    so nothing not yet computed may still read it. Other files stay until forget() or the folder's own cleaning. `by`
+    names columns whose values get folders of their own, for loops that read some at a time.
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.partitionBy(*by).parquet(folder)
     out = spark.read.schema(df.schema).parquet(folder)
     out._stored_in = folder
     if over is not None:
