@@ -35,7 +35,7 @@ LONGEST = 3
 SHARDS = 2
 SHOWN = 2000
 #: Slots of a table, as a power of two.
-BITS = 24
+BITS = 23
 #: Bytes of text in a block.
 BLOCK = 1 << 22
 #: Bits of a count's key that hold the phrase's length less one (2) and its first scan (6).
@@ -104,6 +104,8 @@ class Words:
 def scan_of(tables: list[np.ndarray], h: np.ndarray, k: int) -> np.ndarray:
     """The scan in which each hashed phrase of k words reached the threshold; _NEVER if it hasn't."""
     table = tables[k - 1]
+    if table is None:
+        return np.full(len(h), _NEVER, np.uint8)
     low = np.uint64(len(table) - 1)
     return np.maximum(table[(h >> np.uint64(_TAG)) & low], table[(h >> np.uint64(64 - int(len(table)).bit_length() + 1))])
 
@@ -172,6 +174,11 @@ def _distinct(h: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order[first], np.diff(np.r_[first, len(h)])
 
 
+def _set(tables: list[np.ndarray]) -> list[np.ndarray | None]:
+    """The tables worth sending."""
+    return [t if (t != _NEVER).any() else None for t in tables]
+
+
 def _slots(h: Column, bits: int) -> Column:
     return F.array(F.shiftrightunsigned(h, _TAG).bitwiseAND(F.lit((1 << bits) - 1)), F.shiftrightunsigned(h, 64 - bits))
 
@@ -202,20 +209,20 @@ def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sha
     state = held = None
     turn, going = 0, True
     while going:
-        sent = context.broadcast(tables)
+        sent = context.broadcast(_set(tables))
         new = dealt.filter(F.col("shard") == turn % shards).select("lang", "text").mapInArrow(_counter(sent, turn, shards, longest, block), "h long, c long")
         merged = (new if held is None else new.unionAll(held)).groupBy("h").agg(F.sum("c").alias("c"))
         unfinished = F.shiftright(F.col("h").bitwiseAND(F.lit(255)), 2) + shards - 1 > turn
         state = stored(merged.filter(unfinished | (F.col("c") >= least)), over=state)
-        sent.unpersist()
+        sent.destroy()
         held = state.filter(unfinished)
         going = _enter(state, tables, turn, least, bits) or held.limit(1).count() > 0
         turn += 1
     forget(state)
-    sent = context.broadcast(tables)
+    sent = context.broadcast(_set(tables))
     counted = dealt.select("lang", "text").mapInArrow(_speller(sent, longest, block), "lang string, phrase string, c long").groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
     out = stored(counted.filter((F.col("f") >= least) | (F.col("phrase") == "")))
-    sent.unpersist()
+    sent.destroy()
     forget(dealt)
     return out
 
