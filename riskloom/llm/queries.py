@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import collocations, debruijn, decontam, html_extract, jaccard_join, license_scan, packing, quality_model, quality_rules, secrets, simhash, suffix_dedup
+from riskloom.llm import collocations, debruijn, decontam, html_extract, jaccard_join, license_scan, packing, quality_model, quality_rules, ranking, secrets, simhash, suffix_dedup
 from riskloom.llm.common import table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_quality_rules": lambda spark, d: quality_rules.op9(table(spark, d, "documents")),
     "op10_best_fit_packing": lambda spark, d: packing.op10(table(spark, d, "documents")),
     "op11_simhash_dedup": lambda spark, d: simhash.op11(table(spark, d, "documents")),
+    "op12_ranked_search": lambda spark, d: ranking.op12(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op13_collocations": lambda spark, d: collocations.op13(table(spark, d, "documents")),
 }
 
@@ -59,4 +60,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v"""
 
 
-ORACLES = {"op9_quality_rules": _sql9(), "op13_collocations": collocations.SQL}
+ORACLES = {"op9_quality_rules": _sql9(), "op12_ranked_search": ranking.SQL, "op13_collocations": collocations.SQL}
