@@ -37,7 +37,7 @@ SHOWN = 2000
 #: Slots of a table, as a power of two.
 BITS = 23
 #: Bytes of text in a block.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: Bits of a count's key that hold the phrase's length less one (2) and its first scan (6).
 _TAG = 8
 _NEVER = 255
