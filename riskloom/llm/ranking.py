@@ -74,6 +74,7 @@ class Shard:
     """Posting lists of a shard: for each term its documents' places in order, impacts, and a table of range maxima."""
 
     def __init__(self, term: np.ndarray, doc: np.ndarray, impact: np.ndarray, n_docs: int):
+        self.terms, term = np.unique(term, return_inverse=True)
         order = np.lexsort([doc, term])
         self.impact, self.width = impact[order], n_docs + 1
         self.code = term[order] * self.width + doc[order]
@@ -96,7 +97,7 @@ class Shard:
         self.impact = np.append(self.impact, 0)
 
     def span(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first place of each term's list, and the one after its last."""
+        """The first place of each list, by its term's place among the shard's, and the one after its last."""
         return np.searchsorted(self.code, term * self.width), np.searchsorted(self.code, (term + 1) * self.width)
 
     def peak(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -112,7 +113,8 @@ class Shard:
         return out
 
     def search(self, own: np.ndarray, most: int, floor: int = 1, rounds: int | None = None, batch: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
-        """(score, document) of the `most` best for distinct terms `own`, at least `floor` high, in order; of so many rounds only, if given."""
+        """(score, document) of the `most` best for the terms `own`, at least `floor` high, in order; of so many rounds only, if given."""
+        own = np.flatnonzero(np.isin(self.terms, own))  # by their place among the shard's terms
         lo, hi = (x[None, :] for x in self.span(own))
         peaks = self.peak(lo, hi)
         bound = self.impact[peaks].sum(axis=1)

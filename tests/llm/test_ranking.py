@@ -69,11 +69,12 @@ def test_search_opens_few_documents(monkeypatch):
     term = np.r_[np.zeros(n, np.int64), np.ones(20, np.int64)]
     doc = np.r_[np.arange(n), rnd.choice(n, 20, replace=False)]
     impact = np.r_[rnd.integers(1, 100, n), rnd.integers(10_000, 20_000, 20)]
+    term *= 1 << 42  # ids may be far apart
     shard = ranking.Shard(term, doc, impact, n)
     opened = []
     peak = shard.peak
     monkeypatch.setattr(shard, "peak", lambda lo, hi: opened.append(len(lo)) or peak(lo, hi))
-    score, found = shard.search(np.array([0, 1]), 10)
+    score, found = shard.search(np.array([0, 1 << 42, 1 << 50]), 10)
     total = np.zeros(n, np.int64)
     np.add.at(total, doc, impact)
     want = np.lexsort([np.arange(n), -total])[:10]
