@@ -12,6 +12,10 @@ a unit's cosine from above (any other term weighs at least 1), so units that can
 in the pass over the texts; of overlapping headers the one with the highest bound stays. Equal units are
 weighed once, with the true frequencies of all their terms. A file's licence is that of its best unit.
 
+Licences of a family read almost alike, so their cosines can't tell them apart. A unit must hold the same telling terms
+of the family (versions, "lesser", "sharealike", ...) as the template, and the sentence that two BSD licences share
+goes by the clauses behind it.
+
 A file without one takes that of the nearest directory above it that has one: directories are joined by
 path. A directory's licence is the best of the files right in it.
 
@@ -38,18 +42,47 @@ from riskloom.llm.common import checkpointed
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004"],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", "The MIT License (MIT)"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "ISC": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "EPL-2.0": ["Licensed under the Eclipse Public License 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "CC0-1.0": ["Licensed under CC0 1.0.", "CC0 1.0 Universal Public Domain Dedication", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+}
+#: The elements of Creative Commons licences, and the names of their versions.
+CC_ELEMENTS = {"NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
+CC_KINDS = ("BY", "BY-NC", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")
+CC_VERSIONS = {"3.0": "Unported", "4.0": "International"}
+for _version, _scope in CC_VERSIONS.items():
+    for _kind in CC_KINDS:
+        _long = "-".join(["Attribution", *(CC_ELEMENTS[x] for x in _kind.split("-")[1:])])
+        TEMPLATES[f"CC-{_kind}-{_version}"] = [f"Licensed under CC {_kind} {_version}.", f"This work is licensed under a Creative Commons {_long} {_version} {_scope} License."]
+#: Terms that tell the licences of a family apart. A unit only goes to a template with the same ones of them.
+TELLING = {
+    "GPL": ("lesser", "affero", "1", "2", "2.0", "2.1", "3", "3.0"),
+    "CC": ("nc", "noncommercial", "sa", "sharealike", "nd", "noderivatives", "noderivs", "cc0", "1.0", "2.0", "2.5", "3.0", "4.0"),
+    "BSD": ("1", "2", "3", "4", "neither"),
+    "ISC": ("appear",),
 }
+#: What follows the sentence that BSD licences share, within AHEAD terms, where it is the one of two clauses.
+SHARED = "redistribution"
+TWO_CLAUSES = ("retain", "reproduce")
+THIRD_CLAUSE = "neither"
+CONDITION = "provided"
+AHEAD = 120
 #: The bodies of short licences, as licence files hold them.
 LICENCE_FILES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
 }
 #: Least cosines: of notices shorter than SHORT terms, where one other word may be another licence's name, and of longer units.
@@ -78,15 +111,45 @@ def weight(df: float, n: int) -> float:
     return math.log((1 + n) / (1 + df)) + 1
 
 
+def family_of(licence: str) -> str | None:
+    """The key in TELLING that a licence goes by."""
+    return {"0BSD": "ISC"}.get(licence) or next((f for f in TELLING if f in licence), None)
+
+
 @dataclass(frozen=True)
 class Shape:
-    """A template: its terms with their weights in a vector of length 1, and the least cosine to it."""
+    """A template: its terms with their weights in a vector of length 1, and the least cosine to it.
+
+    `own` are the telling terms of its family that a unit must hold, `others` those that it must not.
+    """
 
     licence: str
     words: list[str]
     unit: dict[str, float]
     whole: bool
 
+    @property
+    def telling(self) -> tuple[str, ...]:
+        # numbered clauses are no versions, so whole texts go by words alone
+        return tuple(t for t in TELLING.get(family_of(self.licence), ()) if not (self.whole and t.isdigit()))
+
+    @property
+    def own(self) -> tuple[str, ...]:
+        return tuple(t for t in self.telling if t in self.words)
+
+    @property
+    def others(self) -> tuple[str, ...]:
+        return tuple(t for t in self.telling if t not in self.words)
+
+    def follows(self, ahead: list[str]) -> bool:
+        """Whether the terms behind a unit allow this template: they matter for the sentences that two licences share."""
+        if self.licence == "0BSD":
+            return CONDITION not in ahead[:3]  # the other one goes on with it
+        if self.whole or self.words[0] != SHARED:
+            return True
+        two = set(TWO_CLAUSES) <= set(ahead) and THIRD_CLAUSE not in ahead
+        return two == (self.licence == "BSD-2-Clause")
+
     @property
     def least(self) -> float:
         return LEAST if len(self.words) >= SHORT else LEAST_SHORT
@@ -114,10 +177,19 @@ def needed(shape: Shape) -> set[str]:
 
 
 def candidates(words: list[str], shapes: list[Shape], idf: dict[str, float], need: list[set[str]]) -> Iterator[tuple[int, str]]:
-    """(shape, unit): the headers, and the whole file, whose bound reaches a template's least cosine; terms joined by a space."""
+    """(shape, unit): the headers, and the whole file, whose bound reaches a template's least cosine and whose telling terms are
+    the template's; terms joined by a space."""
     held = set(words)
+    at_of: dict[str, np.ndarray] = {}
+
+    def count(term: str) -> np.ndarray:
+        """How often the term is among the first i words."""
+        if term not in at_of:
+            at_of[term] = np.cumsum(np.r_[0, np.fromiter((w == term for w in words), np.int64, len(words))]) if term in held else np.zeros(len(words) + 1, np.int64)
+        return at_of[term]
+
     for k, shape in enumerate(shapes):
-        if not need[k] & held:
+        if not need[k] & held or not held.issuperset(shape.own):
             continue
         x = np.array([idf[w] if w in shape.unit else 0.0 for w in words])
         dots = np.array([idf[w] * shape.unit.get(w, 0.0) if w in shape.unit else 0.0 for w in words])
@@ -127,19 +199,25 @@ def candidates(words: list[str], shapes: list[Shape], idf: dict[str, float], nee
                 if w in tf:
                     tf[w] += 1
             norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in tf.items()) + int((x == 0).sum()))
-            if norm and dots.sum() / norm >= shape.least - 1e-6:
+            if norm and dots.sum() / norm >= shape.least - 1e-6 and not held.intersection(shape.others):
                 yield k, " ".join(words)
             continue
         m = min(len(shape.words), len(words))
         low = np.where(x > 0, x * x, 1.0)  # a term met more than once weighs at least this much
         total, norms = (np.cumsum(np.r_[0.0, a]) for a in (dots, low))
         bound = (total[m:] - total[:-m]) / np.sqrt(norms[m:] - norms[:-m])
-        starts = np.flatnonzero(bound >= shape.least - 1e-6)
+        fits = bound >= shape.least - 1e-6
+        for terms, there in ((shape.own, True), (shape.others, False)):
+            for t in terms:
+                c = count(t)
+                fits &= (c[m:] > c[:-m]) == there
+        starts = np.flatnonzero(fits)
         if not len(starts):
             continue
         for run in np.split(starts, np.flatnonzero(np.diff(starts) >= m) + 1):
             at = int(run[np.argmax(np.round(bound[run], 9))])
-            yield k, " ".join(words[at : at + m])
+            if shape.follows(words[at + m : at + m + AHEAD]):
+                yield k, " ".join(words[at : at + m])
 
 
 def unit_scores(files: DataFrame, key: str, text: str, templates: dict[str, list[str]], licence_files: dict[str, str]) -> DataFrame:
