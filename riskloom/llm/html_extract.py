@@ -9,12 +9,14 @@ it and of its own lines, which count as one child.
 2. While a parent adds at least a quarter to the centre's text, little of it in links, the centre was a part
    of the article only, and the parent takes its place.
 3. Text is taken from everything below the centre, from nodes off its path whose density reaches the
-   threshold, and from first-level headings before it. If the body itself is the centre, its blocks of
-   mostly links stay out.
-
-Elements and roles only take away: scripts, menus, forms, hidden elements and parts whose class, id or role
-is a boilerplate name as a whole ("comments", "related-posts", but not "related-work") have no density and no
-text. Page headers and banners count as boilerplate outside the centre and as text inside it. A page is one
+   threshold, from first-level headings before it and from headings of any level directly before it or before
+   what it is in. If the body itself is the centre, its blocks of mostly links stay out.
+
+Elements and roles only take away: scripts, menus, forms, hidden elements, reader comments and parts whose class, id or
+role is a boilerplate name as a whole ("sponsored", "related-posts", but not "related-work") have no density and no
+text. A doubtful name alone ("notice", "social") can't take the article away: where a page has no text elsewhere, the largest such part counts as
+text, and so does prose inside the centre, of LEAST_PROSE characters with few links and the threshold's density.
+Page headers and banners count as boilerplate outside the centre and as text inside it. A page is one
 small pure function of its html, so pages are independent rows; work is linear in the length of the html.
 
 Null, empty and text-free pages give an empty text; a page without markup is one block; unclosed and
@@ -54,6 +56,8 @@ CLOSE_P = BLOCK - frozenset("body html td th tr tbody thead tfoot li dd dt capti
 HOLD_P = ("td", "th", "table", "button", "object")
 #: Words that name boilerplate, alone or joined by - or _ to one another and to words of the next sets.
 ROLES = frozenset("ad ads aside advert adverts advertisement advertising breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer modal nav navbar navigation menu newsletter notice notices pagination pager popup promo promos promoted promotion related replies share sharing sidebar skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split())
+#: Of these, the ones that an article may be named by.
+DOUBTFUL = frozenset("aside notice notices related share sharing sidebar social toolbar widget widgets".split())
 TOP_ROLES = frozenset("header masthead banner".split())
 PARTS = frozenset("area bar block bottom box button buttons buttonset container content form global group inner item items left link links list main module outer page panel posts primary right row secondary section site slot sticky thread signup top unit user users reader readers wrap wrapper".split())
 OF_ARTICLE = frozenset("article articles blog entry post news stories story".split())
@@ -62,10 +66,13 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=
 #: A parent takes the centre's place if it adds this share of its text, at most MOST_LINKED of that in links.
 LEAST_ADDED = 0.25
 MOST_LINKED = 0.2
+#: Characters from which named boilerplate inside the centre may be prose.
+LEAST_PROSE = 300
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    """An element. kind: 0 text, 1 boilerplate outside the centre, 2 boilerplate anywhere."""
+    """An element. kind: 0 text, 1 boilerplate outside the centre, 2 boilerplate by name, 3 boilerplate in any case."""
 
     __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "own", "density", "sum", "kind")
 
@@ -82,7 +89,7 @@ def role_kind(name: str) -> int:
     parts = [x for x in re.split(r"[-_\d]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if x]
     roles = [x for x in parts if x in ROLES]
     if roles and all(x in ROLES or x in TOP_ROLES or x in PARTS or x in OF_ARTICLE for x in parts):
-        return 2
+        return 2 if DOUBTFUL.issuperset(roles) else 3
     if any(x in TOP_ROLES for x in parts) and all(x in TOP_ROLES or x in PARTS for x in parts):
         return 1
     return 0
@@ -90,13 +97,13 @@ def role_kind(name: str) -> int:
 
 def _kind(tag: str, attributes: str, in_article: bool) -> int:
     if tag in DROPPED:
-        return 2
+        return 3
     kind = 1 if tag == "header" and not in_article else 0
     if attributes and tag not in ("body", "html", "main", "article"):
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                return 2
+                return 3
             if name in ("class", "id", "role"):
                 kind = max([kind, *map(role_kind, value.split())])
     return kind
@@ -171,7 +178,7 @@ def _walk(root: Node) -> list[Node]:
     """All nodes that may hold text, parents first."""
     out = [root]
     for node in out:
-        out.extend(c for c in node.children if isinstance(c, Node) and c.kind < 2)
+        out.extend(c for c in node.children if isinstance(c, Node) and c.kind < 3)
     return out
 
 
@@ -219,10 +226,7 @@ def measure(root: Node) -> tuple[Node, list[Node]]:
 
 def centre_of(body: Node) -> tuple[Node, float]:
     """(centre, threshold): the node of the largest density sum, or what it is a part of, and the least density from the body to it."""
-    live = [body]
-    for node in live:
-        live.extend(c for c in node.children if isinstance(c, Node) and not c.kind)
-    centre = max((x for x in live if x is body or x.tag in BLOCK), key=lambda x: x.sum)
+    centre = max((x for x in _live(body) if x is body or x.tag in BLOCK), key=lambda x: x.sum)
     if centre.sum <= 0:
         return body, body.density
     threshold, up = centre.density, centre
@@ -238,10 +242,54 @@ def centre_of(body: Node) -> tuple[Node, float]:
     return centre, threshold
 
 
+def pardon(body: Node, nodes: list[Node]) -> bool:
+    """Whether only parts that a doubtful name marks hold text, beside headings and links; the largest then counts as text."""
+    most = max((x for x in nodes if x.kind == 2), key=lambda x: x.chars, default=None)
+    if most is None or most.link_chars > MOST_LINKED * most.chars:
+        return False
+    titles = sum(x.chars for x in _live(body) if x.tag in HEADINGS)
+    if body.chars - body.link_chars - titles > 0:
+        return False
+    most.kind = 0
+    return True
+
+
+def _live(body: Node) -> list[Node]:
+    """The nodes of the body outside boilerplate, parents first."""
+    out = [body]
+    for node in out:
+        out.extend(c for c in node.children if isinstance(c, Node) and not c.kind)
+    return out
+
+
+def lead(centre: Node, body: Node) -> set[int]:
+    """The headings directly before the centre, or before what it is in."""
+    out, up = set(), centre
+    while up is not body and up.parent is not None:
+        before = []
+        for c in up.parent.children:
+            if c is up:
+                break
+            before.append(c)
+        for c in reversed(before):
+            if isinstance(c, Node) and c.tag in HEADINGS and not c.kind:
+                out.add(id(c))
+            elif isinstance(c, Node) or c.strip():
+                break
+        up = up.parent
+    return out
+
+
 def blocks(page: str | None) -> list[str]:
     """The article's blocks of text, in page order."""
-    body, _ = measure(tree(page or ""))
+    root = tree(page or "")
+    body, nodes = measure(root)
+    if pardon(body, nodes):
+        for x in nodes:
+            x.chars = x.tags = x.link_chars = x.link_tags = 0
+        body, nodes = measure(root)
     centre, threshold = centre_of(body)
+    leading = lead(centre, body)
     path, up = {id(centre)}, centre
     while up is not body:
         up = up.parent
@@ -264,12 +312,12 @@ def blocks(page: str | None) -> list[str]:
         elif isinstance(item, str):
             if taken:
                 held.append(item)
-        elif not item.kind or (item.kind == 1 and within):
+        elif not item.kind or (item.kind == 1 and within) or (item.kind == 2 and within and item.chars >= LEAST_PROSE and item.link_chars <= MOST_LINKED * item.chars and item.density >= threshold):
             if within and centre is body and item.tag in BLOCK and 2 * item.link_chars > item.chars:
                 continue
             if item is centre:
                 before, within = False, True
-            own = taken or within or (id(item) not in path and item.density >= threshold > 0) or (before and item.tag == "h1")
+            own = taken or within or (id(item) not in path and item.density >= threshold > 0) or (before and (item.tag == "h1" or id(item) in leading))
             if item.tag in BLOCK:
                 flush()
                 todo.append((None, own, within))

@@ -209,9 +209,16 @@ MARKED = [
     (f"<body><header><h1>Site</h1></header><div><header><h1>T</h1></header><p>{LONG}</p><div class='share social-links'>Share it</div><p>{LONG}</p><div id='comments-7'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></div></body>", ["T", LONG, LONG]),
     (f"<body><div class='userComments'><p>{LONG}</p><p>{LONG}</p></div><div><p>{LONG}</p></div><div class='social-history'><p>{LONG}</p></div></body>", [LONG, LONG]),
 ]
+#: Names that would take the article away, or prose in it, and boilerplate that still goes.
+NAMED = [
+    (f"<body><div class='post'><h1>Privacy</h1><div class='notice-content'><p>{LONG}</p><p>{LONG}</p></div></div></body>", ["Privacy", LONG, LONG]),
+    (f"<body><article><p>{LONG}</p><div class='social'><p>{LONG * 3}</p><p>{LONG * 3}</p></div><p>{LONG * 4}</p><div class='notice'>Short note.</div><div class='comments'><p>{LONG * 9}</p></div></article></body>", [LONG, LONG * 3, LONG * 3, LONG * 4]),
+    (f"<body>{MENU}<div><h2>Lead</h2><div><p>{LONG}</p><p>{LONG}</p></div></div><div class='cookie-notice'><p>{LONG}</p></div></body>", ["Lead", LONG, LONG]),
+    (f"<body><div class='comments'><p>{LONG * 9}</p></div><div><p>{LONG}</p></div></body>", [LONG]),
+]
 
 
-@pytest.mark.parametrize("page, want", UNMARKED + MARKED)
+@pytest.mark.parametrize("page, want", UNMARKED + MARKED + NAMED)
 def test_pages_without_article(page, want, monkeypatch):
     assert html_extract.blocks(page) == want
     if (page, want) in UNMARKED[:1]:
