@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -13,7 +12,9 @@ from riskloom.functions.num import banded, rounded
 
 #: White space as a class that Java and RE2 read alike.
 SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}\x{1C}-\x{1F}\x{85}]"
-CJK = r"[^\x{4E00}-\x{9FFF}]"
+#: The same white space one by one.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+CJK = r"[^\x{4E00}-\x{9FFF}]+"
 DATE_FORMATS = ("yyyy-M-d", "yyyy年M月d日", "yyyy/M/d", "d/M/yyyy", "M/d/yyyy", "yyyy-M-d H:m:s", "yyyy-M-d H:m")
 
 
@@ -27,15 +28,40 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    """The text without white space at its ends; linear however much there is."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def single_spaced(text: Column) -> Column:
+    """Runs of white space as one space each; single spaces, which most are, aren't touched."""
+    return F.regexp_replace(text, f"[{BLANKS[1:]}]{SPACE}*| {SPACE}+", " ")
+
+
+def without_tags(text: Column) -> Column:
+    """The text without `<...>`. What stands behind the last `>` can't be in a tag and isn't searched, so open brackets cost nothing."""
+
+    def cut(t: Column) -> Column:
+        tail = F.substring_index(t, ">", -1)
+        head = F.left(t, F.length(t) - F.length(tail))
+        return F.when(F.contains(t, F.lit("<")) & F.contains(t, F.lit(">")), F.concat(F.regexp_replace(head, "<[^>]+>", ""), tail)).otherwise(t)
+
+    return bound(text, cut)
+
+
+def before_marks(text: Column, marks: list[str]) -> Column:
+    """The text up to the first of the marks."""
+
+    def cut(t: Column) -> Column:
+        at = F.least(F.lit(None).cast("int"), F.lit(None).cast("int"), *[F.nullif(F.instr(t, m), F.lit(0)) for m in marks])
+        return F.when(at.isNull(), t).otherwise(F.left(t, at - 1))
+
+    return bound(text, cut) if marks else text
 
 
 def clean_text(text: Column, marks: list[str] = params.NOISE_MARKS) -> Column:
     """Tags off, white space to single spaces, everything from a noise mark on cut, URLs off, trimmed."""
-    t = F.regexp_replace(given(text), "<[^>]+>", "")
-    t = trimmed(F.regexp_replace(t, f"{SPACE}+", " "))
-    t = F.regexp_replace(t, "(?:" + "|".join(map(re.escape, marks)) + ").*", "") if marks else t
-    return trimmed(F.regexp_replace(t, r"https?://[^\s\x{3000}\x{A0}]+", ""))
+    t = before_marks(trimmed(single_spaced(without_tags(given(text)))), marks)
+    return trimmed(bound(t, lambda x: F.when(F.contains(x, F.lit("http")), F.regexp_replace(x, r"https?://[^\s\x{3000}\x{A0}]+", "")).otherwise(x)))
 
 
 def normalize_date(text: Column, as_of: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
