@@ -16,13 +16,12 @@ from riskloom.plans.bindings import CENTERS, EDGES, HISTORY, NATIONS, PLACES, TY
 from riskloom.session import table
 from riskloom.sources import seeds
 
-#: How near places must be to count as neighbours, and the risk from which one is a hotspot.
-NEAR_KM = 150.0
+#: The risk from which a place is a hotspot.
 HOT_FROM = 40.0
 KM = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
 POTENTIAL = f"""SELECT place, {R('risk')} AS risk, {R('t', 4)} AS total_influence, p AS potential, dominant_center, {R('CASE WHEN max(p) OVER () > 0 THEN p / max(p) OVER () ELSE 0 END * 100')} AS potential_normalized FROM (SELECT place, max(risk) AS risk, sum(i) AS t, {R('sum(i) * max(risk) / 100', 4)} AS p, arg_max(center, i) AS dominant_center FROM (
   SELECT place, coalesce(risk, 50) AS risk, center, weight / pow(greatest({KM.replace('b.lat', 'c.clat').replace('b.lon', 'c.clon')}, 10.0) / 100, 2) AS i FROM ({PLACES}) a CROSS JOIN ({CENTERS}) c) GROUP BY 1)"""
-PAIRS = f"SELECT a.place AS a, b.place AS b, {KM} AS km, a.risk AS arisk, b.risk AS brisk FROM (SELECT place, lat, lon, coalesce(risk, 50) AS risk FROM ({PLACES})) a JOIN (SELECT place, lat, lon, coalesce(risk, 50) AS risk FROM ({PLACES})) b ON a.place <> b.place WHERE {KM} <= {NEAR_KM}"
+PAIRS = f"SELECT a.place AS a, b.place AS b, {KM} AS km, a.risk AS arisk, b.risk AS brisk FROM (SELECT place, lat, lon, coalesce(risk, 50) AS risk FROM ({PLACES})) a JOIN (SELECT place, lat, lon, coalesce(risk, 50) AS risk FROM ({PLACES})) b ON a.place <> b.place"
 MORAN = f"""WITH m AS (SELECT avg(risk) AS m, count(*) AS n, var_pop(risk) * count(*) AS den FROM (SELECT coalesce(risk, 50) AS risk FROM ({PLACES}))), w AS (SELECT sum(1 / greatest(km, 1.0)) AS w, sum((arisk - m) * (brisk - m) / greatest(km, 1.0)) AS num FROM ({PAIRS}) CROSS JOIN m),
 i AS (SELECT CASE WHEN n < 3 OR den < 1e-9 OR w < 1e-9 THEN 0 ELSE n / w * (num / den) END AS i, m, n FROM m CROSS JOIN w)
 SELECT {R('i', 4)} AS morans_i, CASE WHEN i > 0.3 THEN '{params.MORAN_WORDS[0.3]}' WHEN i > 0.1 THEN '{params.MORAN_WORDS[0.1]}' WHEN i < -0.1 THEN '{params.MORAN_WORDS[-0.1]}' ELSE '{params.MORAN_WORDS[None]}' END AS interpretation, {R('m')} AS mean_risk, n FROM i"""
@@ -86,8 +85,8 @@ def _merge(s, d):
 
 
 def _pivots(s, d):
-    """The nodes whose number is divisible by 500, the stated set of sources."""
-    return typed_nodes(s, d).filter(F.substring("id", 2, 20).cast("long") % 500 == 0)
+    """The nodes whose number is divisible by 100, the stated set of sources."""
+    return typed_nodes(s, d).filter(F.substring("id", 2, 20).cast("long") % 100 == 0)
 
 
 def _seeded(s, d):
@@ -101,7 +100,7 @@ def _seeded(s, d):
 
 
 def _report(s, d):
-    return SP.full_report(places(s, d).withColumn("risk", F.coalesce("risk", F.lit(50.0))), centers(s, d), HOT_FROM, within_km=NEAR_KM)
+    return SP.full_report(places(s, d).withColumn("risk", F.coalesce("risk", F.lit(50.0))), centers(s, d), HOT_FROM)
 
 
 def _article_graph(s, d):
@@ -117,7 +116,7 @@ def _seed_sql(text, names):
 _ENTITIES, _RELATIONS = _seed_sql(seed_rows.ENTITIES, "id, type, aliases"), _seed_sql(seed_rows.RELATIONS, "src, type, dst")
 #: More steps than the longest shortest path of these graphs.
 STEPS = 12
-_GRAPH = f"b AS MATERIALIZED ({BUILT}), n AS MATERIALIZED (SELECT src AS id FROM b UNION SELECT dst FROM b), p AS MATERIALIZED (SELECT id FROM n WHERE CAST(substring(id, 2) AS BIGINT) % 500 = 0)"
+_GRAPH = f"b AS MATERIALIZED ({BUILT}), n AS MATERIALIZED (SELECT src AS id FROM b UNION SELECT dst FROM b), p AS MATERIALIZED (SELECT id FROM n WHERE CAST(substring(id, 2) AS BIGINT) % 100 = 0)"
 
 
 def _reach(a="src", b="dst"):
@@ -145,10 +144,10 @@ def _labels(rounds=STEPS):
 
 QUERIES = {
     "potential": lambda s, d: SP.potential(places(s, d), centers(s, d)),
-    "moran": lambda s, d: SP.morans_i(places(s, d), within_km=NEAR_KM),
-    "knn": lambda s, d: SP.nearest(places(s, d).withColumn("risk", F.coalesce("risk", F.lit(50.0))), within_km=NEAR_KM),
+    "moran": lambda s, d: SP.morans_i(places(s, d)),
+    "knn": lambda s, d: SP.nearest(places(s, d).withColumn("risk", F.coalesce("risk", F.lit(50.0)))),
     "near_pairs": lambda s, d: SP.pairs(places(s, d), within_km=100.0).select("a", "b", rounded(F.col("km"), 3).alias("km")),
-    "hotspots": lambda s, d: SP.hotspots(places(s, d), HOT_FROM, within_km=NEAR_KM),
+    "hotspots": lambda s, d: SP.hotspots(places(s, d), HOT_FROM),
     "place_risk": place_risk,
     "locate": lambda s, d: _located(s, d).select("c_custkey", "place", "lat", "lon", "risk"),
     "heat_points": lambda s, d: SP.heat_points(_located(s, d)).select("lat", "lon", rounded(F.col("heat"), 4).alias("heat")),
@@ -172,6 +171,7 @@ QUERIES = {
     "betweenness": lambda s, d: G.betweenness(built(s, d), _pivots(s, d)),
     "seed_load": _seeded,
     "spatial_report": _report,
+    "closeness_all": lambda s, d: G.closeness_by_sketches(built(s, d)),
     "communities": lambda s, d: G.community_members(G.communities(built(s, d))),
 }
 

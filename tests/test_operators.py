@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import params
 from riskloom.operators import alerts, clean, graph, html, score, spatial
 from riskloom.plans import bindings
-from riskloom.session import checkpointed, shared_folder, small
+from riskloom.session import stored, checkpointed, shared_folder, small
 from riskloom.sources import seeds
 from tests.oracle import DATA
 
@@ -99,6 +99,43 @@ def test_near_pairs_around_the_globe(spark, within):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def globe(kind: str) -> list[tuple[str, float, float, float]]:
+    rnd = random.Random(kind)
+    if kind == "uniform":
+        pts = [(math.degrees(math.asin(rnd.uniform(-1, 1))), rnd.uniform(-180, 180)) for _ in range(250)]
+    elif kind == "clusters":
+        pts = [(10 + rnd.gauss(0, 0.001), 20 + rnd.gauss(0, 0.001)) for _ in range(150)] + [(10.0, 20.0)] * 40 + [(10 + rnd.gauss(0, 3), 20 + rnd.gauss(0, 3)) for _ in range(60)] + [(-80.0, 5.0)]
+    else:
+        pts = [(90.0, 0.0), (90.0, 50.0), (89.9, 180.0), (89.9, -180.0), (0.0, 180.0), (0.0, -180.0), (0.0, 179.9), (-90.0, 1.0)]
+    return [(f"p{i}", a, b, rnd.uniform(0, 100)) for i, (a, b) in enumerate(pts)]
+
+
+@pytest.mark.parametrize("kind, k", [("uniform", 3), ("clusters", 3), ("clusters", 1), ("poles", 3), ("poles", 20)])
+def test_nearest_of_all(spark, kind, k):
+    """The k nearest without a radius are those of brute force."""
+    pts = globe(kind)
+    df = spark.createDataFrame([*pts, ("nowhere", None, None, 1.0)], "place string, lat double, lon double, risk double")
+    got = {(r.a, r["rank"]): (r.b, r.km) for r in spatial.nearest(df, k).collect()}
+    want = {}
+    for a, lat, lon, _ in pts:
+        order = sorted((round(km((lat, lon), (y, x)), 6), b) for b, y, x, _ in pts if b != a)[:k]
+        want |= {(a, i + 1): (b, round(d, 3)) for i, (d, b) in enumerate(order)}
+    assert set(got) == set(want)
+    far = [(key, got[key], want[key]) for key in want if abs(got[key][1] - want[key][1]) > 0.0011 or (got[key][0] != want[key][0] and abs(got[key][1] - want[key][1]) > 0)]
+    assert not far
+
+
+@pytest.mark.parametrize("kind", ["uniform", "clusters", "poles"])
+@pytest.mark.parametrize("leaf", [4096, 20])
+def test_moran_by_cells(spark, kind, leaf):
+    """Far cells by their sums come within 1e-3 of all pairs one by one."""
+    pts = [(p, lat, lon, r + (50 if kind == "uniform" and lat > 0 else 0)) for p, lat, lon, r in globe(kind)]
+    df = spark.createDataFrame(pts, "place string, lat double, lon double, risk double")
+    got, want = (spatial.morans_i(df, **how).first() for how in ({"leaf": leaf}, {"exact": True}))
+    assert abs(got.morans_i - want.morans_i) <= 1e-3 and (got.mean_risk, got.n) == (want.mean_risk, want.n)
+    assert spatial.morans_i(df.limit(2)).first().morans_i == 0 and spatial.morans_i(df.limit(0)).first().n == 0
+
+
 def test_spatial_report(spark):
     p = seeds.places(spark).withColumn("risk", F.when(F.col("border"), 65.0).otherwise(40.0))
     rows = spatial.full_report(p, seeds.centers(spark)).collect()
@@ -157,6 +194,99 @@ def test_closeness_of_some(spark):
     assert whole["d"] == 0.5 and some == {"d": whole["d"], "a": whole["a"]}
 
 
+def random_graph(seed: int, groups: int, size: int, inner: float, outer: float) -> list[tuple[str, str]]:
+    rnd = random.Random(seed)
+    names = [(g, f"g{g}n{i}") for g in range(groups) for i in range(size)]
+    return [(a, b) for i, (g, a) in enumerate(names) for h, b in names[:i] if rnd.random() < (inner if g == h else outer)]
+
+
+def plain_louvain(pairs) -> float:
+    """Modularity of one-by-one moves over levels."""
+    adj = defaultdict(lambda: defaultdict(float))
+    for a, b in {tuple(sorted(p)) for p in pairs if p[0] != p[1]}:
+        adj[a][b] += 1
+        adj[b][a] += 1
+    m2 = sum(sum(x.values()) for x in adj.values())
+    while True:
+        k = {a: sum(x.values()) for a, x in adj.items()}
+        label, total, moved = {a: a for a in adj}, dict(k), False
+        going = True
+        while going:
+            going = False
+            for a in sorted(adj, key=str):
+                links = defaultdict(float)
+                for b, w in adj[a].items():
+                    if b != a:
+                        links[label[b]] += w
+                total[label[a]] -= k[a]
+                best = max([label[a], *sorted(links, key=str)], key=lambda c: round(links[c] - k[a] * total[c] / m2, 9))
+                total[best] += k[a]
+                if best != label[a]:
+                    label[a], going, moved = best, True, True
+        if not moved:
+            return sum(adj[a].get(a, 0.0) / m2 - (k[a] / m2) ** 2 for a in adj)
+        new = defaultdict(lambda: defaultdict(float))
+        for a, x in adj.items():
+            for b, w in x.items():
+                new[label[a]][label[b]] += w
+        adj = new
+
+
+@pytest.mark.parametrize("seed, groups, size, inner, outer", [(1, 4, 15, 0.5, 0.03), (2, 6, 10, 0.6, 0.05), (3, 1, 60, 0.06, 0.0), (4, 8, 8, 0.7, 0.02), (5, 3, 25, 0.2, 0.05)])
+def test_communities_of_random_graphs(spark, seed, groups, size, inner, outer):
+    pairs = random_graph(seed, groups, size, inner, outer)
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    labels = stored(graph.communities(edges))
+    assert graph.modularity(edges, labels).first()[0] >= plain_louvain(pairs) - 0.02
+    of = {r.id: r.community for r in labels.collect()}
+    near = defaultdict(set)
+    for a, b in pairs:
+        if of[a] == of[b]:
+            near[a].add(b)
+            near[b].add(a)
+    for c in set(of.values()):
+        members = {x for x in of if of[x] == c}
+        seen, todo = set(), [c]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += near[x]
+        assert seen == members and min(members) == c
+
+
+def test_sizes_stay_true(spark):
+    """Thirty rounds of joins of a stored table with itself keep the planner's estimate of size small."""
+    df = stored(spark.range(50).withColumn("x", F.col("id") % 7))
+    for _ in range(30):
+        df = stored(df.join(df.select("id", F.col("x").alias("y")), "id").select("id", F.greatest("x", "y").alias("x")), over=df)
+    assert int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 2**30 and df.count() == 50
+
+
+def test_closeness_by_sketches(spark):
+    """Within 10 % of exact closeness for every node, and exact on few nodes."""
+    small = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("z", "z")], "src string, dst string")
+    assert {r.id: r.closeness for r in graph.closeness_by_sketches(small).collect()} == {r.id: r.closeness for r in graph.closeness(small).collect()}
+    pairs = random_graph(7, 1, 300, 0.02, 0.0)
+    rnd = random.Random(2)
+    edges = spark.createDataFrame([p if rnd.random() < 0.5 else p[::-1] for p in pairs], "src string, dst string")
+    want = {r.id: r.closeness for r in graph.closeness(edges).collect()}
+    got = {r.id: r.closeness for r in graph.closeness_by_sketches(edges, lg_k=12).collect()}
+    assert set(got) == set(want) and all(abs(got[x] - want[x]) <= 0.1 * want[x] + 1e-3 for x in want)
+
+
+def test_betweenness_within_its_bound(spark):
+    for seed in (1, 2):
+        pairs = random_graph(seed, 1, 120, 0.05, 0.0)
+        edges = spark.createDataFrame(pairs + [("a", "b")], "src string, dst string")
+        nodes = {x for p in pairs for x in p} | {"a", "b"}
+        want = plain_betweenness(pairs, sorted(nodes), nodes)
+        rows = graph.betweenness_within(edges, error=1.0, first=64).collect()
+        assert {r.id for r in rows} == nodes and {r.n_sources for r in rows} == {64} and all(0 < r.bound <= 1.0 and abs(r.betweenness - want[r.id]) <= r.bound for r in rows)
+        exact = graph.betweenness_within(edges, error=0.001, first=40).collect()
+        assert all(r.n_sources == len(nodes) and r.bound == 0 and abs(r.betweenness - want[r.id]) < 1e-4 for r in exact)
+
+
 def test_communities_over_levels(spark):
     """Two cliques with one edge between them: one level finds them, and a second leaves them as they are."""
     rows = [(f"{c}{a}", f"{c}{b}") for c in "xy" for a in range(5) for b in range(a)] + [("x0", "y0"), ("z", "z")]
