@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,12 +75,34 @@ def units(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(T.given(text)), F.lit(UNIT), F.lit(0))
 
 
+#: Bits of the filter of alias heads, as a power of two.
+HEAD_BITS = 18
+
+
+def _maybe_heads(names: DataFrame):
+    """A test of whether a unit may begin an alias: a bitmap of the heads' hashes, built by aggregation and of a fixed size."""
+    bit = F.xxhash64("head").bitwiseAND(F.lit((1 << HEAD_BITS) - 1))
+    words = names.select(F.shiftright(bit, 6).alias("w"), F.lit(1).cast("long").alias("one"), bit.bitwiseAND(F.lit(63)).alias("b"))
+    found = words.groupBy("w").agg(F.expr("bit_or(shiftleft(one, cast(b as int)))").alias("m")).collect()  # at most 2 ** HEAD_BITS bits
+    table = [0] * (1 << HEAD_BITS - 6)
+    for r in found:
+        table[r.w] = r.m
+    literal = F.from_json(F.lit(json.dumps(table)), "array<bigint>")
+
+    def maybe(unit: Column) -> Column:
+        h = F.xxhash64(unit).bitwiseAND(F.lit((1 << HEAD_BITS) - 1))
+        return T.bound(h, lambda x: F.call_function("getbit", F.get(literal, F.shiftright(x, 6).cast("int")), x.bitwiseAND(F.lit(63)).cast("int")) == 1)
+
+    return maybe
+
+
 def tag_entities(df: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text: str = "text", types: Sequence[str] = ("location", "organization", "person"), longest: int = 16) -> DataFrame:
     """(key, one array column a type): the gazetteer's entities in each text, first met first, each once.
 
     An alias (alias, entity, type) is a sequence of up to `longest` units, so several words and names in CJK
-    script are found; longer ones are refused. Each unit is exploded with the units behind it and joined with
-    the aliases that begin with it; the dictionary never becomes one pattern, and is broadcast only if it is small.
+    script are found; longer ones are refused. Units that may begin an alias, by a filter of fixed size inside the
+    projection, are exploded with the units behind them and joined with the aliases that begin with them; the dictionary
+    never becomes one pattern, and is broadcast only if it is small.
     """
     parts = units(F.col("alias"))
     names = gazetteer.select(parts.alias("__u"), "entity", "type").filter(F.size("__u") > 0)
@@ -88,8 +111,10 @@ def tag_entities(df: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text:
     if too_long:
         raise ValueError(f"an alias of {too_long[0].n} units; at most {longest} are looked up")
     held = names.agg(F.max("n")).first()[0] or 1
-    whole = lambda u: F.transform(u, lambda x, i: F.struct(x.alias("head"), i.alias("at"), F.array_join(F.slice(u, i + 1, F.lit(held)), " ").alias("window")))
-    windows = F.transform(F.array(units(F.col(text))), whole)[0]
+    maybe = _maybe_heads(names)
+    own = lambda u: F.filter(F.transform(u, lambda x, i: F.struct(x.alias("head"), i.alias("at"))), lambda x: maybe(x["head"]))
+    whole = lambda u: F.transform(own(u), lambda x: F.struct(x["head"].alias("head"), x["at"].alias("at"), F.array_join(F.slice(u, x["at"] + 1, F.lit(held)), " ").alias("window")))
+    windows = T.bound(units(F.col(text)), whole)
     met = df.select(key, F.inline(windows)).join(small(names), "head")
     fits = (F.col("window") == F.col("whole")) | F.startswith("window", F.concat("whole", F.lit(" ")))
     hits = met.filter(fits).groupBy(key, "type", "entity").agg(F.min("at").alias("at"))

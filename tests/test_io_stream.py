@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from riskloom.operators import alerts
 from riskloom.sources import io
-from riskloom.streaming import jobs
+from riskloom.streaming import jobs, state
 
 
 def test_scans(spark, tmp_path):
@@ -87,3 +87,49 @@ def test_late_rows_are_dropped(spark, tmp_path):
         spark.createDataFrame([(at, url)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         jobs.run_available(stream, str(tmp_path / "out"), str(tmp_path / "log"))
     assert sorted(r.url for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def _scores(spark, tmp_path, files=3):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(f"s{k}", start + dt.timedelta(hours=i), float((i * 37 + k * 11) % 100 if i % 5 else 90)) for k in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "series_key string, ts timestamp, risk_score double")
+    for k in range(files):  # a file a batch, in order of time
+        part = df.filter((F.hour("ts") + 24 * (F.dayofmonth("ts") - 1)).between(k * 14, k * 14 + 13))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        yield df, spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def test_level_changes_in_a_stream(spark, tmp_path):
+    """State lives on between runs from the same checkpoint, and the changes are those of the batch form."""
+    state.use_rocksdb(spark)
+    for df, stream in _scores(spark, tmp_path):
+        jobs.run_available(state.level_changes(stream), str(tmp_path / "out"), str(tmp_path / "log"))
+    got = sorted((r.id, r.series_key, r.ts, r.level) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted((r.id, r.series_key, r.ts, r.level) for r in alerts.level_changes(df).collect()) and got
+
+
+def test_idle_series_are_forgotten(spark, tmp_path):
+    state.use_rocksdb(spark)
+    start = dt.datetime(2024, 1, 1)
+    schema = "series_key string, ts timestamp, risk_score double"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(StructType.fromDDL(schema)).parquet(str(tmp_path / "in"))
+    for key, days in (("a", 0), ("b", 9), ("b", 18), ("a", 18.1)):
+        spark.createDataFrame([(key, start + dt.timedelta(days=days), 90.0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.run_available(state.level_changes(stream, idle=dt.timedelta(days=5)), str(tmp_path / "out"), str(tmp_path / "log"))
+    got = sorted((r.series_key, (r.ts - start).days) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", 0), ("a", 18), ("b", 9), ("b", 18)]
+
+
+def test_acknowledgements_in_a_stream(spark, tmp_path):
+    state.use_rocksdb(spark)
+    for df, stream in _scores(spark, tmp_path):
+        log = alerts.alerts(df)
+        acks = log.filter("level = 'red'").select("id", (F.col("ts") + F.expr("interval 1 hour")).alias("acknowledged_at"))
+        both = acks.unionAll(acks.withColumn("acknowledged_at", F.col("acknowledged_at") + F.expr("interval 2 hours")))
+        both.coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "acks"))
+    alert_stream = alerts.alerts(stream).select("id", "level", "ts")
+    ack_stream = spark.readStream.schema(acks.schema).parquet(str(tmp_path / "acks"))
+    jobs.run_available(state.acknowledged(alert_stream, ack_stream, late="10 days"), str(tmp_path / "out"), str(tmp_path / "log"))
+    got = sorted((r.id, r.ts, r.acknowledged_at) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted((r.id, r.ts, r.acknowledged_at) for r in alerts.acknowledge(log, both).filter("acknowledged").collect()) and got

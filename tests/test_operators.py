@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import math
 import random
+import time
 from collections import defaultdict, deque
 
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import params
+from riskloom.functions import text as T
 from riskloom.operators import alerts, clean, graph, html, score, spatial
 from riskloom.plans import bindings
-from riskloom.session import stored, checkpointed, shared_folder, small
+from riskloom.session import shared_folder, small, stored
 from riskloom.sources import seeds
 from tests.oracle import DATA
 
@@ -290,7 +292,7 @@ def test_betweenness_within_its_bound(spark):
 def test_communities_over_levels(spark):
     """Two cliques with one edge between them: one level finds them, and a second leaves them as they are."""
     rows = [(f"{c}{a}", f"{c}{b}") for c in "xy" for a in range(5) for b in range(a)] + [("x0", "y0"), ("z", "z")]
-    labels = checkpointed(graph.communities(spark.createDataFrame(rows, "src string, dst string"), rounds=2, levels=2))
+    labels = stored(graph.communities(spark.createDataFrame(rows, "src string, dst string"), rounds=2, levels=2))
     by = defaultdict(set)
     for r in labels.collect():
         by[r.community].add(r.id[0])
@@ -333,3 +335,20 @@ def test_shared_folder(spark):
     few, many = spark.range(5), spark.range(50)
     plan = lambda df: df._jdf.queryExecution().logical().toString()
     assert "broadcast" in plan(small(few, 10)).lower() and "broadcast" not in plan(small(many, 10)).lower()
+
+
+def test_long_white_space_is_linear(spark):
+    """Five million blanks, and as many open brackets, in every text function take seconds."""
+    n = 5_000_000
+    df = spark.range(1).select(F.concat(F.lit("a"), F.repeat(F.lit(" "), n), F.lit("b")).alias("text"), F.concat(F.lit("x> "), F.repeat(F.lit("<"), n)).alias("open"))
+    began = time.time()
+    r = df.select(T.trimmed(F.col("text")).alias("t"), T.clean_text(F.col("text")).alias("c"), T.clean_text(F.col("open")).alias("o"), T.normalize_date(F.col("text"), F.lit("2024-01-01").cast("date")).alias("d"), T.script_language(F.col("text")).alias("l"), T.compound_sentiment(F.lit(0.5), F.col("text")).alias("s")).first()
+    assert len(r.t) == n + 2 and r.c == "a b" and len(r.o) == n + 3 and r.l == "en" and str(r.d) == "2024-01-01" and r.s == 0.75
+    ok, rejected = clean.valid_input(df)
+    assert ok.count() == 0 and rejected.count() == 1
+    assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("text, want", [("<<a>b", "b"), ("a<>b", "a<>b"), ("a > b < c", "a > b < c"), ("<a\n>x <b>", "x"), ("x\u3000 \xa0y", "x y"), ("see https://a.b/c d http://e", "see  d"), ("one 版权声明 two", "one"), ("\u2003a\x85", "a")])
+def test_cleaning_keeps_its_meaning(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(T.clean_text(F.col("t")).alias("t")).first().t == want
