@@ -25,6 +25,29 @@ def percentiles(history: DataFrame, by: tuple[str, ...] = ("series_key", "indica
     return history.groupBy(*by).agg(both.alias("__p"), F.count(value).alias("n")).select(*by, F.col("__p")[0].alias("p5"), F.col("__p")[1].alias("p95"), "n")
 
 
+def percentile_sketches(history: DataFrame, by: tuple[str, ...] = ("series_key", "indicator"), day: str = "date", value: str = "value", k: int = 200) -> DataFrame:
+    """(by, day, sketch): a KLL quantile sketch of each day's values, a few KB however many there are.
+
+    Kept beside the history, they spare merged_percentiles() all rows of the days before. A rank is off by about
+    2.3 / k ** 0.9 with 99 % confidence (1.65 % at 200, also after merges). Days without values have no row.
+    """
+    given = history.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    return given.groupBy(*by, day).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def merged_percentiles(sketches: DataFrame, by: tuple[str, ...] = ("series_key", "indicator"), k: int = 200) -> DataFrame:
+    """(by, p5, p95, n) of all days' sketches: percentiles() from what is kept a day."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch", F.lit(k)).alias("__s"))
+    at = lambda q: F.kll_sketch_get_quantile_double("__s", F.lit(q))
+    return merged.select(*by, at(0.05).alias("p5"), at(0.95).alias("p95"), F.kll_sketch_get_n_double("__s").alias("n"))
+
+
+def numeric_entries(details: Column) -> Column:
+    """map<string,double> of the entries of a free-form map<string,string> that are numbers; others, nested ones too, drop out."""
+    numbers = F.transform(F.map_entries(details), lambda x: F.struct(x["key"].alias("key"), x["value"].try_cast("double").alias("value")))
+    return F.map_from_entries(F.filter(numbers, lambda x: x["value"].isNotNull() & ~F.isnan(x["value"])))
+
+
 def normalize(values: DataFrame, bounds: DataFrame, by: tuple[str, ...] = ("series_key", "indicator"), value: str = "value", out: str = "value") -> DataFrame:
     """Min-max between the 5th and 95th percentile, 0.5 for an empty range; under five points the value itself, clamped."""
     span = F.col("p95") - F.col("p5")

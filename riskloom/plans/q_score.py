@@ -37,6 +37,18 @@ def risk_daily(s, d):
     return TS.moving_average(scored).select("series_key", "date", F.col("score").alias("risk_score"), "risk_level", "rebalanced", "ma")
 
 
+def _event_values(s, d):
+    """Every event's value, a long history of each event type."""
+    return table(s, d, "events").select(F.col("event_type").alias("series_key"), F.to_date("ts").alias("date"), F.lit("value").alias("indicator"), "value")
+
+
+def _numeric(s, d):
+    """Sums of the numeric entries of events' free-form details."""
+    details = F.map_from_arrays(F.array(F.lit("value"), F.lit("type"), F.lit("k"), F.lit("props")), F.array(F.col("value").cast("string"), "event_type", F.get_json_object("props", "$.k"), "props"))
+    rows = table(s, d, "events").select("event_type", F.explode(S.numeric_entries(details)).alias("indicator", "value"))
+    return rows.groupBy("event_type", "indicator").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("value"), 2).alias("total"))
+
+
 LONG = long_sql(HISTORY)
 NORM = f"""SELECT v.series_key, v.date, v.indicator, {R(f"CASE WHEN n >= 5 THEN CASE WHEN p95 - p5 < 1e-6 THEN 0.5 ELSE {C('(value - p5) / (p95 - p5)')} END ELSE {C('value')} END", 4)} AS value
 FROM ({LONG}) v JOIN (SELECT series_key, indicator, quantile_cont(value, 0.05) AS p5, quantile_cont(value, 0.95) AS p95, count(value) AS n FROM ({LONG}) GROUP BY 1, 2) p ON v.series_key = p.series_key AND v.indicator = p.indicator"""
@@ -154,6 +166,8 @@ _DIST = "CASE WHEN g < 0 THEN 0.6 * least(1.0, abs(g) / 10) WHEN g < 3 THEN 0.3
 QUERIES = {
     "risk_daily": risk_daily,
     "normalize": lambda s, d: S.normalize(_values(s, d), S.percentiles(_values(s, d))).select("series_key", "date", "indicator", "value"),
+    "percentiles_merged": lambda s, d: S.merged_percentiles(S.percentile_sketches(_event_values(s, d))),
+    "numeric_details": _numeric,
     "percentiles": lambda s, d: S.percentiles(_values(s, d)).select("series_key", "indicator", rounded(F.col("p5"), 6).alias("p5"), rounded(F.col("p95"), 6).alias("p95"), "n"),
     "score": _scores,
     "score_details": lambda s, d: _details(s, d).select("series_key", "date", "indicator", "skipped", "value", rounded(F.col("used_weight"), 4).alias("used_weight"), rounded(F.col("contribution"), 4).alias("contribution"), "rebalanced"),
@@ -179,6 +193,7 @@ ORACLES = {
     "result_rollup": ROLLED,
     "risk_daily": f"SELECT series_key, date, risk_score, risk_level, rebalanced, ma FROM (SELECT *, {R('avg(risk_score) OVER (PARTITION BY series_key ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)', 4)} AS ma, row_number() OVER (PARTITION BY series_key ORDER BY date) AS r FROM ({SCORED})) WHERE r >= 7",
     "normalize": NORM,
+    "numeric_details": f"SELECT event_type, 'value' AS indicator, count(value) AS n, {R('sum(value)')} AS total FROM events GROUP BY 1 UNION ALL SELECT event_type, 'k', count(*), {R('sum(k)')} FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) WHERE k IS NOT NULL GROUP BY 1",
     "percentiles": f"SELECT series_key, indicator, {R('quantile_cont(value, 0.05)', 6)} AS p5, {R('quantile_cont(value, 0.95)', 6)} AS p95, count(value) AS n FROM ({LONG}) GROUP BY 1, 2",
     "score": SCORED,
     "score_details": f"SELECT series_key, date, indicator, skipped, value, {R('used_weight', 4)} AS used_weight, {R('contribution', 4)} AS contribution, rebalanced FROM ({DETAILS})",
