@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,8 +11,9 @@ from riskloom.functions import params
 from riskloom.functions import text as T
 from riskloom.functions.seeds import ENTITIES, rows
 from riskloom.operators import clean, html
+from riskloom.operators.seen import SeenKeys
 from riskloom.plans.bindings import L, R
-from riskloom.session import table
+from riskloom.session import shared_folder, table
 from riskloom.sources import seeds
 
 WS = "[\\s\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{0B}\\x{1C}-\\x{1F}\\x{85}]"
@@ -154,6 +156,7 @@ QUERIES = {
     "page_items": lambda s, d: html.page_items(table(s, d, "pages")).select("page_id", F.col("at").alias("at_"), "title", F.length("content").alias("n_chars")),
     "page_links": lambda s, d: html.links(table(s, d, "pages").select("page_id", "html")).select("page_id", F.col("at").alias("at_"), "url", "title"),
     "new_urls": lambda s, d: _new_urls(s, d),
+    "seen_store": lambda s, d: _seen_store(s, d),
     "seen_urls": lambda s, d: clean.newest_keys(table(s, d, "pages").select(T.canonical_url(F.col("url")).alias("url")), "url", 100),
     "merge_urls": lambda s, d: _merge(s, d),
     "json_extract": lambda s, d: _json(s, d),
@@ -184,6 +187,14 @@ def _new_urls(s, d):
     return clean.unseen(p.filter("page_id % 2 = 0"), p.filter("page_id % 3 = 0")).select("page_id", "url")
 
 
+def _seen_store(s, d):
+    """The new keys of a second merge into a store of seen URLs."""
+    store = SeenKeys(s, f"{shared_folder(s)}/seen-{uuid.uuid4().hex}")
+    p = table(s, d, "pages").select("page_id", T.canonical_url(F.col("url")).alias("url"))
+    store.merge(p.filter("page_id % 3 = 0"), "url")
+    return store.merge(p, "url").withColumnRenamed("key", "url")
+
+
 def _merge(s, d):
     p = table(s, d, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("url"))
     return clean.merge_new(clean.dedup_url(p.filter("page_id % 2 = 0"), order="page_id"), p.filter("page_id % 2 = 1"), order="page_id").select("page_id", "url")
@@ -218,6 +229,7 @@ ORACLES = {
     "page_body": f"SELECT page_id, CASE WHEN length(b1) > 50 THEN b1 WHEN length(b2) > 50 THEN b2 WHEN length(b3) > 50 THEN b3 ELSE {_body('h')} END AS body FROM (SELECT page_id, h, {', '.join(_body(f"regexp_extract(h, '{c}', 1)") + f' AS b{i}' for i, c in enumerate(CONTAINERS, 1))} FROM ({PAGES}))",
     "page_items": f"SELECT page_id, CAST(pos AS INT) AS at_, title, CAST(length({_body('i')}) AS INT) AS n_chars FROM (SELECT page_id, pos, i, {plain_sql(TITLE)} AS title FROM (SELECT page_id, unnest(f) AS i, unnest(range(len(f))) AS pos FROM (SELECT page_id, CASE WHEN len(f) > 0 THEN f ELSE [h] END AS f FROM (SELECT page_id, h, regexp_extract_all(h, '{ITEM}', 1) AS f FROM ({PAGES}))))) WHERE title <> ''",
     "page_links": f"SELECT page_id, CAST(pos AS INT) AS at_, CASE WHEN starts_with(u, 'http') THEN u ELSE 'http://example.com' || u END AS url, title FROM (SELECT page_id, pos, regexp_replace(u, '/+$', '') AS u, {plain_sql('t')} AS title FROM (SELECT page_id, unnest(regexp_extract_all(h, {LINK}, 1)) AS u, unnest(regexp_extract_all(h, {LINK}, 2)) AS t, unnest(range(len(regexp_extract_all(h, {LINK}, 1)))) AS pos FROM ({PAGES}))) WHERE length(title) >= 1",
+    "seen_store": "SELECT DISTINCT regexp_replace(url, '/+$', '') AS url FROM pages WHERE url IS NOT NULL EXCEPT SELECT regexp_replace(url, '/+$', '') FROM pages WHERE page_id % 3 = 0",
     "new_urls": "SELECT page_id, url FROM pages WHERE page_id % 2 = 0 AND regexp_replace(url, '/+$', '') NOT IN (SELECT regexp_replace(url, '/+$', '') FROM pages WHERE page_id % 3 = 0)",
     "seen_urls": "SELECT DISTINCT regexp_replace(url, '/+$', '') AS url FROM pages ORDER BY 1 DESC LIMIT 100",
     "merge_urls": "WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages), k AS (SELECT *, regexp_replace(url, '/+$', '') AS u, row_number() OVER (PARTITION BY regexp_replace(url, '/+$', ''), page_id % 2 ORDER BY page_id) AS r FROM p) SELECT page_id, url FROM k WHERE r = 1 AND (page_id % 2 = 0 OR u NOT IN (SELECT u FROM k WHERE page_id % 2 = 0))",
