@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,13 +65,14 @@ class Words:
         edge[bounds] = True
         self.starts = np.flatnonzero(solid[1:] & (~solid[:-1] | edge))
         self.ends = np.flatnonzero(solid[:-1] & (~solid[1:] | edge))
-        self.row = np.searchsorted(bounds, self.starts, "right") - 1
+        self.solid = solid[1:-1]
+        self.row = np.repeat(np.arange(block.num_rows), np.diff(np.searchsorted(self.starts, bounds)))
         self.langs = [x.as_py() for x in block.column("lang")]
         piece = np.cumsum(cut)[self.starts]
         n = len(piece)
         last = np.r_[piece[1:] != piece[:-1], True] if n else np.zeros(0, bool)
         ends = np.flatnonzero(last)
-        self.left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1
+        self.left = np.repeat(ends + 1, np.diff(np.r_[-1, ends])) - np.arange(n)
         of = {x: tk.word_hashes(np.frombuffer(b := x.encode(), np.uint8), np.array([0]), np.array([len(b)]))[0] if x else np.uint64(0) for x in set(self.langs)}
         lang = np.array([of[x] for x in self.langs], np.uint64)[self.row] if n else np.zeros(0, np.uint64)
         with np.errstate(over="ignore"):
@@ -86,19 +88,16 @@ class Words:
                 x = tk.mix(x * np.uint64(0x9E3779B97F4A7C15) + h[at + j])
         return at, x
 
-    def texts(self, at: np.ndarray, k: int) -> pa.Array:
+    def spelled(self) -> pa.Array:
+        """The words."""
+        bounds = np.r_[0, np.cumsum(self.ends - self.starts)]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(bounds), pa.py_buffer(self.raw[self.solid])])
+
+    @staticmethod
+    def texts(words: pa.Array, at: np.ndarray, k: int) -> pa.Array:
         """The phrases of k words from each of the words `at`, joined by single blanks."""
-        sizes = np.stack([self.ends[at + j] - self.starts[at + j] for j in range(k)], axis=1) if len(at) else np.zeros((0, k), np.int64)
-        whole = sizes.sum(axis=1) + k - 1
-        bounds = np.r_[0, np.cumsum(whole)]
-        out = np.full(bounds[-1], 32, np.uint8)
-        to = bounds[:-1].copy()
-        for j in range(k):
-            n = sizes[:, j]
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out[np.repeat(to, n) + step] = self.raw[np.repeat(self.starts[at + j], n) + step]
-            to += n + 1
-        return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(out)).cast(pa.string())
+        parts = [words.take(pa.array(at + j)) for j in range(k)]
+        return pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())).cast(pa.binary()).cast(pa.string())
 
 
 def scan_of(tables: list[np.ndarray], h: np.ndarray, k: int) -> np.ndarray:
@@ -116,9 +115,9 @@ def active(words: Words, tables: list[np.ndarray], k: int, turn: int, shards: in
     if k == 1:
         return (h, np.zeros(len(h), np.int64)) if turn < shards else (h[:0], np.zeros(0, np.int64))
     part_at, part = words.phrases(k - 1)
-    reached = scan_of(tables, part, k - 1)
-    one, two = np.searchsorted(part_at, at), np.searchsorted(part_at, at + 1)
-    since = np.maximum(reached[one], reached[two]).astype(np.int64) + 1
+    reached = np.full(len(words.starts), _NEVER, np.uint8)
+    reached[part_at] = scan_of(tables, part, k - 1)
+    since = np.maximum(reached[at], reached[at + 1]).astype(np.int64) + 1
     now = (since <= turn) & (turn < since + shards)
     return h[now], since[now]
 
@@ -150,6 +149,7 @@ def _speller(sent, longest: int, block: int) -> Callable:
             names = list(dict.fromkeys(words.langs))
             code = np.array([names.index(x) for x in words.langs])[words.row]
             n = np.bincount(code, minlength=len(names)).astype(np.int64)
+            spelled = words.spelled()
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([""] * len(names)), pa.array(n)], ["lang", "phrase", "c"])
             for k in range(1, longest + 1):
                 at, h = words.phrases(k)
@@ -158,14 +158,14 @@ def _speller(sent, longest: int, block: int) -> Callable:
                     continue
                 at, h, other = at[held], h[held], words.phrases(k, 1)[1][held]
                 first, n = _distinct(h, other)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(code[at[first]])), words.texts(at[first], k), pa.array(n)], ["lang", "phrase", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(code[at[first]])), words.texts(spelled, at[first], k), pa.array(n)], ["lang", "phrase", "c"])
 
     return spell
 
 
 def _distinct(h: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a place, count) of each distinct pair of hashes."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     same = (h[order][1:] == h[order][:-1]) & (other[order][1:] == other[order][:-1])
     if not (same == (h[order][1:] == h[order][:-1])).all():  # two phrases share a hash
         order = np.lexsort([other, h])
