@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,27 +134,35 @@ def query_articles(df: DataFrame, since: Column | None = None, country: str | No
     return df if most is None else df.orderBy(F.desc(date), order).limit(most)
 
 
-#: Queries that a union of queries may have: they are matched row by row, as a stated query set.
-MOST_QUERIES = 10_000
+#: Queries matched in one pass over the rows, and passes that a union of queries may take.
+QUERY_BLOCK = 10_000
+MOST_BLOCKS = 100
 
 
-def query_many(df: DataFrame, queries: DataFrame, text: str = "text", url: str = "url", order: str = "ingest_seq", language: str | None = None) -> DataFrame:
+def query_many(df: DataFrame, queries: DataFrame, text: str = "text", url: str = "url", order: str = "ingest_seq", language: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """Rows that contain a query's text (queries: query_no, query), one for each URL: the first query's, then the first row.
 
     With `language`, a column of df of 'zh', 'en' and so on, a query meets only rows of its own language: zh if it
-    has any CJK character, else en.
+    has any CJK character, else en. Queries are a stated set, matched in blocks against all rows; it is read by the driver, so
+    more than MOST_BLOCKS blocks are refused.
     """
-    asked = queries.select("query_no", "query", T.any_cjk_language(F.col("query")).alias("query_language")).limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries")
+    most = block * MOST_BLOCKS
+    asked = queries.select("query_no", "query", T.any_cjk_language(F.col("query")).alias("query_language")).filter(F.col("query").isNotNull()).limit(most + 1).collect()
+    if len(asked) > most:
+        raise ValueError(f"more than {most} queries")
+    parts = [_hits(df, asked[i : i + block], text, url, language) for i in range(0, max(len(asked), 1), block)]
+    hits = reduce(DataFrame.unionAll, parts)
+    return hits.groupBy(url).agg(F.min_by(F.struct(*hits.columns), F.struct("query_no", order)).alias("r")).select("r.*")
+
+
+def _hits(df: DataFrame, asked: list, text: str, url: str, language: str | None) -> DataFrame:
     every = F.array(*[F.struct(F.lit(r.query_no).alias("query_no"), F.lit(r.query).alias("query"), F.lit(r.query_language).alias("query_language")) for r in asked]) if asked else F.array().cast("array<struct<query_no:int,query:string,query_language:string>>")
 
     def met(low: Column) -> Column:
         same = (lambda q: F.col(language) == q["query_language"]) if language else (lambda q: F.lit(True))
         return F.filter(every, lambda q: F.contains(low, F.lower(q["query"])) & same(q))
 
-    hits = df.filter(T.given(F.col(url)) != "").select("*", F.inline(T.bound(F.lower(F.col(text)), met)))
-    return hits.groupBy(url).agg(F.min_by(F.struct(*hits.columns), F.struct("query_no", order)).alias("r")).select("r.*")
+    return df.filter(T.given(F.col(url)) != "").select("*", F.inline(T.bound(F.lower(F.col(text)), met)))
 
 
 def enabled(df: DataFrame, sources: DataFrame, source: str = "source") -> DataFrame:

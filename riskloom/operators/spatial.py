@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import params
 from riskloom.functions.num import haversine, rounded
-from riskloom.session import forget, small, stored
+from riskloom.session import bounded, forget, stored
+
+
+#: Centres up to which every place meets each of them.
+MOST_CENTERS = 10_000
 
 
 def locate(rows: DataFrame, places: DataFrame, place: str = "place") -> DataFrame:
@@ -25,11 +29,11 @@ def locate(rows: DataFrame, places: DataFrame, place: str = "place") -> DataFram
 def potential(places: DataFrame, centers: DataFrame, place: str = "place", floor_km: float = 10.0) -> DataFrame:
     """(place, risk, total_influence, potential, dominant_center, potential_normalized): centres' weights over squared distances, times risk.
 
-    Centres (center, lat, lon, weight) are a bounded dimension: every place meets each of them.
+    Centres (center, lat, lon, weight) are a dimension of at most MOST_CENTERS rows, as every place meets each of them.
     """
     c = centers.select("center", F.col("lat").alias("clat"), F.col("lon").alias("clon"), "weight")
     km = F.greatest(haversine(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")), F.lit(floor_km))
-    pairs = places.select(place, "lat", "lon", F.coalesce("risk", F.lit(50.0)).alias("risk")).crossJoin(small(c)).withColumn("influence", F.col("weight") / F.pow(km / 100, 2))
+    pairs = places.select(place, "lat", "lon", F.coalesce("risk", F.lit(50.0)).alias("risk")).crossJoin(bounded(c, "centres", MOST_CENTERS)).withColumn("influence", F.col("weight") / F.pow(km / 100, 2))
     g = pairs.groupBy(place).agg(F.max("risk").alias("risk"), F.sum("influence").alias("__t"), F.min(F.struct((-F.col("influence")).alias("i"), "center")).alias("__d"))
     g = g.select(place, F.col("risk"), F.col("__t"), rounded(F.col("__t") * F.col("risk") / 100, 4).alias("potential"), F.col("__d.center").alias("dominant_center"))
     top = g.agg(F.max("potential").alias("__max"))

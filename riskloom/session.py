@@ -85,3 +85,12 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def bounded(df: DataFrame, what: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast; refused if it has more than `most` rows."""
+    from pyspark.sql import functions as F
+
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what}")
+    return F.broadcast(df)

@@ -53,6 +53,9 @@ def test_queries_of_a_language(spark):
     asked = spark.createDataFrame([(0, "war"), (1, "Peace"), (2, "冲突")], "query_no int, query string")
     assert sorted((r.ingest_seq, r.query) for r in clean.query_many(df, asked, language="language").collect()) == [(1, "Peace"), (3, "冲突"), (6, "war")]
     assert sorted((r.ingest_seq, r.query) for r in clean.query_many(df, asked).collect()) == [(1, "Peace"), (2, "Peace"), (3, "Peace"), (6, "war")]
+    assert sorted((r.ingest_seq, r.query) for r in clean.query_many(df, asked, block=1).collect()) == [(1, "Peace"), (2, "Peace"), (3, "Peace"), (6, "war")]
+    with pytest.raises(ValueError, match="queries"):
+        clean.query_many(df, spark.range(101).select(F.col("id").cast("int").alias("query_no"), F.lit("q").alias("query")), block=1)
     assert clean.query_many(df, asked.limit(0)).count() == 0
 
 
