@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, DoubleType, MapType, StringType, StructField, StructType
 
 ARTICLE = StructType([StructField(c, StringType()) for c in ("title", "pub_time", "content", "url", "source", "language", "crawled_at")])
 RISK_RECORD = StructType([StructField("date", StringType()), StructField("risk_score", DoubleType()), StructField("risk_level", StringType()), StructField("details", MapType(StringType(), DoubleType())), StructField("recorded_at", StringType())])
@@ -45,6 +45,25 @@ def scan_jsonl(spark: SparkSession, path: str, schema: StructType = RISK_RECORD)
     return parsed.filter(~bad).select(*[f"r.{f.name}" for f in schema]), parsed.filter(bad).select("value")
 
 
+def tolerant_lines(spark: SparkSession, root: str, schema: StructType = ARTICLE, stream: bool = False, files_a_batch: int | None = None) -> DataFrame:
+    """Landed JSON lines at root/source=S/date=D/ with the columns of schema, source, date and `bad`: the text of a line that
+    doesn't parse, whose other columns are null. Blank lines are left out.
+
+    One definition serves a batch and a stream, so both give the same rows; a filter on source or date reads only
+    their folders. The landing folder must exist.
+    """
+    kind = StructType([StructField("value", StringType()), StructField("source", StringType()), StructField("date", DateType())])
+    reader = (spark.readStream if stream else spark.read).schema(kind)
+    if stream and files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    lines = reader.format("text").load(root).filter(F.trim("value") != "")
+    own = [f for f in schema.fields if f.name not in ("source", "date")]
+    wide = StructType([*own, StructField("_bad", StringType())])
+    parsed = lines.select("source", "date", "value", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    wrong = F.col("r").isNull() | F.col("r._bad").isNotNull()
+    return parsed.select(*[F.when(~wrong, F.col(f"r.{f.name}")).alias(f.name) for f in own], "source", "date", F.when(wrong, F.col("value")).alias("bad"))
+
+
 def scan_external(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """By extension: .csv, .json, .jsonl or Parquet."""
     if path.endswith(".csv"):

@@ -133,3 +133,25 @@ def test_acknowledgements_in_a_stream(spark, tmp_path):
     jobs.run_available(state.acknowledged(alert_stream, ack_stream, late="10 days"), str(tmp_path / "out"), str(tmp_path / "log"))
     got = sorted((r.id, r.ts, r.acknowledged_at) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted((r.id, r.ts, r.acknowledged_at) for r in alerts.acknowledge(log, both).filter("acknowledged").collect()) and got
+
+
+def test_tolerant_lines(spark, tmp_path):
+    """A stream and a batch over landed lines give the same rows, bad lines are told, and a date reads only its folder."""
+    lines = ['{"title": "a", "url": "u1"}', "", "{broken", '{"title": 5}', '["list"]', "   "]
+    for source in ("s1", "s2"):
+        for day in ("2024-01-01", "2024-01-02"):
+            folder = tmp_path / "in" / f"source={source}" / f"date={day}"
+            folder.mkdir(parents=True)
+            (folder / "x.jsonl").write_text("\n".join(lines))
+    batch = io.tolerant_lines(spark, str(tmp_path / "in"))
+    plain = lambda df: sorted(map(tuple, df.select("title", "url", "source", F.col("date").cast("string"), "bad").collect()), key=str)
+    want = plain(batch)
+    assert len(want) == 16 and sum(r[4] is None for r in want) == 8 and ("a", "u1", "s1", "2024-01-01", None) in want and (None, None, "s2", "2024-01-02", "{broken") in want
+    stream = io.tolerant_lines(spark, str(tmp_path / "in"), stream=True, files_a_batch=1)
+    jobs.run_available(stream, str(tmp_path / "out"), str(tmp_path / "log"))
+    assert plain(spark.read.schema(batch.schema).parquet(str(tmp_path / "out"))) == want
+    one = batch.filter("date = DATE'2024-01-02' AND source = 's1'")
+    files = {r.f for r in one.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert len(files) == 1 and "date=2024-01-02" in files.pop() and one.count() == 4
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull" in plan
