@@ -34,7 +34,8 @@ def trimmed(text: Column) -> Column:
 
 def single_spaced(text: Column) -> Column:
     """Runs of white space as one space each; single spaces, which most are, aren't touched."""
-    return F.regexp_replace(text, f"[{BLANKS[1:]}]{SPACE}*| {SPACE}+", " ")
+    other = r"[\x{09}-\x{0D}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}-\x{2029}\x{202F}\x{205F}\x{3000}]"
+    return F.regexp_replace(text, f"{other}{SPACE}*| {SPACE}+", " ")
 
 
 def without_tags(text: Column) -> Column:

@@ -67,6 +67,8 @@ def pairs(places: DataFrame, place: str = "place", within_km: float | None = Non
     return a.join(b, ["y", "x"]).filter("a <> b").withColumn("km", km).filter(F.col("km") <= within_km).drop("y", "x")
 
 
+#: Places whose pairs are summed one by one sooner than by cells.
+FEW_PLACES = 2000
 #: Levels of the cube grid around the globe; cells of the last have sides under a metre.
 DEEPEST = 24
 
@@ -83,14 +85,16 @@ def _cell(level: Column | int, dx: Column | int = 0, dy: Column | int = 0, dz: C
     return F.struct(along("x", dx).alias("i"), along("y", dy).alias("j"), along("z", dz).alias("k"))
 
 
-def morans_i(places: DataFrame, place: str = "place", within_km: float | None = None, exact: bool = False, open_from: float = 0.2, leaf: int = 4096) -> DataFrame:
+def morans_i(places: DataFrame, place: str = "place", within_km: float | None = None, exact: bool | None = None, open_from: float = 0.2, leaf: int = 4096) -> DataFrame:
     """(morans_i, interpretation, mean_risk, n) with weights 1 / max(km, 1), not standardised; a missing risk is 50.
 
     All pairs count. Far ones go by cells: pairs of cells of a hierarchy are opened from the whole globe down, until the
     larger cell's extent is at most `open_from` of their distance, when the sums of both stand for their places, or they hold
     at most `leaf` pairs of places, which are then summed one by one. Work is near n log n. With `exact`, or `within_km`, all
-    pairs (within that distance) are summed one by one, for small sets.
+    pairs (within that distance) are summed one by one; by default so are those of at most FEW_PLACES places.
     """
+    if exact is None:
+        exact = places.limit(FEW_PLACES + 1).count() <= FEW_PLACES
     p = places.withColumn("risk", F.coalesce("risk", F.lit(50.0)))
     mean = p.agg(F.avg("risk").alias("m"), F.count(F.lit(1)).alias("n"), (F.var_pop("risk") * F.count(F.lit(1))).alias("den"))
     if exact or within_km is not None:
