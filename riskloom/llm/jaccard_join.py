@@ -86,6 +86,17 @@ def band_hashes(h: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.n
     return out
 
 
+def freeing(work: Callable) -> Callable:
+    """A mapInArrow function that hands what its task has freed back to the system, as workers live on between stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()
+
+    return run
+
+
 def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, d1, d2, bands): two hashes of each text's n-gram set, and its band hashes; no row without words."""
 
@@ -102,7 +113,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([ids, *map(pa.array, digests), lists], ["doc_id", "d1", "d2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, d1 long, d2 long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(freeing(sign), "doc_id long, d1 long, d2 long, bands array<long>")
 
 
 def _bands(column: pa.ChunkedArray, n: int) -> np.ndarray:
@@ -233,7 +244,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, least: float = LEAST, rec
     paired = placed.select("key", "band", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     paired = paired.select("key", "band", "rep", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     tested = paired.join(reps.select("rep", "bands"), "rep").repartition(*GROUP).sortWithinPartitions(*GROUP)
-    needed = tested.select("key", "band", "one", "two", "block", "rep", "bands").mapInArrow(tk.by_group(_members, GROUP), "key long, band int, one int, two int, block int, rep long")
+    needed = tested.select("key", "band", "one", "two", "block", "rep", "bands").mapInArrow(freeing(tk.by_group(_members, GROUP)), "key long, band int, one int, two int, block int, rep long")
     lists = needed.groupBy("rep").agg(F.collect_list(F.struct("key", "band", "one", "two", "block")).alias("groups"))
     wanted = lists.join(reps.select("rep", "copies", "bands"), "rep").withColumnRenamed("rep", "doc_id")
 
@@ -245,9 +256,9 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, least: float = LEAST, rec
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copies"), b.column("bands"), b.column("groups"), sets], ["rep", "copies", "bands", "groups", "grams"])
 
     kind = "array<struct<key:long,band:int,one:int,two:int,block:int>>"
-    sets = docs.join(wanted, "doc_id").select("doc_id", "text", "copies", "bands", "groups").mapInArrow(grams_of, f"rep long, copies long, bands array<long>, groups {kind}, grams array<long>")
+    sets = docs.join(wanted, "doc_id").select("doc_id", "text", "copies", "bands", "groups").mapInArrow(freeing(grams_of), f"rep long, copies long, bands array<long>, groups {kind}, grams array<long>")
     sent = sets.select("rep", "copies", "bands", "grams", F.inline("groups")).repartition(*GROUP).sortWithinPartitions(*GROUP)
-    verified = checkpointed(sent.mapInArrow(tk.by_group(_verifier(least), GROUP), "rep long, root long, links long"))
+    verified = checkpointed(sent.mapInArrow(freeing(tk.by_group(_verifier(least), GROUP)), "rep long, root long, links long"))
     roots = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = checkpointed(reps.select("rep", "copies", "d1", "d2").join(links, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left"))
