@@ -199,6 +199,22 @@ def test_closeness_of_some(spark):
     assert whole["d"] == 0.5 and some == {"d": whole["d"], "a": whole["a"]}
 
 
+@pytest.mark.parametrize("measure", ["distances"])
+def test_sources_share_rows(spark, monkeypatch, measure):
+    """80 sources that reach 80 nodes by way of one: rows written follow the nodes, not pairs of source and node."""
+    rows = []
+    monkeypatch.setattr(graph, "stored", lambda df, **k: (out := stored(df, **k), rows.append(out.count()))[0])
+    pairs = [(f"a{i}", "hub") for i in range(80)] + [("hub", f"b{i}") for i in range(80)]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    some = spark.createDataFrame([(f"{'b' if measure == 'closeness' else 'a'}{i}",) for i in range(80)], "id string")
+    got = getattr(graph, measure)(edges, some).collect()
+    if measure == "distances":
+        assert {(r.source, r.id, r.dist) for r in got} == {(f"a{i}", *x) for i in range(80) for x in [(f"a{i}", 0), ("hub", 1), *[(f"b{j}", 2) for j in range(80)]]}
+    else:
+        assert {r.id: r.closeness for r in got} == {f"b{i}": 0.2547 for i in range(80)}  # from 81 of 160 others, in 1 + 160 steps
+    assert sum(rows) < 1500
+
+
 def random_graph(seed: int, groups: int, size: int, inner: float, outer: float) -> list[tuple[str, str]]:
     rnd = random.Random(seed)
     names = [(g, f"g{g}n{i}") for g in range(groups) for i in range(size)]
