@@ -199,7 +199,7 @@ def test_closeness_of_some(spark):
     assert whole["d"] == 0.5 and some == {"d": whole["d"], "a": whole["a"]}
 
 
-@pytest.mark.parametrize("measure", ["distances"])
+@pytest.mark.parametrize("measure", ["distances", "closeness"])
 def test_sources_share_rows(spark, monkeypatch, measure):
     """80 sources that reach 80 nodes by way of one: rows written follow the nodes, not pairs of source and node."""
     rows = []
