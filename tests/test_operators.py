@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import random
 import time
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +104,17 @@ def test_near_pairs_around_the_globe(spark, within):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_near_pairs_of_a_crowd(spark, monkeypatch):
+    """Places at two points: each pair of points is measured once, and a cell's pairs are dealt to several tasks."""
+    monkeypatch.setattr(spatial, "DEALT", 2_000, raising=False)
+    monkeypatch.setattr(spatial, "TOGETHER", 16, raising=False)
+    rows = [(f"p{i}", 10.0 + i % 2 / 10, 20.0, 1.0) for i in range(200)]
+    got = spatial.pairs(spark.createDataFrame(rows, "place string, lat double, lon double, risk double"), within_km=100.0)
+    met = got.select("a", "b", F.spark_partition_id().alias("task")).collect()
+    assert len(met) == len({(r.a, r.b) for r in met}) == 200 * 199
+    assert max(Counter(r.task for r in met).values()) < 200 * 199 / 3
+
+
 def globe(kind: str) -> list[tuple[str, float, float, float]]:
     rnd = random.Random(kind)
     if kind == "uniform":
