@@ -9,6 +9,7 @@ from riskloom.functions import params
 from riskloom.functions import text as T
 from riskloom.functions.num import banded, clamp, rounded
 from riskloom.operators.clean import tag_entities
+from riskloom.session import small, stored
 
 
 def weight_table(spark: SparkSession, weights: dict[str, float] = params.WEIGHTS, placeholders: tuple[str, ...] = params.PLACEHOLDERS) -> DataFrame:
@@ -176,18 +177,22 @@ def analysis_records(docs: DataFrame, gazetteer: DataFrame, key: str = "doc_id",
     """A record of each text: its cleaned head, entities and event words, sentiment, score, alert level and attribution.
 
     (key, text, locations, organizations, persons, events, sentiment_score, risk_sentiment, sentiment_level, risk_score,
-    risk_level, alert, primary_driver, concentration, attribution_text). The key must be unique.
+    risk_level, alert, primary_driver, concentration, attribution_text). The key must be unique. Texts are cleaned once and
+    written; scores and attributions are worked out once for each flag and sentiment met, of which there are few.
     """
     clean = docs.select(key, T.clean_text(F.col(text)).alias("__t"))
     risk = T.risk_sentiment(T.lexicon_sentiment(F.col("__t")))
-    read = clean.select(key, F.concat(F.substring("__t", 1, shown), F.lit("...")).alias("text"), T.event_words(F.col("__t"), T.script_language(F.col("__t"))).alias("events"), T.contains_any(F.col("__t"), params.CONFLICT_WORDS_ZH + params.CONFLICT_WORDS_EN).alias("__flag"), risk.alias("__s"))
-    ind = single_text_indicators(F.col("__flag"), F.col("__s.risk_score"))
-    values = unpivot(read.select(key, *[c.alias(k) for k, c in ind.items()]), (key,), list(weights))
-    detail = details(values, weight_table(docs.sparkSession, weights), (key,))
-    scores = risk_scores(values, weight_table(docs.sparkSession, weights), (key,))
-    told = attribution(detail, scores, (key,)).drop("risk_score")
-    tags = tag_entities(clean, gazetteer, key, "__t")
-    out = read.join(tags, key).join(scores, key).join(told, key)
+    flag = F.coalesce(T.contains_any(F.col("__t"), params.CONFLICT_WORDS_ZH + params.CONFLICT_WORDS_EN), F.lit(False))
+    read = clean.select(key, "__t", F.concat(F.substring("__t", 1, shown), F.lit("...")).alias("text"), T.event_words(F.col("__t"), T.script_language(F.col("__t"))).alias("events"), flag.alias("__flag"), risk.alias("__s"))
+    read = stored(read.withColumn("__case", F.concat_ws(" ", F.col("__flag").cast("string"), F.col("__s.risk_score").cast("string"))))
+    ind = single_text_indicators(F.col("__flag"), F.col("__r"))
+    cases = stored(read.groupBy("__case").agg(F.first("__flag").alias("__flag"), F.first("__s.risk_score").alias("__r")))
+    values = unpivot(cases.select("__case", *[c.alias(k) for k, c in ind.items()]), ("__case",), list(weights))
+    detail = details(values, weight_table(docs.sparkSession, weights), ("__case",))
+    scores = risk_scores(values, weight_table(docs.sparkSession, weights), ("__case",))
+    told = stored(scores.join(attribution(detail, scores, ("__case",)).drop("risk_score"), "__case"))
+    tags = tag_entities(read.select(key, "__t"), gazetteer, key, "__t")
+    out = read.drop("__t").join(tags, key).join(small(told), "__case")
     return out.select(key, "text", "locations", "organizations", "persons", "events", F.col("__s.sentiment_score").alias("sentiment_score"), F.col("__s.risk_score").alias("risk_sentiment"), F.col("__s.risk_level").alias("sentiment_level"), "risk_score", "risk_level", banded(F.col("risk_score"), params.ALERT_BANDS).alias("alert"), "primary_driver", "concentration", "attribution_text")
 
 

@@ -86,6 +86,19 @@ def test_records(spark):
     assert got[2].risk_score == got[3].risk_score and got[3].locations == [] and set(got) == {1, 2, 3, 4}
 
 
+def test_records_read_texts_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    rows = [(i, f"<b>Armed attack</b> near 仰光 no {i}" if i % 2 else "peace") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", counted("text").alias("text"))
+    assert len(score.analysis_records(docs, seeds.gazetteer(seeds.entities(spark))).collect()) == read.value == 40
+
+
 def km(a, b) -> float:
     p, q = math.radians(a[0]), math.radians(b[0])
     h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
