@@ -223,7 +223,7 @@ def test_closeness_of_some(spark):
     assert whole["d"] == 0.5 and some == {"d": whole["d"], "a": whole["a"]}
 
 
-@pytest.mark.parametrize("measure", ["distances", "closeness"])
+@pytest.mark.parametrize("measure", ["betweenness", "distances", "closeness"])
 def test_sources_share_rows(spark, monkeypatch, measure):
     """80 sources that reach 80 nodes by way of one: rows written follow the nodes, not pairs of source and node."""
     rows = []
@@ -234,6 +234,8 @@ def test_sources_share_rows(spark, monkeypatch, measure):
     got = getattr(graph, measure)(edges, some).collect()
     if measure == "distances":
         assert {(r.source, r.id, r.dist) for r in got} == {(f"a{i}", *x) for i in range(80) for x in [(f"a{i}", 0), ("hub", 1), *[(f"b{j}", 2) for j in range(80)]]}
+    elif measure == "betweenness":
+        assert {r.id: r.betweenness for r in got if r.betweenness} == {"hub": 0.5063}  # 80 * 80 of 160 * 159, scaled from 80 to 161 sources
     else:
         assert {r.id: r.closeness for r in got} == {f"b{i}": 0.2547 for i in range(80)}  # from 81 of 160 others, in 1 + 160 steps
     assert sum(rows) < 1500
