@@ -241,6 +241,28 @@ def test_sources_share_rows(spark, monkeypatch, measure):
     assert sum(rows) < 1500
 
 
+def test_closeness_counts_bits(spark, monkeypatch):
+    """Sums by source come from counted bits, over several words and groups, without a row for each pair of source and node."""
+    edges = spark.createDataFrame([(f"v{i:03}", f"v{(i * k + 1) % 300:03}") for i in range(300) for k in (1, 3)], "src string, dst string")
+    far = graph.distances(edges).filter("dist > 0").groupBy("id").agg(F.count("*").alias("r"), F.sum("dist").alias("t"))
+    want = {r.id: r.r / r.t * r.r / 299 for r in far.collect()}
+    monkeypatch.setattr(graph, "_by_source", None)
+    for words in (16, 1):
+        monkeypatch.setattr(graph, "WORDS", words)
+        got = {r.id: r.closeness for r in graph.closeness(edges).collect()}
+        assert len(got) == 300 and all(abs(got[x] - want.get(x, 0)) < 1e-4 for x in got)
+
+
+def test_numbers_that_collide(spark, monkeypatch):
+    """Ids that share a hash are numbered anew: results don't depend on the hash."""
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "dd"), ("dd", "dd"), ("ee", "f")], "src string, dst string")
+    want = {r.id: r.closeness for r in graph.closeness(edges).collect()}
+    monkeypatch.setattr(graph, "_hashed", lambda name: F.length(name).cast("long"))
+    nodes, out = graph._numbered(edges)
+    assert nodes.select("v").distinct().count() == 6 and out.count() == 5
+    assert {r.id: r.closeness for r in graph.closeness(edges).collect()} == want
+
+
 def random_graph(seed: int, groups: int, size: int, inner: float, outer: float) -> list[tuple[str, str]]:
     rnd = random.Random(seed)
     names = [(g, f"g{g}n{i}") for g in range(groups) for i in range(size)]
