@@ -356,6 +356,17 @@ def test_betweenness_within_its_bound(spark):
         assert all(r.n_sources == len(nodes) and r.bound == 0 and abs(r.betweenness - want[r.id]) < 1e-4 for r in exact)
 
 
+def test_links_are_refined_once(spark, monkeypatch):
+    """Links within a community come to its refinement once, not from either end, and leave the cliques whole."""
+    given, whole = [], graph.stars.components
+    told = lambda e: (e.count(), e.select(F.least("a", "b"), F.greatest("a", "b")).distinct().count())
+    monkeypatch.setattr(graph.stars, "components", lambda e: (given.append(told(e)), whole(e))[1])
+    rows = [(f"{c}{a}", f"{c}{b}") for c in "xy" for a in range(5) for b in range(a)]
+    labels = graph.communities(spark.createDataFrame(rows, "src string, dst string"), rounds=2, levels=1).collect()
+    assert given and all(n == once > 0 for n, once in given)
+    assert len(labels) == 10 and all(r.id[0] == r.community[0] for r in labels)
+
+
 def test_communities_over_levels(spark):
     """Two cliques with one edge between them: one level finds them, and a second leaves them as they are."""
     rows = [(f"{c}{a}", f"{c}{b}") for c in "xy" for a in range(5) for b in range(a)] + [("x0", "y0"), ("z", "z")]
