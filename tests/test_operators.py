@@ -7,12 +7,13 @@ import random
 import time
 from collections import Counter, defaultdict, deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import params
 from riskloom.functions import text as T
-from riskloom.operators import alerts, clean, graph, html, score, spatial
+from riskloom.operators import alerts, clean, graph, html, score, sketches, spatial
 from riskloom.plans import bindings
 from riskloom.session import shared_folder, small, stored
 from riskloom.sources import seeds
@@ -344,6 +345,47 @@ def test_closeness_by_sketches(spark):
     assert set(got) == set(want) and all(abs(got[x] - want[x]) <= 0.1 * want[x] + 1e-3 for x in want)
 
 
+def test_sketches_in_blocks(spark, monkeypatch):
+    """Blocks don't change the estimates; sets of few nodes are exact, whatever the distance; hubs and no edges at all."""
+    rnd = random.Random(4)
+    pairs = random_graph(9, 1, 150, 0.03, 0.0) + [(f"x{i}", f"x{i + 1}") for i in range(6)] + [(f"y{rnd.randrange(400)}", f"h{rnd.randrange(2)}") for _ in range(500)] + [("h0", f"y{i}") for i in range(0, 400, 7)]
+    edges = stored(spark.createDataFrame(pairs, "src string, dst string"))
+    one = {(r.id, r.closeness, r.reached) for r in graph.closeness_by_sketches(edges).collect()}
+    monkeypatch.setattr(graph, "_SKETCHED", 2**17)  # 128 nodes
+    assert {(r.id, r.closeness, r.reached) for r in graph.closeness_by_sketches(edges).collect()} == one
+    exact = {r.id: r.closeness for r in graph.closeness(edges).collect()}
+    assert len(one) == len(exact) and all(c == exact[x] for x, c, _ in one if x[0] == "x") and all(abs(c - exact[x]) <= 0.2 * exact[x] + 1e-3 for x, c, _ in one)
+    assert {r for x, _, r in one if x == "x6"} == {6}
+    assert graph.closeness_by_sketches(edges.limit(0)).count() == 0
+    assert {r.closeness for r in graph.closeness_by_sketches(spark.createDataFrame([("a", "a")], "src string, dst string")).collect()} == {0.0}
+
+
+def test_sketch_sizes():
+    for n in (1, 60, 700, 3000, 100_000):
+        one = sketches.alone(np.arange(n, dtype=np.int64), 10)
+        assert abs(sketches.sizes(one.regs.max(axis=0)[None])[0] - n) <= 0.1 * n
+
+
+def test_sketches_follow_nodes_not_edges(spark, monkeypatch):
+    """24,000 edges between 1,200 nodes in both directions: what is shuffled is a few sketches a node, not one an edge."""
+    rnd = random.Random(6)
+    pairs = [(f"c{i}", f"s{rnd.randrange(200)}") for i in range(1000) for _ in range(16)] + [(f"s{i}", f"c{rnd.randrange(1000)}") for i in range(200) for _ in range(40)]
+    edges = stored(spark.createDataFrame(pairs, "src string, dst string"))
+    monkeypatch.setattr(graph, "_SKETCHED", 2**19, raising=False)
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    sent = lambda: spark._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    for k, x in held.items():
+        spark.conf.set(k, x)
+    try:
+        start = sent()
+        assert graph.closeness_by_sketches(edges).count() == 1200
+        assert sent() - start < 4e6
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+
+
 def test_betweenness_within_its_bound(spark):
     for seed in (1, 2):
         pairs = random_graph(seed, 1, 120, 0.05, 0.0)
