@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import params
 from riskloom.functions import text as T
 from riskloom.operators import alerts, clean, graph, html, score, sketches, spatial
-from riskloom.plans import bindings
+from riskloom.plans import bindings, q_space
 from riskloom.session import shared_folder, small, stored
 from riskloom.sources import seeds
 from tests.oracle import DATA
@@ -216,6 +216,15 @@ def test_betweenness(spark):
         assert set(got) == nodes and all(abs(got[x] - want[x]) < 1e-4 for x in nodes)
 
 
+def test_betweenness_from_all_nodes(spark):
+    """The registered query takes every node as a source, not some for all."""
+    pairs = {(r.src, r.dst) for r in q_space.built(spark, DATA).collect()}
+    nodes = {x for p in pairs for x in p}
+    got = {r.id: r.betweenness for r in q_space.QUERIES["betweenness"](spark, DATA).collect()}
+    want = plain_betweenness(pairs, sorted(nodes), nodes)
+    assert set(got) == nodes and all(abs(got[x] - want[x]) < 1e-4 for x in nodes)
+
+
 def test_closeness_of_some(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
     whole = {r.id: r.closeness for r in graph.closeness(edges).collect()}
