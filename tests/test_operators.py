@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import params
 from riskloom.functions import text as T
-from riskloom.operators import alerts, clean, graph, html, score, sketches, spatial
+from riskloom.operators import alerts, clean, graph, html, score, searches, sketches, spatial, stars
 from riskloom.plans import bindings, q_space
 from riskloom.session import shared_folder, small, stored
 from riskloom.sources import seeds
@@ -273,6 +273,61 @@ def test_numbers_that_collide(spark, monkeypatch):
     assert {r.id: r.closeness for r in graph.closeness(edges).collect()} == want
 
 
+def some_components():
+    """Edges of a few components: a dense one, a path, one in which an edge repeats, a self-loop alone."""
+    rnd = random.Random(5)
+    return [(f"v{rnd.randrange(30)}", f"v{rnd.randrange(30)}") for _ in range(90)] + [(f"p{i}", f"p{i + 1}") for i in range(9)] + [("x", "y"), ("x", "y"), ("y", "w"), ("z", "z")]
+
+
+def test_betweenness_within_tasks(spark, monkeypatch):
+    """Components that fit a task need no exchange of path counts; hubs, repeated edges and several tasks to a component."""
+    pairs = some_components() + [(f"l{i}", "hub") for i in range(70)] + [("hub", f"r{i}") for i in range(70)]
+    edges, nodes = spark.createDataFrame(pairs, "src string, dst string"), {x for p in pairs for x in p}
+    monkeypatch.setattr(graph, "_paths", None)
+    monkeypatch.setattr(graph, "_PACKED", 12, raising=False)
+    monkeypatch.setattr("riskloom.operators.searches.COLUMNS", 16)
+    got = {r.id: r.betweenness for r in graph.betweenness(edges).collect()}
+    want = plain_betweenness(set(pairs), sorted(nodes), nodes)
+    assert set(got) == nodes and all(abs(got[x] - want[x]) < 1e-4 for x in nodes)
+
+
+@pytest.mark.parametrize("measure", ["betweenness", "distances", "closeness"])
+def test_components_beyond_a_task(spark, monkeypatch, measure):
+    """Components with more edges than a task holds are searched by exchanges, beside those that fit one."""
+    edges = spark.createDataFrame(some_components(), "src string, dst string")
+    some = spark.createDataFrame([(x,) for x in ("v1", "v2", "v3", "p2", "p9", "y", "z", "none")], "id string")
+    want = {tuple(r) for r in getattr(graph, measure)(edges, some).collect()}
+    monkeypatch.setattr(graph, "_WITHIN", 20)
+    monkeypatch.setattr(graph, "_AT_A_TIME", 2)
+    assert {tuple(r) for r in getattr(graph, measure)(edges, some).collect()} == want and len(want) >= 7
+
+
+@pytest.mark.parametrize("n", [1, 40, 3000])
+def test_rows_added_up(n):
+    """Nodes of any number of edges, a few of them with many."""
+    rnd = np.random.RandomState(n)
+    b = np.sort(np.concatenate([rnd.randint(0, n, 3 * n), np.full(2500, n // 2), np.full(40, 0)]))
+    a, x = rnd.randint(0, n, len(b)), rnd.rand(n, 3)
+    want = np.zeros((n, 3))
+    np.add.at(want, b, x[a])
+    to, sums = searches._along(x, a, b)
+    assert (to == np.unique(b)).all() and np.allclose(sums, want[to])
+
+
+def test_edges_are_hung(spark, monkeypatch):
+    """Components are the same from what tasks leave of the edges, which is no more than they have nodes."""
+    rnd = random.Random(8)
+    pairs = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(300)] + [(500 + i % 7, 500 + i % 5) for i in range(2000)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    want = {tuple(r) for r in stars.components(edges).collect()}
+    for at_once, held in ((2**20, 2**21), (50, 20)):
+        monkeypatch.setattr(stars, "_HUNG", at_once)
+        monkeypatch.setattr(stars, "_HELD", held)
+        assert {tuple(r) for r in stars.components(stars.hung(edges)).collect()} == want
+    monkeypatch.undo()
+    assert stars.hung(edges).count() < 3 * 407
+
+
 def random_graph(seed: int, groups: int, size: int, inner: float, outer: float) -> list[tuple[str, str]]:
     rnd = random.Random(seed)
     names = [(g, f"g{g}n{i}") for g in range(groups) for i in range(size)]
