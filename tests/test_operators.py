@@ -251,6 +251,24 @@ def test_sources_share_rows(spark, monkeypatch, measure):
     assert sum(rows) < 1500
 
 
+@pytest.mark.parametrize("measure", ["closeness", "distances"])
+def test_searches_deal_edges_once(spark, measure):
+    """24,000 edges, 1,200 sources: what is shuffled is the edges dealt to tasks, not edges and rows of bits at every distance."""
+    rnd = random.Random(6)
+    pairs = [(f"c{i}", f"s{rnd.randrange(200)}") for i in range(1000) for _ in range(16)] + [(f"s{i}", f"c{rnd.randrange(1000)}") for i in range(200) for _ in range(40)]
+    edges = stored(spark.createDataFrame(pairs, "src string, dst string"))
+    some = edges.select(F.col("src").alias("id")).distinct()
+    sent = lambda: spark._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        start = sent()
+        assert getattr(graph, measure)(edges, some).count() >= 1200
+        assert sent() - start < 2e6
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_closeness_counts_bits(spark, monkeypatch):
     """Sums by source come from counted bits, over several words and groups, without a row for each pair of source and node."""
     edges = spark.createDataFrame([(f"v{i:03}", f"v{(i * k + 1) % 300:03}") for i in range(300) for k in (1, 3)], "src string, dst string")
