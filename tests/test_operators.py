@@ -491,6 +491,29 @@ def test_links_are_refined_once(spark, monkeypatch):
     assert len(labels) == 10 and all(r.id[0] == r.community[0] for r in labels)
 
 
+@pytest.mark.parametrize("within", [True, False])
+def test_communities_within_tasks(spark, monkeypatch, within):
+    """Components that fit a task need no exchange of labels; larger ones beside them do. Modularity counts links of all."""
+    pairs = random_graph(1, 3, 12, 0.6, 0.03) + [(f"{c}{a}", f"{c}{b}") for c in "xy" for a in range(5) for b in range(a)] + [("x0", "x1"), ("x1", "x0"), ("z", "z")]
+    edges = stored(spark.createDataFrame(pairs, "src string, dst string"))
+    if within:
+        monkeypatch.setattr(graph, "_moves", None)
+        monkeypatch.setattr(graph, "_PACKED", 4, raising=False)
+    else:
+        monkeypatch.setattr(graph, "_WITHIN", 40, raising=False)
+    labels = stored(graph.communities(edges))
+    of = {r.id: r.community for r in labels.collect()}
+    assert set(of) == {x for p in pairs for x in p} and of["z"] == "z" and {of[f"{c}{i}"] for c in "xy" for i in range(5)} == {"x0", "y0"}
+    assert graph.modularity(edges, labels).first()[0] >= plain_louvain(pairs) - 0.02
+
+
+def test_tasks_find_what_exchanges_find(spark):
+    """Communities of one large component keep the modularity of one-by-one moves."""
+    pairs = random_graph(11, 10, 30, 0.3, 0.01)
+    edges = stored(spark.createDataFrame(pairs, "src string, dst string"))
+    assert graph.modularity(edges, graph.communities(edges)).first()[0] >= plain_louvain(pairs) - 0.02
+
+
 def test_communities_over_levels(spark):
     """Two cliques with one edge between them: one level finds them, and a second leaves them as they are."""
     rows = [(f"{c}{a}", f"{c}{b}") for c in "xy" for a in range(5) for b in range(a)] + [("x0", "y0"), ("z", "z")]
